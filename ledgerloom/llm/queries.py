@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import token_count
+from ledgerloom.llm import secret_scan, token_count, toxicity, url_rules
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -19,9 +19,53 @@ def op1_token_counts(spark, sf_dir):
     return token_count.token_counts(_table(spark, sf_dir, "documents"), _byte_bpe())
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+# Host and path of the contract's rules.
+URL_RULES = (
+    url_rules.Rule("block", "com/en/"),
+    url_rules.Rule("allow", "example.com/en/7"),
+    url_rules.Rule("block", "net/de/"),
+    url_rules.Rule("block", "example.net/de/8"),
+    url_rules.Rule("block", "org/es/"),
+)
+
+
+def op5_url_rules(spark, sf_dir):
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP5_SQL = r"""
+WITH rules(verdict, rule) AS (
+  VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('block', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')
+), cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), hits AS (
+  SELECT p.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) AS k
+  FROM parts p JOIN rules r
+    ON (p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1)))
+   AND starts_with(p.path, substr(r.rule, strpos(r.rule, '/')))
+)
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.k = 1
+"""
+
+
+def op6_secret_scan(spark, sf_dir):
+    return secret_scan.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_url_rules, op6_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_rules": OP5_SQL}
