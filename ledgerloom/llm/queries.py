@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import secret_scan, token_count, toxicity, url_rules
+from ledgerloom.llm import common, packing, secret_scan, token_count, token_files, toxicity, url_rules
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -24,6 +24,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_token_files(spark, sf_dir):
+    manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), _byte_bpe(), common.fresh_dir(spark, "tokens"))
+    return token_files.read_index(manifest)
+
+
 # Host and path of the contract's rules.
 URL_RULES = (
     url_rules.Rule("block", "com/en/"),
@@ -63,8 +68,12 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), _byte_bpe())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_url_rules, op6_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
