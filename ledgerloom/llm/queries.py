@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import common, packing, secret_scan, token_count, token_files, toxicity, url_rules
+from ledgerloom.llm import common, hyperminhash, packing, secret_scan, token_count, token_files, toxicity, url_rules
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -19,6 +19,10 @@ def op1_token_counts(spark, sf_dir):
     return token_count.token_counts(_table(spark, sf_dir, "documents"), _byte_bpe())
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -73,7 +77,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
