@@ -199,6 +199,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows near_duplicates() does not keep: of each group the least id's stay. Rows of null ids stay."""
+    found = near_duplicates(docs, words, percent, id_col, text_col)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+
+
 def _rest(shared: DataFrame, full: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame | None:
     """Pairs not compared yet, of classes that share a band and lie in different components."""
     crowded = shared.filter("n > 3").select("band", "cls", "n")  # up to three classes, all pairs hold the least or the greatest

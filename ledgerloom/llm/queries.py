@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import common, hyperminhash, packing, secret_scan, token_count, token_files, toxicity, url_rules
+import corpus_pipeline
+from ledgerloom.llm import common, decontamination, hyperminhash, packing, secret_scan, token_count, token_files, toxicity, url_rules
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -72,12 +73,16 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), _byte_bpe())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op7_decontamination, op10_packing)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

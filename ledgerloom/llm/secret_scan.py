@@ -81,21 +81,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     Texts are searched whole. Only hashes and spans are shuffled, never texts; hash counts are pre-aggregated
     by (hash, owner), so a candidate in a third of all rows costs one row a task.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0none")).alias("owner"))
-    found = common.materialize(common.arrow_map(rows, "ledgerloom.llm.secret_scan:_batches", _SCHEMA), "secrets")
+    found = common.materialize(common.arrow_map(_rows(docs, id_col, text_col, owner_col), "ledgerloom.llm.secret_scan:_batches", _SCHEMA), "secrets")
     wide = found.filter(F.size("wider") > 0).select("row", "doc_id", "owner", F.explode("wider").alias("w")).select("row", "doc_id", "owner", F.col("w.hash").alias("hash"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    owned = wide.groupBy("hash", "owner").agg(F.approx_count_distinct("doc_id").alias("repos"), F.count("*").alias("seen")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    owned = _owned(wide)
     live = owned.filter(F.col("owners") <= most_owners).select("hash")
     added = wide.join(live, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.lit(KINDS.index("live")).alias("kind")))).alias("added"))
     return found.select("doc_id", "row", "base", "base_sha256").join(added, "row", "left").withColumn("added", F.coalesce("added", F.expr(f"cast(array() as {_SPAN})")))
 
 
-def ownership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row per distinct wider candidate: hash, owners, repos, widely_copied (more than one owner)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0none")).alias("owner"))
-    wide = common.arrow_map(rows, "ledgerloom.llm.secret_scan:_batches", _SCHEMA).select("doc_id", "owner", F.explode("wider.hash").alias("hash"))
-    by_repo = wide.groupBy("hash", "owner", "doc_id").agg(F.count("*").alias("seen"))
-    return by_repo.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("doc_id").alias("repos"), F.sum("seen").alias("seen")).withColumn("widely_copied", F.col("owners") > 1)
+def _owned(wide: DataFrame) -> DataFrame:
+    """(hash, owners, repos, seen) over rows of (doc_id, owner, hash)."""
+    by_owner = wide.groupBy("hash", "owner").agg(F.approx_count_distinct("doc_id").alias("repos"), F.count("*").alias("seen"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("seen").alias("seen"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+    text, owner = (F.col(c).cast("string") for c in (text_col, owner_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(owner, F.lit("\0none")).alias("owner"))
+
+
+def ownership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+    """One row per distinct wider candidate: hash, owners, repos (estimated), seen, widely_copied."""
+    found = common.arrow_map(_rows(docs, id_col, text_col, owner_col), "ledgerloom.llm.secret_scan:_batches", _SCHEMA)
+    return _owned(found.select("doc_id", "owner", F.explode("wider.hash").alias("hash"))).withColumn("widely_copied", F.col("owners") > most_owners)
 
 
 def _text_of(spans):
@@ -114,14 +122,34 @@ def digest(docs: DataFrame, **columns) -> DataFrame:
 def _redact(batches, mark: str):
     for b in batches:
         texts = []
-        for t, spans in zip(b.column("text"), b.column("spans"), strict=True):
+        for t, live in zip(b.column("text"), b.column("live").to_pylist(), strict=True):
             text, out, at = t.as_py(), [], 0
-            for s in spans.as_py() or ():
-                if s["end"] <= at:
-                    continue
-                if s["start"] >= at:
-                    out += [text[at : s["start"]], mark]
-                at = s["end"]
-            texts.append(None if text is None else "".join(out) + text[at:])
-        i = b.schema.get_field_index("text")
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == i else b.column(k) for k in range(b.num_columns - 1)], names=b.schema.names[:-1])
+            spans = base_spans(text)
+            if live:
+                live = set(live)
+                spans = sorted(spans + [(s, e, 3) for s, e in wider_spans(text, spans) if hashlib.blake2b(text[s:e].encode(), digest_size=16).digest() in live])
+            for s, e, _ in spans:
+                if s >= at:
+                    out += [text[at:s], mark]
+                at = max(at, e)
+            texts.append("".join(out) + text[at:] if spans else text)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("kept")], ["text", "kept"])
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+    """``docs`` with every span of scan(), base and added, replaced by ``mark``; overlapping spans give one mark.
+
+    Columns and their order stay; a null text stays null; ``n_chars``, where it is a column, follows the text.
+    Edge cases as in scan().
+    """
+    found = common.arrow_map(_rows(docs, id_col, text_col, owner_col), "ledgerloom.llm.secret_scan:_batches", _SCHEMA)
+    wide = common.materialize(found.filter(F.size("wider") > 0).select("doc_id", "owner", F.explode("wider.hash").alias("hash")), "candidates")
+    live = _owned(wide).filter(F.col("owners") <= most_owners).select("hash")
+    of_doc = wide.join(live, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("live")).withColumnRenamed("doc_id", "live_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
+    both = rows.join(of_doc, F.col("own_id").eqNullSafe(F.col("live_id")), "left").select("text", "live", "kept")
+    kind = rows.schema["kept"].dataType.simpleString()
+    out = common.arrow_map(both, "ledgerloom.llm.secret_scan:_redact", f"text string, kept {kind}", mark=mark)
+    text = F.when(F.col(f"kept.{text_col}").isNotNull(), F.col("text"))
+    new = {text_col: text} | ({"n_chars": F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("kept.n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))

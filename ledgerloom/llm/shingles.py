@@ -61,7 +61,20 @@ def shingles_of(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of many texts one after another, and where each text's begin and end: n + 1 offsets."""
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
+    hashes, starts, _ = word_hashes(b"\n".join(raws))
+    return hashes, np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(hashes))
+
+
 def shingle_sets(texts: list[str], size: int = 5):
     """The shingle set of each text."""
-    for t in texts:
-        yield shingles_of(word_hashes(t.encode("utf-8", "surrogatepass"))[0], size)
+    words, at = words_of(texts)
+    n = len(words) - size + 1
+    every = np.full(max(n, 0), np.uint64(size), np.uint64)
+    for k in range(size if n > 0 else 0):
+        every = mix64(every + words[k : k + n] * np.uint64(_BASE))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield np.unique(every[a : b - size + 1]) if b - a >= size else shingles_of(words[a:b], size)
