@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from ledgerloom.llm import common, decontamination, hyperminhash, packing, secret_scan, suffix_dedup, token_count, token_files, toxicity, url_rules
+from ledgerloom.llm import common, decontamination, hyperminhash, media, packing, secret_scan, suffix_dedup, token_count, token_files, toxicity, url_rules
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -77,6 +77,10 @@ def op7_decontamination(spark, sf_dir):
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_webp_media(spark, sf_dir):
+    return media.describe(media.media_column(_table(spark, sf_dir, "documents")))
+
+
 def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op7_decontamination, op9_suffix_dedup, op10_packing)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op7_decontamination, op8_webp_media, op9_suffix_dedup, op10_packing)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
