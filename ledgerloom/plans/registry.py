@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("ledgerloom.plans.fact_queries", "ledgerloom.plans.record_queries")
 
 
 def _collected(attribute: str) -> dict:
