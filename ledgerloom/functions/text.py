@@ -12,10 +12,10 @@ _WS = r"[ \t\n\r\f\x0B]+"
 
 @dataclass(frozen=True)
 class LanguageProfile:
-    """What script- and language-bound rules depend on; patterns are valid for Java and RE2 alike."""
+    """What script- and language-bound rules depend on; patterns are Java's."""
 
     letters: str = r"\p{L}"
-    foreign: str = r"\p{Han}"
+    foreign: str = r"\p{IsHan}"
     token: str = r"[A-Za-zÀ-ɏ]{2,}"
     stop_words: tuple[str, ...] = ("the", "and", "of", "is", "to", "in", "it", "die", "der", "und", "de", "la", "que", "los")
     terminators: str = r"[.!?]"
