@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("ledgerloom.plans.fact_queries", "ledgerloom.plans.record_queries", "ledgerloom.plans.text_queries")
+MODULES: tuple[str, ...] = ("ledgerloom.plans.fact_queries", "ledgerloom.plans.record_queries", "ledgerloom.plans.text_queries", "ledgerloom.plans.quality_queries")
 
 
 def _collected(attribute: str) -> dict:
