@@ -215,7 +215,7 @@ def _strings(batches):
             at = at[at <= before]
             h = _hash(sums, at, at + LENGTH)
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, head)), pa.array(h.view(np.int64)), pa.array(np.full(n, d1)), pa.array(np.full(n, d2)), pa.array(pos - before + at)], ["head", "string", "d1", "d2", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, head)), pa.array(before - at), pa.array(h.view(np.int64)), pa.array(np.full(n, d1)), pa.array(np.full(n, d2)), pa.array(pos - before + at)], ["head", "step", "string", "d1", "d2", "start"])
 
 
 def _cut(batches):
@@ -268,9 +268,10 @@ def _doubled_spans(texts: DataFrame, first: DataFrame) -> tuple[DataFrame, DataF
     small = around.filter(f"size <= {_BUCKET_MOST}").repartition(n, "head").sortWithinPartitions("head")
     spans = settled.union(common.arrow_map(small, _HERE + "_buckets", _SPAN))
     if wanted.filter(f"size > {_BUCKET_MOST}").head(1):
-        strings = common.materialize(common.arrow_map(around.filter(f"size > {_BUCKET_MOST}"), _HERE + "_strings", "head long, string long, d1 long, d2 long, start long"), "strings")
-        twice = strings.groupBy("head", "string").agg(F.count("*").alias("n")).filter("n > 1").select("head", "string")
-        spans = spans.union(strings.join(twice, ["head", "string"], "left_semi").select("d1", "d2", "start", (F.col("start") + LENGTH).alias("stop")))
+        strings = common.materialize(common.arrow_map(around.filter(f"size > {_BUCKET_MOST}"), _HERE + "_strings", "head long, step long, string long, d1 long, d2 long, start long"), "strings")
+        key = ["head", "step", "string"]  # at one step from equal anchors, equal strings always start in different places
+        twice = strings.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+        spans = spans.union(strings.join(twice, key, "left_semi").select("d1", "d2", "start", (F.col("start") + LENGTH).alias("stop")))
     return common.materialize(spans, "spans"), held
 
 
