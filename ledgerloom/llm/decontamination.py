@@ -132,7 +132,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated row of ``docs`` and benchmark block: doc_id, n_passages, passages.
 
     An overlap counts when, at one alignment without gaps, some window of ``least`` words (the whole item, if
@@ -161,7 +161,7 @@ def _drop(batches, items: list, least: int, percent: int):
             yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 2 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows contaminated() would report; columns stay. Edge cases as there."""
     now = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
