@@ -88,14 +88,14 @@ def has_foreign(text: Column, threshold: float = 0.02, profile: LanguageProfile
 
 
 def readability(text: Column, profile: LanguageProfile = LATIN, special_counts: bool = True) -> Column:
-    """0..1: 0.5 letters, 0.15 few symbols, 0.15 no replacement characters, 0.2 share of lines of 5 or more characters.
+    """0..1: 0.5 letters, 0.15 few symbols, 0.15 no replacement characters and lone jamo, 0.2 share of lines of 5 or more characters.
 
     Under ten characters: 0. Without ``special_counts`` the symbols' share is taken as 0.
     """
     visible = F.length(F.regexp_replace(text, _WS, ""))
     letters = script_ratio(text, profile)
     special = F.try_divide(count_of(text, r"[#$%&*@^~|<>\\]"), visible) if special_counts else F.lit(0.0)
-    garbage = F.try_divide(count_of(text, r"�"), visible)
+    garbage = F.try_divide(count_of(text, r"[�ㄱ-ㆎ]"), visible)
     lines = F.filter(F.transform(F.split(text, "\n"), squeezed), lambda x: x != "")
     good = F.try_divide(F.size(F.filter(lines, lambda x: F.length(x) >= 5)), F.size(lines))
     score = 0.5 * letters + 0.15 * (1 - special) + 0.15 * (1 - garbage) + 0.2 * good
