@@ -27,7 +27,8 @@ from ledgerloom.llm import common, shingles
 LENGTH, GRAM = 400, 200
 SIDE = LENGTH - GRAM
 _PERIOD = 40
-_BUCKET_MOST = 2048
+# Suffixes a task sorts at once, about a kilobyte each, and the steps before an anchor that it looks at together.
+_BUCKET_MOST, _STEPS = 32_768, 16
 
 
 def _slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -78,6 +79,7 @@ def content_key(raw: bytes) -> tuple[int, int]:
 
 def _first(batches):
     """Of each text: size, sha256, content key and anchors."""
+    common.claim("shingles", shingles.forget)
     for b in batches:
         for ids, texts in common.text_slices(b):
             rows, sizes, parts = [], [0], []
@@ -155,24 +157,28 @@ def repeated(before: np.ndarray, arounds: list[bytes]) -> np.ndarray:
     for r, (k, raw) in enumerate(zip(before.tolist(), arounds, strict=True)):
         grid[r, SIDE - k : SIDE - k + len(raw)] = np.frombuffer(raw, np.uint8)
         after[r] = len(raw) - k
-    steps = np.arange(SIDE + 1)
-    classes = []
-    for side in (grid[:, SIDE - 1 :: -1] if SIDE else grid[:, :0], grid[:, SIDE + GRAM :]):
-        order, shared = sorted_ranks(np.ascontiguousarray(side))
-        of = np.empty((SIDE + 1, m), np.int64)
-        of[:, order] = np.cumsum(shared[None, :] < steps[:, None], axis=1)
-        classes.append(of)
-    keys = classes[0] * (m + 2) + classes[1][::-1]  # step a before the anchor leaves SIDE - a behind the gram
-    fits = (before[None, :] >= steps[:, None]) & (after[None, :] >= LENGTH - steps[:, None])
-    keys = np.where(fits, keys, -1 - np.arange(m)[None, :])
-    order = np.argsort(keys, axis=1, kind="stable")
-    ranked = np.take_along_axis(keys, order, 1)
-    same = ranked[:, 1:] == ranked[:, :-1]
-    none = np.zeros((SIDE + 1, 1), bool)
-    found = np.concatenate([none, same], 1) | np.concatenate([same, none], 1)
-    out = np.zeros((SIDE + 1, m), bool)
-    np.put_along_axis(out, order, found, 1)
-    return out.T & fits.T
+    sides = []
+    for side in (grid[:, SIDE - 1 :: -1], grid[:, SIDE + GRAM :]):
+        sides.append(sorted_ranks(np.ascontiguousarray(side)))
+    out = np.zeros((m, SIDE + 1), bool)
+    every = np.arange(m)
+    for at in range(0, SIDE + 1, _STEPS):
+        steps = np.arange(at, min(at + _STEPS, SIDE + 1))
+        keys = np.zeros((len(steps), m), np.int64)
+        for (order, shared), need in zip(sides, (steps, SIDE - steps), strict=True):  # step a before the anchor leaves SIDE - a behind the gram
+            of = np.empty((len(steps), m), np.int64)
+            of[:, order] = np.cumsum(shared[None, :] < need[:, None], axis=1)
+            keys = keys * (m + 2) + of
+        fits = (before[None, :] >= steps[:, None]) & (after[None, :] >= LENGTH - steps[:, None])
+        keys = np.where(fits, keys, -1 - every[None, :])
+        order = np.argsort(keys, axis=1, kind="stable")
+        ranked = np.take_along_axis(keys, order, 1)
+        same = ranked[:, 1:] == ranked[:, :-1]
+        none = np.zeros((len(steps), 1), bool)
+        found = np.zeros((len(steps), m), bool)
+        np.put_along_axis(found, order, np.concatenate([none, same], 1) | np.concatenate([same, none], 1), 1)
+        out[:, steps] = (found & fits).T
+    return out
 
 
 def spans_of(flags: np.ndarray, pos: int) -> list[tuple[int, int]]:
@@ -243,8 +249,8 @@ _HERE = "ledgerloom.llm.suffix_dedup:"
 _SPAN = "d1 long, d2 long, start long, stop long"
 
 
-def _doubled_spans(texts: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(spans by content, texts of the contents that have any): see the module's text."""
+def _doubled_spans(texts: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans by content key, texts of the contents that share an anchor): see the module's text."""
     flat = first.select("row", F.explode("anchors").alias("a")).select("row", F.col("a.pos").alias("pos"), F.col("a.head").alias("head"), F.col("a.around").alias("around"))
     counted = flat.groupBy("head", "around").agg(F.count("*").alias("n"))
     heads = counted.groupBy("head").agg(F.count("*").alias("size"), F.sum("n").alias("total")).filter("total > 1")
@@ -267,12 +273,17 @@ def _doubled_spans(texts: DataFrame, first: DataFrame) -> tuple[DataFrame, DataF
     n = common.tasks(texts)
     small = around.filter(f"size <= {_BUCKET_MOST}").repartition(n, "head").sortWithinPartitions("head")
     spans = settled.union(common.arrow_map(small, _HERE + "_buckets", _SPAN))
+    spent = [shared]
     if wanted.filter(f"size > {_BUCKET_MOST}").head(1):
         strings = common.materialize(common.arrow_map(around.filter(f"size > {_BUCKET_MOST}"), _HERE + "_strings", "head long, step long, string long, d1 long, d2 long, start long"), "strings")
         key = ["head", "step", "string"]  # at one step from equal anchors, equal strings always start in different places
         twice = strings.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
         spans = spans.union(strings.join(twice, key, "left_semi").select("d1", "d2", "start", (F.col("start") + LENGTH).alias("stop")))
-    return common.materialize(spans, "spans"), held
+        spent.append(strings)
+    out = common.materialize(spans, "spans")
+    for table in spent:
+        common.drop_table(table)
+    return out, held
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
