@@ -144,5 +144,5 @@ ORACLES = {
     "year_of_text": r"""WITH y AS (SELECT doc_id, unnest(ys) AS y, unnest(range(len(ys))) AS k FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 5000), '(?:^|[^0-9])(20[0-9]{2})(?:$|[^0-9])', 1) AS ys FROM documents)),
         c AS (SELECT doc_id, y, count(*) AS n, min(k) AS f FROM y WHERE y BETWEEN '2010' AND '2030' GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f, y) AS r FROM c)
         SELECT d.doc_id, coalesce(CAST(b.y AS INTEGER), 2009) AS fiscal_year FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1""",
-    "question_ranking": f"""WITH {_BEST}, c AS (SELECT company, fiscal_year, metric, value FROM best WHERE metric = 'revenue' AND fiscal_year = 1999), k AS (SELECT row_number() OVER (ORDER BY value DESC, company) AS rank, * FROM c) SELECT * FROM k WHERE rank <= 7""",
+    "question_ranking": f"""WITH {_BEST}, c AS (SELECT company, fiscal_year, metric, value FROM best WHERE metric = 'revenue' AND fiscal_year = 1999), k AS (SELECT CAST(row_number() OVER (ORDER BY value DESC, company) AS INTEGER) AS rank, * FROM c) SELECT * FROM k WHERE rank <= 7""",
 }

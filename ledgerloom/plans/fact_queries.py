@@ -140,9 +140,9 @@ _ANNUAL = """w AS (
 ORACLES = {
     "fact_best_per_cell": f"{_WITH} SELECT metric, company, fiscal_year, value, period_type, report_type, fact_id FROM best",
     "fact_ranking_latest": f"""{_WITH}, l AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY fiscal_year DESC, fact_id DESC) AS n FROM kept WHERE metric = 'revenue'),
-        r AS (SELECT row_number() OVER (ORDER BY value DESC, company) AS rank, company, fiscal_year, value, fact_id FROM l WHERE n = 1)
+        r AS (SELECT CAST(row_number() OVER (ORDER BY value DESC, company) AS INTEGER) AS rank, company, fiscal_year, value, fact_id FROM l WHERE n = 1)
         SELECT * FROM r WHERE rank <= 10""",
-    "fact_ranking_lowest": f"""{_WITH}, r AS (SELECT row_number() OVER (ORDER BY value, company) AS rank, company, value FROM best WHERE metric = 'net_income' AND fiscal_year = 1998)
+    "fact_ranking_lowest": f"""{_WITH}, r AS (SELECT CAST(row_number() OVER (ORDER BY value, company) AS INTEGER) AS rank, company, value FROM best WHERE metric = 'net_income' AND fiscal_year = 1998)
         SELECT * FROM r WHERE rank <= 5""",
     "fact_trend_oldest_wins": f"""WITH {FACTS_SQL} SELECT company, fiscal_year, value, fact_id FROM (SELECT *, row_number() OVER (PARTITION BY company, fiscal_year ORDER BY fact_id) AS n
         FROM facts WHERE metric = 'revenue' AND value IS NOT NULL) WHERE n = 1""",
