@@ -35,6 +35,22 @@ def arrow_map(df: DataFrame, target: str, schema: str, **options) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def arrow_groups(grouped, target: str, schema: str) -> DataFrame:
+    """applyInArrow with ``module:function`` called in the worker on each group's table."""
+    module, _, name = target.partition(":")
+    root = ROOT
+
+    def run(table):
+        import importlib
+        import sys
+
+        if root not in sys.path:
+            sys.path.insert(0, root)
+        return getattr(importlib.import_module(module), name)(table)
+
+    return grouped.applyInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches: spark.checkpoint.dir, or an own folder where it is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -77,7 +93,20 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+_stores: dict = {}
+
+
+def claim(name: str, clear) -> None:
+    """Make this operator the one that keeps a store in this worker; other operators' stores are let go.
+
+    Workers outlive a query's stages, and what an earlier operator has kept would otherwise add up.
+    """
+    _stores[name] = clear
+    for other in [k for k in _stores if k != name]:
+        _stores.pop(other)()
+
+
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """(ids, texts) of a batch in slices of about ``most`` characters, so work arrays stay small."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -31,6 +31,9 @@ _COLLISION = 2.0**-10 / 3
 # Least estimate that goes to verification; 0.75 lies over four standard errors above it.
 _LEAST_ESTIMATE = 0.6
 _BLOCK = 2048
+# Largest set that crowded bands compare as a whole, and the similarity from which such pairs are verified:
+# 32-bit hashes may add or merge a few shingles.
+_WHOLE, _LEAST_SHORT = 1024, 0.745
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -73,6 +76,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _sketches(batches, words: int):
+    common.claim("shingles", shingles.forget)
     for b in batches:
         for ids, texts in common.text_slices(b):
             sizes, keys, regs = [], [], []
@@ -98,6 +102,7 @@ def _bands(batches):
 
 def _matching(batches, words: int):
     """Texts whose own set is the class's; a repeated id may bring other texts."""
+    common.claim("shingles", shingles.forget)
     for b in batches:
         sets = shingles.shingle_sets(b.column("text").to_pylist(), words)
         keep = [_digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)]
@@ -105,6 +110,7 @@ def _matching(batches, words: int):
 
 
 def _verify(batches, words: int, percent: int):
+    common.claim("shingles", shingles.forget)
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
@@ -118,10 +124,26 @@ def _verify(batches, words: int, percent: int):
             yield some.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
 
+def _digests(batches, words: int):
+    """For close comparison of crowded bands: short hashes of the whole set up to _WHOLE shingles, the sketch above three quarters of that."""
+    for b in batches:
+        sets = list(shingles.shingle_sets(b.column("text").to_pylist(), words))
+        short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= _WHOLE else None for s in sets]
+        regs = [r if 4 * len(s) > 3 * _WHOLE else None for s, r in zip(sets, b.column("sketch").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(regs, pa.binary()), pa.array(short, pa.binary())], ["cls", "sketch", "short"])
+
+
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a band whose estimates are high enough and whose components differ."""
+    """Pairs of one block pair of a band that look similar enough and whose components differ.
+
+    Sets of up to _WHOLE shingles are compared as wholes by 32 bits of each hash, larger ones by sketches.
+    """
     cls, comp, left = (table.column(c).to_numpy() for c in ("cls", "comp", "left"))
-    regs = _matrix(table.column("sketch").combine_chunks())
+    sketches, shorts = ([None if v is None else np.frombuffer(v, kind) for v in table.column(c).to_pylist()] for c, kind in (("sketch", np.uint16), ("short", np.uint32)))
+    has_sketch, has_short = (np.array([v is not None for v in own], bool) for own in (sketches, shorts))
+    sizes = np.array([0 if v is None else len(v) for v in shorts])
+    joined = np.concatenate([v if v is not None else np.zeros(0, np.uint32) for v in shorts])
+    starts = np.cumsum(sizes) - sizes
     names, counts = np.unique(comp, return_counts=True)
     most = names[counts.argmax()]
     one_block = bool(left.all())
@@ -131,10 +153,23 @@ def _across(table: pa.Table) -> pa.Table:
         if not one_block:
             with_whom &= left != left[x]
         with_whom[:x] &= comp[:x] == most  # of two outside the largest component, the first is asked
-        y = np.flatnonzero(with_whom)
-        y = y[estimate(regs[x], regs[y]) >= _LEAST_ESTIMATE]
-        out_a.append(np.minimum(cls[x], cls[y]))
-        out_b.append(np.maximum(cls[x], cls[y]))
+        near = []
+        if has_short[x]:
+            y = np.flatnonzero(with_whom & has_short & (4 * np.minimum(sizes, sizes[x]) >= 3 * np.maximum(sizes, sizes[x])))
+            if len(y):
+                spots = np.repeat(starts[y] - np.cumsum(sizes[y]) + sizes[y], sizes[y]) + np.arange(sizes[y].sum())
+                values, own = joined[spots], shorts[x]
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                both = np.add.reduceat(hit, np.cumsum(sizes[y]) - sizes[y])
+                near.append(y[both >= _LEAST_SHORT * (sizes[y] + sizes[x] - both)])
+            with_whom &= ~has_short
+        if has_sketch[x]:
+            y = np.flatnonzero(with_whom & has_sketch)
+            if len(y):
+                near.append(y[estimate(sketches[x], np.stack([sketches[k] for k in y])) >= _LEAST_ESTIMATE])
+        for y in near:
+            out_a.append(np.minimum(cls[x], cls[y]))
+            out_b.append(np.maximum(cls[x], cls[y]))
     make = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
     return pa.table({"a": make(out_a), "b": make(out_b)})
 
@@ -162,8 +197,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     fewer words than ``words`` the whole sequence is one shingle. Null ids take part like others; a component
     of null ids alone has a null component_id and keeps none. Repeated rows each give a row. Other columns are
     not read; an empty table gives an empty one; texts are read whole. A link at exactly the threshold shares
-    no band, and is missed, with a chance of 8 in a million, less above it.
+    no band, and is missed, with a chance of 8 in a million, less above it; bands and thresholds are made for
+    75 per cent and more, so a smaller ``percent`` is refused.
     """
+    if percent < 75:
+        raise ValueError("bands and estimates are made for 75 per cent or more")
     texts = common.id_text(docs, id_col, text_col)
     sketched = common.materialize(common.arrow_map(texts, "ledgerloom.llm.hyperminhash:_sketches", "doc_id long, n_shingles long, digest binary, sketch binary", words=words), "sketched")
     members = common.materialize(sketched.select("doc_id", "n_shingles", "digest"), "members")
@@ -185,11 +223,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
     links = _confirmed(pairs, full, words, percent)
     comps = components.components(links)
-    rest = _rest(shared, full, comps, pairs)
+    spent = [shared, pairs, full, links]
+    rest = _rest(shared, full, comps, pairs, words)
     if rest is not None:
         more = _confirmed(rest, full, words, percent)
         if more.head(1):
             comps = components.components(links.union(more))
+        spent += [rest, more]
+    for table in spent:
+        common.drop_table(table)
 
     named = classes.select("cls", "digest", "least_id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
@@ -206,22 +248,24 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
 
 
-def _rest(shared: DataFrame, full: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame | None:
+def _rest(shared: DataFrame, full: DataFrame, comps: DataFrame, tested: DataFrame, words: int) -> DataFrame | None:
     """Pairs not compared yet, of classes that share a band and lie in different components."""
     crowded = shared.filter("n > 3").select("band", "cls", "n")  # up to three classes, all pairs hold the least or the greatest
     placed = common.materialize(crowded.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
     mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
-    open_ = common.materialize(placed.join(mixed, "band").join(full.select("cls", "sketch"), "cls"), "open")
+    open_ = common.materialize(placed.join(mixed, "band"), "open")
     common.drop_table(placed)
     if not open_.head(1):
+        common.drop_table(open_)
         return None
+    digests = common.arrow_map(full.join(open_.select("cls").distinct(), "cls", "left_semi").select("cls", "sketch", "text"), "ledgerloom.llm.hyperminhash:_digests", "cls long, sketch binary, short binary", words=words)
     blocks = F.ceil(F.col("n") / _BLOCK).cast("long")
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    dealt = dealt.select("band", "cls", "comp", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    keyed = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "sketch", (F.col("own") <= F.col("other")).alias("left"))
-    found = keyed.groupBy("band", "i", "j").applyInArrow(_across_group, "a long, b long").distinct()
-    return common.materialize(found.join(tested, ["a", "b"], "left_anti"), "rest")
+    dealt = open_.join(digests, "cls").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    dealt = dealt.select("band", "cls", "comp", "sketch", "short", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    keyed = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "sketch", "short", (F.col("own") <= F.col("other")).alias("left"))
+    found = common.arrow_groups(keyed.groupBy("band", "i", "j"), "ledgerloom.llm.hyperminhash:_across", "a long, b long").distinct()
+    out = common.materialize(found.join(tested, ["a", "b"], "left_anti"), "rest")
+    common.drop_table(open_)
+    return out
 
 
-def _across_group(table):
-    return _across(table)

@@ -33,6 +33,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends) of the words of some bytes."""
     raw = np.frombuffer(data, np.uint8)

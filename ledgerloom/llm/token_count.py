@@ -125,6 +125,7 @@ def counter(path: str) -> MergeCounter:
 
 
 def _batches(batches, path: str, limit: int):
+    common.claim("token_count", counter.cache_clear)
     tool = counter(path)
     for b in batches:
         ids, sizes, counts = b.column("doc_id"), [], []

@@ -94,6 +94,7 @@ def fit(rows: list[tuple[np.ndarray, int]], p: Ftrl) -> Model:
 
 
 def _train(batches, params: Ftrl):
+    common.claim("toxicity", _KEPT.clear)
     rows = []
     for b in batches:
         for key, t, y in zip(b.column("doc_id"), b.column("text"), b.column("toxic"), strict=True):
@@ -124,6 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
 
 
 def _scores(batches, model: Model):
+    common.claim("toxicity", _KEPT.clear)
     table = np.zeros(1 << model.bits, np.float32)
     table[model.index] = model.weight
     for b in batches:
