@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -102,8 +105,13 @@ def claim(name: str, clear) -> None:
     Workers outlive a query's stages, and what an earlier operator has kept would otherwise add up.
     """
     _stores[name] = clear
-    for other in [k for k in _stores if k != name]:
+    others = [k for k in _stores if k != name]
+    for other in others:
         _stores.pop(other)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
