@@ -35,7 +35,7 @@ def _place(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
 
 
-def write_file(uri: str, documents: Iterable[tuple[int | None, bytes]], level: int = 3) -> tuple[int, int]:
+def write_file(uri: str, documents: Iterable[tuple[int | None, bytes]], level: int = 1) -> tuple[int, int]:
     """Write (doc_id, ids as bytes) to a new file and move it into place; numbers of documents and ids.
 
     A task that runs again writes the same bytes to the same name.
