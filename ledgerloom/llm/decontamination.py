@@ -15,11 +15,40 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import common, shingles
 
-# Masks of weight 6: positions with 0 are ignored (fixed values).
-MASKS = ("1111011", "11011011", "1101001101")
+# Sets of masks, heaviest first; positions with 0 are ignored (fixed values). The first hits all that 75 per cent of
+# 7 to 13 words can mean, see masks_for().
+MASK_SETS = (("10111", "111001", "10001011"), ("111",), ("11",), ("1",))
+# Items of fewer words are not searched for.
+_SHORTEST = 7
 _TABLE_BITS = 24
 
 
+def hiding(masks: tuple[str, ...], words: int) -> int:
+    """The least number of differing words that hides every mask from a window of so many words; words + 1 where none can."""
+    span = max(map(len, masks))
+    seen = [(len(m), int(m, 2)) for m in masks]
+    cost = {0: 0}  # places of differing words among the last ones, newest lowest -> their least number so far
+    for n in range(1, words + 1):
+        now: dict[int, int] = {}
+        for state, c in cost.items():
+            for differs in (0, 1):
+                new = (state << 1 | differs) & ((1 << span) - 1)
+                if all(n < size or new & bits for size, bits in seen):
+                    now[new] = min(c + differs, now.get(new, words + 1))
+        cost = now
+    return min(cost.values(), default=words + 1)
+
+
+def masks_for(least: int, percent: int) -> tuple[str, ...]:
+    """The heaviest set that shares a seed with every overlap of the rule of contaminated(), whichever words differ."""
+    if percent < 1:
+        raise ValueError("overlaps without an equal word share no seed")
+    for masks in MASK_SETS:
+        if all(hiding(masks, n) > n - -(-percent * n // 100) for n in range(min(_SHORTEST, least), least + 1)):
+            return masks
+    raise ValueError("no mask set is lossless for this rule")
+
+
 def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of every window of the mask's length over its 1-positions."""
     n = len(words) - len(mask) + 1
@@ -35,12 +64,13 @@ def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """Seeds of a block of benchmark items: sorted hashes, the item and word position of each, and a bit table."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: int, percent: int):
+        self.least, self.percent, self.masks = least, percent, masks_for(least, percent)
         self.ids = [i for i, _ in items]
         self.words = [shingles.word_hashes((t or "").encode("utf-8", "surrogatepass"))[0] for _, t in items]
         hashes, owner, place = [], [], []
         for k, w in enumerate(self.words):
-            for mask in MASKS:
+            for mask in self.masks if len(w) >= _SHORTEST else ():
                 h = masked_hashes(w, mask)
                 hashes.append(h)
                 owner.append(np.full(len(h), k, np.int64))
@@ -56,7 +86,7 @@ class Seeds:
     def touched(self, words: np.ndarray, at: np.ndarray) -> list[int]:
         """Numbers of the texts, of words one after another with offsets ``at``, that may hold a seed."""
         found = []
-        for mask in MASKS:
+        for mask in self.masks:
             h = masked_hashes(words, mask)
             k = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.hashes, h[k]), max(len(self.hashes) - 1, 0))
@@ -66,7 +96,7 @@ class Seeds:
     def hits(self, words: np.ndarray) -> np.ndarray:
         """Distinct (item, text word, item word) offsets: rows of item and of text position less item position."""
         found = []
-        for mask in MASKS:
+        for mask in self.masks:
             h = masked_hashes(words, mask)
             at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             if not len(at):
@@ -77,18 +107,18 @@ class Seeds:
             found.append(np.stack([self.owner[k], np.repeat(at, count) - self.place[k]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
-    def passages(self, words: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    def passages(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, first text word, words, equal words) of each verified overlap; see contaminated() for the rule."""
         out = []
         for k, shift in self.hits(words).tolist():
             item = self.words[k]
             a, b = max(0, shift), min(len(words), shift + len(item))
-            need = min(least, len(item))
+            need = min(self.least, len(item))
             if b - a < need:
                 continue
             same = words[a:b] == item[a - shift : b - shift]
             total = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(100 * (total[need:] - total[:-need]) >= percent * need)
+            good = np.flatnonzero(100 * (total[need:] - total[:-need]) >= self.percent * need)
             if len(good):
                 first, last = int(good[0]), int(good[-1]) + need
                 out.append((self.ids[k], a + first, last - first, int(total[last] - total[first])))
@@ -98,22 +128,22 @@ class Seeds:
 _SCHEMA = "doc_id long, n_passages int, passages array<struct<item_id:long,first_word:long,words:long,same:long>>"
 
 
-def _found(texts: list[str], seeds: Seeds, least: int, percent: int) -> dict[int, list]:
+def _found(texts: list[str], seeds: Seeds) -> dict[int, list]:
     """Passages of the texts that have any, by the text's number."""
     words, at = shingles.words_of(texts)
-    found = ((k, seeds.passages(words[at[k] : at[k + 1]], least, percent)) for k in seeds.touched(words, at))
+    found = ((k, seeds.passages(words[at[k] : at[k + 1]])) for k in seeds.touched(words, at))
     return {k: sorted(p, key=lambda f: (f[0] is None, f)) for k, p in found if p}
 
 
 def _search(batches, items: list, least: int, percent: int):
     common.claim("shingles", shingles.forget)
-    seeds = Seeds(items)
+    seeds = Seeds(items, least, percent)
     names = ("item_id", "first_word", "words", "same")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in names]))
     for b in batches:
         ids, rows = [], []
         for keys, texts in common.text_slices(b, 1 << 20):
-            for k, found in _found(texts, seeds, least, percent).items():
+            for k, found in _found(texts, seeds).items():
                 ids.append(keys[k])
                 rows.append([dict(zip(names, f, strict=True)) for f in found])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, rows)), pa.int32()), pa.array(rows, kind)], ["doc_id", "n_passages", "passages"])
@@ -138,8 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent
 
     An overlap counts when, at one alignment without gaps, some window of ``least`` words (the whole item, if
     shorter) has at least ``percent`` in a hundred equal words; it reaches from the first such window to the
-    last. Words are lower-cased A-Z and split at ASCII white space. An item shorter than the shortest mask is
-    not searched for.
+    last. Words are lower-cased A-Z and split at ASCII white space. The masks are chosen so that every such overlap
+    holds a seed, whichever words differ. An item of fewer than 7 words is not searched for.
 
     The benchmark is taken in blocks of ``block_chars`` characters, so what is sent to the tasks is bounded; a
     larger benchmark costs more passes over the documents. Null and empty texts, on either side, match
@@ -155,11 +185,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent
 
 def _drop(batches, items: list, least: int, percent: int):
     common.claim("shingles", shingles.forget)
-    seeds = Seeds(items)
+    seeds = Seeds(items, least, percent)
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            bad = _found(part.column("text").to_pylist(), seeds, least, percent)
+            bad = _found(part.column("text").to_pylist(), seeds)
             yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
 

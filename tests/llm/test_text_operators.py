@@ -1,6 +1,7 @@
 """Operators 3, 5, 6 and 7 against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -137,3 +138,44 @@ def test_decontamination_finds_every_whole_item(spark):
     whole = {i for i, t in zip(docs["doc_id"], docs["text"]) if any(x in norm(t) for x in items)}
     got = {r["doc_id"] for r in queries.op7_decontamination(spark, SF).collect()}
     assert whole <= got and len(got) <= len(whole) + 0.01 * len(docs)
+
+
+@pytest.mark.parametrize("words", range(7, 14))
+def test_no_substitution_hides_every_seed(words):
+    """All placements of as many differing words as the rule allows."""
+    masks, most = decontamination.masks_for(13, 75), words - -(-75 * words // 100)
+    places = [{p + k for k, bit in enumerate(m) if bit == "1"} for m in masks for p in range(words - len(m) + 1)]
+    assert all(any(not seed & set(differing) for seed in places) for differing in itertools.combinations(range(words), most))
+    assert decontamination.hiding(masks, words) == next(k for k in range(words + 1) if any(all(seed & set(d) for seed in places) for d in itertools.combinations(range(words), k)))
+
+
+def _brute_passages(text, items, least, percent):
+    doc, out = text.lower().split(), []
+    for k, t in items:
+        item = t.lower().split()
+        for shift in range(1 - len(item), len(doc)):
+            a, b, need = max(0, shift), min(len(doc), shift + len(item)), min(least, len(item))
+            same = [doc[i] == item[i - shift] for i in range(a, b)]
+            good = [i for i in range(len(same) - need + 1) if 100 * sum(same[i : i + need]) >= percent * need]
+            if good:
+                out.append((k, a + good[0], good[-1] + need - good[0], sum(same[good[0] : good[-1] + need])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least,percent", [(13, 75), (8, 50), (20, 90)])
+def test_decontamination_of_substituted_passages(docs, spark, least, percent):
+    rng = np.random.default_rng(least)
+    items = [(i, " ".join(f"w{rng.integers(0, 400)}" for _ in range(n))) for i, n in enumerate([7, 8, 9, 10, 11, 12, 13, 14, 17, 20, 40] * 3)]
+    rows = []
+    for i, (_, t) in enumerate(items):
+        for share in (0.1, 0.25, 0.25, 0.3, 0.5):
+            body = [w if rng.random() >= share else f"x{rng.integers(0, 99)}" for w in t.split()]
+            rows.append((len(rows), " ".join(["pre"] * (i % 3) + body + ["post"] * (i % 2))))
+        for start in range(4):
+            rows.append((len(rows), " ".join("gone" if k % 4 == start else w for k, w in enumerate(t.split()))))
+    rows += [(len(rows) + i, " ".join("gone" if k in (2, 6, 10) else w for k, w in enumerate(t.split()[:13]))) for i, (_, t) in enumerate(items)]
+    want = {k: p for k, t in rows if (p := _brute_passages(t, items, least, percent))}
+    got = decontamination.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string"), least, percent)
+    assert {r["doc_id"]: [tuple(p) for p in r["passages"]] for r in got.collect()} == want
+    kept = decontamination.remove_contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string"), least, percent)
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - set(want)
