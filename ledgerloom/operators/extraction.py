@@ -116,32 +116,44 @@ def corrected_numbers(text: Column, value: Column, shown: Column) -> Column:
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w{2,}")
-MOST_SENTENCES = 400
+
+
+def _linked_words(words: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, word, weight) of the unit vectors of idf-weighted words, less words that only one sentence has.
+
+    Those add to a sentence's length but to no similarity with another.
+    """
+    df = Counter(w for own in words for w in own)
+    place = {w: i for i, w in enumerate(df)}
+    row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+    col = np.fromiter((place[w] for own in words for w in own), np.int64, len(row))
+    shared = np.fromiter(df.values(), np.int64, len(df))
+    weight = np.array([math.log(len(words) / n) + 1 for n in shared.tolist()])[col]
+    weight /= np.sqrt(np.bincount(row, weight**2, len(words)))[row]
+    keep = shared[col] > 1
+    return row[keep], col[keep], weight[keep]
 
 
 def text_rank(text: str | None, n: int = 3, damping: float = 0.85, rounds: int = 30) -> list[str]:
     """The n most central sentences of 20 to 500 characters, in their order: cosine of idf-weighted word sets, then PageRank.
 
-    Only the first MOST_SENTENCES sentences take part, which bounds the quadratic step; that is part of the feature.
+    All sentences take part. The similarities are the product of the sentence-word matrix and its transpose less
+    the diagonal, and are never made: a round costs as much as the text has words.
     """
     parts = [s.strip() for s in _SENTENCE.split(text or "")]
-    parts = list(dict.fromkeys(s for s in parts if 20 <= len(s) <= 500))[:MOST_SENTENCES]
+    parts = list(dict.fromkeys(s for s in parts if 20 <= len(s) <= 500))
     if len(parts) <= n:
         return parts
-    words = [set(_WORD.findall(s.lower())) for s in parts]
-    df = Counter(w for own in words for w in own)
-    place = {w: i for i, w in enumerate(df)}
-    m = np.zeros((len(parts), len(place)))
-    for i, own in enumerate(words):
-        for w in own:
-            m[i, place[w]] = math.log(len(parts) / df[w]) + 1
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sim = m @ m.T
-    np.fill_diagonal(sim, 0)
-    sim /= np.maximum(sim.sum(1, keepdims=True), 1e-12)
+    row, col, weight = _linked_words([list(dict.fromkeys(_WORD.findall(s.lower()))) for s in parts])
+
+    def through(x: np.ndarray) -> np.ndarray:
+        own = weight * x[row]
+        return np.bincount(row, weight * (np.bincount(col, own)[col] - own), len(parts)) if len(row) else np.zeros(len(parts))
+
+    total = np.maximum(through(np.ones(len(parts))), 1e-12)
     rank = np.full(len(parts), 1 / len(parts))
     for _ in range(rounds):
-        rank = (1 - damping) / len(parts) + damping * sim.T @ rank
+        rank = (1 - damping) / len(parts) + damping * through(rank / total)
     numbers = np.array([len(re.findall(r"\d+", s)) >= 2 for s in parts])
     score = rank * (1 + 0.2 * numbers + 0.1 * (np.arange(len(parts)) < 3))
     chosen = sorted(np.lexsort([np.arange(len(parts)), -np.round(score, 12)])[:n])

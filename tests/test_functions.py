@@ -1,5 +1,8 @@
 """Column expressions on small literals, Hangul rules among them."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,32 @@ def test_line_work():
     assert X.markdown_tables("a  b\n1  2\n3  4\n\nplain")[0].split("\n")[:2] == ["| a | b |", "| --- | --- |"]
 
 
+def _brute_ranked(parts, n):
+    """Chosen sentences by all pairs' cosines."""
+    words = [set(re.findall(r"\w{2,}", s.lower())) for s in parts]
+    df = {w: sum(w in own for own in words) for own in words for w in own}
+    size = len(parts)
+    idf = {w: math.log(size / k) + 1 for w, k in df.items()}
+    norm = [math.sqrt(sum(idf[w] ** 2 for w in own)) for own in words]
+    sim = [[sum(idf[w] ** 2 for w in words[i] & words[j]) / (norm[i] * norm[j]) if i != j and words[i] & words[j] else 0.0 for j in range(size)] for i in range(size)]
+    sim = [[x / sum(own) for x in own] if sum(own) else own for own in sim]
+    links = [[(j, sim[j][i]) for j in range(size) if sim[j][i]] for i in range(size)]
+    rank = [1 / size] * size
+    for _ in range(30):
+        rank = [0.15 / size + 0.85 * sum(x * rank[j] for j, x in own) for own in links]
+    score = [r * (1 + 0.2 * (len(re.findall(r"\d+", s)) >= 2) + 0.1 * (i < 3)) for i, (r, s) in enumerate(zip(rank, parts))]
+    return [parts[i] for i in sorted(sorted(range(size), key=lambda i: (-round(score[i], 12), i))[:n])]
+
+
+@pytest.mark.parametrize("first", [3, 430])
+def test_text_rank_takes_all_sentences(first):
+    """Sentences that share words only from number ``first`` on, against all pairs."""
+    parts = [f"Alone{i} stands{i} by{i} itself{i}." for i in range(first)] + [f"Topic {i % 7} of paper{i % 3} and mill{i % 5}, {i * i % 11} in all." for i in range(40)]
+    parts = list(dict.fromkeys(parts))
+    got = X.text_rank("\n".join(parts), 4)
+    assert got == _brute_ranked(parts, 4) and all(s.startswith("Topic") for s in got)
+
+
 def test_corrections(spark):
     fix = lambda shown: one(spark, lambda c: X.corrected_numbers(c, F.lit(100.0), F.lit(shown)), f"was {shown:.0f}")
     assert fix(1000.0) == "was 100" and fix(300.0) == "was 300" and fix(10.0) == "was 100"
