@@ -164,7 +164,7 @@ def year_filters(spark, d):
 
 def ordered_distinct_terms(spark, d):
     docs = load(spark, d, "documents")
-    return docs.select("doc_id", F.array_join(F.slice(T.ordered_distinct(F.split(F.substring("text", 1, 300), r"[.,\n]")), 1, 3), "|").alias("firsts"))
+    return docs.select("doc_id", F.array_join(F.slice(T.ordered_distinct(F.split("text", r"[.,\n]")), 1, 3), "|").alias("firsts"))
 
 
 QUERIES = {

@@ -1,7 +1,11 @@
 """Every registered query outside the training-data operators runs; those with SQL give the same rows."""
 
+import re
+import unicodedata
+
 import pytest
 
+from ledgerloom.functions import text as T
 from ledgerloom.plans import registry
 from tests import oracles
 
@@ -32,3 +36,24 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_query_terms_reads_whole_questions(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").filter("role = 'user'").collect()
+
+    def longest(text):
+        plain = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text.lower())
+        return max((t for t in plain.split() if len(t) > 1 and t not in T.LATIN.stop_words), key=len)
+
+    want = {(r["conv_id"], r["turn"]): longest(r["text"]) for r in rows}
+    assert {(r["conv_id"], r["turn"]): r["longest"] for r in QUERIES["query_terms"](spark, SF).collect()} == want
+
+
+def test_ordered_distinct_terms_reads_whole_texts(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+    def firsts(text):
+        pieces = (re.sub(r"[ \t\n\r\f\x0b]+", " ", p).strip(" ") for p in re.split(r"[.,\n]", text))
+        return "|".join(list(dict.fromkeys(p for p in pieces if p))[:3])
+
+    assert {r["doc_id"]: r["firsts"] for r in QUERIES["ordered_distinct_terms"](spark, SF).collect()} == {r["doc_id"]: firsts(r["text"]) for r in rows}
