@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. Wider candidates, long mixed runs that no pattern names, are hashed; over
 the whole corpus the hashes' distinct repositories and owners are counted. A candidate that one owner alone
-has looks live and is added; one that several owners have is a widely copied example and is not.
+has, in few repositories, looks live and is added; one that several owners or many repositories have is a widely
+copied example and is not.
 """
 
 from __future__ import annotations
@@ -70,40 +71,45 @@ def _batches(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(base, span), pa.array(wider, wide), b.column("owner"), pa.array(digests, pa.string())], ["doc_id", "row", "base", "wider", "owner", "base_sha256"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1, most_repos: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, row, base and added spans (start, end, kind), base_sha256.
 
     A repository is a document id, an owner the value of ``owner_col``. Candidates held by at most
-    ``most_owners`` owners are added as kind ``live``.
+    ``most_owners`` owners in at most ``most_repos`` repositories are added as kind ``live``. Both are counted exactly.
 
     Null and empty texts have no spans. A null owner counts as one owner of its own; null ids count as one
     repository. Repeated rows each give a row. Other columns are not read. An empty table gives an empty one.
-    Texts are searched whole. Only hashes and spans are shuffled, never texts; hash counts are pre-aggregated
-    by (hash, owner), so a candidate in a third of all rows costs one row a task.
+    Texts are searched whole. Only hashes and spans are shuffled, never texts; they are counted
+    by (hash, owner, document id) first, then by (hash, owner), so no task gathers a candidate in a third of all rows.
     """
     found = common.materialize(common.arrow_map(_rows(docs, id_col, text_col, owner_col), "ledgerloom.llm.secret_scan:_batches", _SCHEMA), "secrets")
     wide = found.filter(F.size("wider") > 0).select("row", "doc_id", "owner", F.explode("wider").alias("w")).select("row", "doc_id", "owner", F.col("w.hash").alias("hash"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
     owned = _owned(wide)
-    live = owned.filter(F.col("owners") <= most_owners).select("hash")
+    live = owned.filter(~_copied(most_owners, most_repos)).select("hash")
     added = wide.join(live, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.lit(KINDS.index("live")).alias("kind")))).alias("added"))
     return found.select("doc_id", "row", "base", "base_sha256").join(added, "row", "left").withColumn("added", F.coalesce("added", F.expr(f"cast(array() as {_SPAN})")))
 
 
 def _owned(wide: DataFrame) -> DataFrame:
     """(hash, owners, repos, seen) over rows of (doc_id, owner, hash)."""
-    by_owner = wide.groupBy("hash", "owner").agg(F.approx_count_distinct("doc_id").alias("repos"), F.count("*").alias("seen"))
+    by_repo = wide.groupBy("hash", "owner", "doc_id").agg(F.count("*").alias("seen"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("seen").alias("seen"))
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("seen").alias("seen"))
 
 
+def _copied(most_owners: int, most_repos: int):
+    return (F.col("owners") > most_owners) | (F.col("repos") > most_repos)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
     text, owner = (F.col(c).cast("string") for c in (text_col, owner_col))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(owner, F.lit("\0none")).alias("owner"))
 
 
-def ownership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
-    """One row per distinct wider candidate: hash, owners, repos (estimated), seen, widely_copied."""
+def ownership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1, most_repos: int = 10) -> DataFrame:
+    """One row per distinct wider candidate: hash, owners, repos, seen, widely_copied."""
     found = common.arrow_map(_rows(docs, id_col, text_col, owner_col), "ledgerloom.llm.secret_scan:_batches", _SCHEMA)
-    return _owned(found.select("doc_id", "owner", F.explode("wider.hash").alias("hash"))).withColumn("widely_copied", F.col("owners") > most_owners)
+    return _owned(found.select("doc_id", "owner", F.explode("wider.hash").alias("hash"))).withColumn("widely_copied", _copied(most_owners, most_repos))
 
 
 def _text_of(spans):
@@ -136,7 +142,7 @@ def _redact(batches, mark: str):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("kept")], ["text", "kept"])
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1, most_repos: int = 10) -> DataFrame:
     """``docs`` with every span of scan(), base and added, replaced by ``mark``; overlapping spans give one mark.
 
     Columns and their order stay; a null text stays null; ``n_chars``, where it is a column, follows the text.
@@ -144,7 +150,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
     """
     found = common.arrow_map(_rows(docs, id_col, text_col, owner_col), "ledgerloom.llm.secret_scan:_batches", _SCHEMA)
     wide = common.materialize(found.filter(F.size("wider") > 0).select("doc_id", "owner", F.explode("wider.hash").alias("hash")), "candidates")
-    live = _owned(wide).filter(F.col("owners") <= most_owners).select("hash")
+    live = _owned(wide).filter(~_copied(most_owners, most_repos)).select("hash")
     of_doc = wide.join(live, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("live")).withColumnRenamed("doc_id", "live_id")
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
     both = rows.join(of_doc, F.col("own_id").eqNullSafe(F.col("live_id")), "left").select("text", "live", "kept")

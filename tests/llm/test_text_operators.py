@@ -111,6 +111,17 @@ def test_secrets(docs):
     assert {r["widely_copied"] for r in secret_scan.ownership(docs(rows)).collect()} == {True, False}
 
 
+def test_secrets_of_many_repositories_are_copies(docs):
+    """Repeats in one document and in ten are live, those in eleven documents of one owner are not."""
+    often, ten, many = (f"{c}q9" + "aB3x" * 6 for c in "XYZ")
+    rows = [(1, f"{often} " * 40, "a")] + [(i, f"see {ten}", "a") for i in range(10)] + [(i, f"see {many}", "a") for i in range(10)] + [(None, f"see {many}", "a")]
+    owned = {r["seen"]: (r["owners"], r["repos"], r["widely_copied"]) for r in secret_scan.ownership(docs(rows)).collect()}
+    assert owned == {40: (1, 1, False), 10: (1, 10, False), 11: (1, 11, True)}
+    assert sum(r["n_added"] for r in secret_scan.digest(docs(rows)).collect()) == 50
+    text = " ".join(r["text"] for r in secret_scan.redact(docs(rows)).collect())
+    assert often not in text and ten not in text and text.count(many) == 11
+
+
 def test_decontamination(docs, spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()
     near = list(item)
