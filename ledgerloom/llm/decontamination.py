@@ -8,6 +8,8 @@ substituted words do not hide a passage.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,7 +127,7 @@ class Seeds:
         return out
 
 
-_SCHEMA = "doc_id long, n_passages int, passages array<struct<item_id:long,first_word:long,words:long,same:long>>"
+_SCHEMA = "doc_id long, n_passages int, passages array<struct<item_id:long,first_word:long,words:long,same:long>>, digest binary"
 
 
 def _found(texts: list[str], seeds: Seeds) -> dict[int, list]:
@@ -141,12 +143,13 @@ def _search(batches, items: list, least: int, percent: int):
     names = ("item_id", "first_word", "words", "same")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in names]))
     for b in batches:
-        ids, rows = [], []
+        ids, rows, digests = [], [], []
         for keys, texts in common.text_slices(b, 1 << 20):
             for k, found in _found(texts, seeds).items():
                 ids.append(keys[k])
                 rows.append([dict(zip(names, f, strict=True)) for f in found])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, rows)), pa.int32()), pa.array(rows, kind)], ["doc_id", "n_passages", "passages"])
+                digests.append(hashlib.blake2b(texts[k].encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, rows)), pa.int32()), pa.array(rows, kind), pa.array(digests, pa.binary())], ["doc_id", "n_passages", "passages", "digest"])
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
@@ -164,7 +167,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per contaminated row of ``docs`` and benchmark block: doc_id, n_passages, passages.
+    """One row per contaminated row of ``docs``: doc_id, n_passages, passages, these by item, null items last.
 
     An overlap counts when, at one alignment without gaps, some window of ``least`` words (the whole item, if
     shorter) has at least ``percent`` in a hundred equal words; it reaches from the first such window to the
@@ -172,15 +175,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent
     holds a seed, whichever words differ. An item of fewer than 7 words is not searched for.
 
     The benchmark is taken in blocks of ``block_chars`` characters, so what is sent to the tasks is bounded; a
-    larger benchmark costs more passes over the documents. Null and empty texts, on either side, match
+    larger benchmark costs more passes over the documents, and only what they found is shuffled then, to make one
+    row of a document's parts; rows of the same id and text have the same parts. Null and empty texts, on either side, match
     nothing; null ids are reported as null; repeated rows each give a row. Other columns are not read. Texts
-    are searched whole. No shuffle.
+    are searched whole. One block takes no shuffle.
     """
-    texts, out = common.id_text(docs, id_col, text_col), None
+    texts, parts = common.id_text(docs, id_col, text_col), []
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
-        part = common.arrow_map(texts, "ledgerloom.llm.decontamination:_search", _SCHEMA, items=items, least=least, percent=percent)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], _SCHEMA)
+        parts.append(common.arrow_map(texts, "ledgerloom.llm.decontamination:_search", _SCHEMA, items=items, least=least, percent=percent))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], _SCHEMA).drop("digest")
+    return (parts[0] if len(parts) == 1 else _merged(parts)).drop("digest")
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """One row per row found in any of the parts: equal rows are counted in each part, which has all of them or none."""
+    found = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("part", F.lit(i))
+        found = part if found is None else found.union(part)
+    once = found.groupBy("doc_id", "digest", "part").agg(F.count("*").alias("copies"), F.first("passages").alias("passages"))
+    whole = once.groupBy("doc_id", "digest").agg(F.first("copies").alias("copies"), F.flatten(F.collect_list("passages")).alias("all"))
+    keyed = F.array_sort(F.transform("all", lambda p: F.struct(p["item_id"].isNull().alias("unnamed"), p.alias("p"))))
+    rows = whole.select("doc_id", "digest", F.transform(keyed, lambda s: s["p"]).alias("passages"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select("doc_id", F.size("passages").alias("n_passages"), "passages", "digest")
 
 
 def _drop(batches, items: list, least: int, percent: int):

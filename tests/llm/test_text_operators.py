@@ -190,3 +190,13 @@ def test_decontamination_of_substituted_passages(docs, spark, least, percent):
     assert {r["doc_id"]: [tuple(p) for p in r["passages"]] for r in got.collect()} == want
     kept = decontamination.remove_contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string"), least, percent)
     assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - set(want)
+
+
+def test_blocks_of_the_benchmark_give_one_row_a_document(docs, spark):
+    items = [(k, " ".join(f"{c}{i}" for i in range(15))) for k, c in ((3, "a"), (None, "b"), (1, "c"), (None, "d"))]
+    both, one = " x ".join(t for _, t in items), f"y {items[0][1]}"
+    rows = [(1, both), (1, both), (1, one), (2, one), (None, both), (None, one), (3, "z"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = rows_of(decontamination.contaminated(docs(rows), bench), "doc_id", "n_passages", "passages")
+    split = decontamination.contaminated(docs(rows), bench, block_chars=10)
+    assert rows_of(split, "doc_id", "n_passages", "passages") == whole and len(whole) == 6 and split.columns == ["doc_id", "n_passages", "passages"]
