@@ -78,13 +78,15 @@ def _digest(found: np.ndarray) -> bytes:
 def _sketches(batches, words: int):
     common.claim("shingles", shingles.forget)
     for b in batches:
+        at = 0
         for ids, texts in common.text_slices(b):
+            own, at = b.column("text_key").slice(at, len(ids)), at + len(ids)
             sizes, keys, regs = [], [], []
             for s in shingles.shingle_sets(texts, words):
                 sizes.append(len(s))
                 keys.append(_digest(s))
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), own, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "sketch"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -200,13 +202,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     no band, and is missed, with a chance of 8 in a million, less above it; bands and thresholds are made for
     75 per cent and more, so a smaller ``percent`` is refused.
     """
+    out = _grouped(docs, words, percent, id_col, text_col)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def _text_key(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _row_key():
+    """Orders rows by id, null ids last, and then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """For near_duplicates(): doc_id, text_key, n_shingles, and of the component its least id and the row key of its first row."""
     if percent < 75:
         raise ValueError("bands and estimates are made for 75 per cent or more")
     texts = common.id_text(docs, id_col, text_col)
-    sketched = common.materialize(common.arrow_map(texts, "ledgerloom.llm.hyperminhash:_sketches", "doc_id long, n_shingles long, digest binary, sketch binary", words=words), "sketched")
-    members = common.materialize(sketched.select("doc_id", "n_shingles", "digest"), "members")
-    grouped = sketched.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"))
-    classes = common.materialize(grouped.withColumn("cls", _scattered(F.monotonically_increasing_id())).select("cls", "digest", "least_id", "sketch"), "classes")
+    sketched = common.materialize(common.arrow_map(texts.withColumn("text_key", _text_key("text")), "ledgerloom.llm.hyperminhash:_sketches", "doc_id long, text_key long, n_shingles long, digest binary, sketch binary", words=words), "sketched")
+    members = common.materialize(sketched.select("doc_id", "text_key", "n_shingles", "digest"), "members")
+    grouped = sketched.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min(_row_key()).alias("best"), F.first("sketch").alias("sketch"))
+    classes = common.materialize(grouped.withColumn("cls", _scattered(F.monotonically_increasing_id())).select("cls", "digest", "least_id", "best", "sketch"), "classes")
     common.drop_table(sketched)
 
     bands = common.arrow_map(classes.select("cls", "sketch"), "ledgerloom.llm.hyperminhash:_bands", "band long, cls long")
@@ -215,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     star = shared.select(F.explode(F.array(F.struct(F.least("cls", "lo").alias("a"), F.greatest("cls", "lo").alias("b")), F.struct(F.least("cls", "hi").alias("a"), F.greatest("cls", "hi").alias("b")))).alias("p")).select("p.a", "p.b").filter("a <> b").distinct()
     pairs = common.materialize(star, "pairs")
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.drop("best"), "cls")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     fetched = texts.withColumn("key", key).join(wanted.withColumn("key", F.coalesce("least_id", F.lit(-(1 << 63)))), "key").select("cls", "digest", "sketch", "text")
     own = common.arrow_map(fetched, "ledgerloom.llm.hyperminhash:_matching", "cls long, sketch binary, text string", words=words)
@@ -233,19 +251,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     for table in spent:
         common.drop_table(table)
 
-    named = classes.select("cls", "digest", "least_id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_digest = named.join(least, "comp").select("digest", "component_id")
-    out = members.join(of_digest, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    named = classes.select("cls", "digest", "least_id", "best").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("best").alias("best"))
+    of_digest = named.select("comp", "digest").join(least, "comp").select("digest", "component_id", "best")
+    return members.join(of_digest, "digest", "left")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less the rows near_duplicates() does not keep: of each group the least id's stay. Rows of null ids stay."""
-    found = near_duplicates(docs, words, percent, id_col, text_col)
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    """``docs`` with one row of each component of near_duplicates(): of the least id, null ids being last.
+
+    Of several texts under that id one is kept, always the same, and of rows repeated with id and text any one.
+    Rows without shingles all stay. Rows are told apart by id and a 64-bit hash of the text.
+    """
+    found = _grouped(docs, words, percent, id_col, text_col).filter("n_shingles > 0").select("doc_id", "text_key", (_row_key() == F.col("best")).alias("first"))
+    named = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (_text_key(text_col) == F.col("_text"))
+    gone = named(found.filter("not first")).distinct()
+    again = common.materialize(named(found.filter("first").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")), "again")
+    kept = docs.join(gone, same, "left_anti")
+    if not again.head(1):
+        return kept
+    several = docs.join(again, same, "left_semi").withColumn("_text", _text_key(text_col))
+    return kept.join(again, same, "left_anti").unionByName(several.dropDuplicates([id_col, "_text"]).drop("_text"))
 
 
 def _rest(shared: DataFrame, full: DataFrame, comps: DataFrame, tested: DataFrame, words: int) -> DataFrame | None:

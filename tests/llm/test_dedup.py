@@ -69,6 +69,19 @@ def test_near_duplicates_equal_brute_force(docs, odd_rows):
     assert hyperminhash.near_duplicates(docs([])).count() == 0
 
 
+def test_one_row_of_each_group_stays(docs):
+    """Repeated ids with other texts, repeated rows and null ids."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + "end"), (4, c), (4, c), (4, c + "end"), (None, c), (None, "n " + a), (None, "only null ids one two"), (None, "only null ids one two"), (None, "only  null ids one two"), (5, None), (5, None), (None, "")]
+    got = hyperminhash.one_of_each(docs(rows))
+    out = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert got.columns == docs([]).columns and set(out) <= set(rows)
+    words = [(k, (t or "").split()[:1]) for k, t in out]
+    assert sorted(w for w in words if w[0] is not None) == [(1, ["a0"]), (2, ["b0"]), (4, ["c0"]), (5, []), (5, [])]
+    assert sorted(w for k, w in words if k is None) == [[], ["only"]]
+    assert hyperminhash.one_of_each(docs([])).count() == 0
+
+
 def test_crowded_band_is_compared_in_blocks(docs, monkeypatch):
     """Chains of copies, each like the next only, in blocks far smaller than their bands."""
     monkeypatch.setattr(hyperminhash, "_BLOCK", 4)
