@@ -160,10 +160,10 @@ def test_repeats_equal_brute_force(docs):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
-def test_large_buckets_are_counted(docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_BUCKET_MOST", 1)
+@pytest.mark.parametrize("most", [1, 2])
+def test_large_buckets_are_split(docs, most):
     rows = _repeat_rows()
-    assert rows_of(suffix_dedup.remove_repeats(docs(rows)), *_COLUMNS) == _sorted(_without_repeats(rows))
+    assert rows_of(suffix_dedup.remove_repeats(docs(rows), bucket_most=most), *_COLUMNS) == _sorted(_without_repeats(rows))
 
 
 def test_sample_ranks_sort_rows():
@@ -171,12 +171,48 @@ def test_sample_ranks_sort_rows():
     rows = rng.integers(0, 2, (60, 130), dtype=np.uint8)
     rows[10:20] = rows[5]
     rows[15, 129] ^= 1
-    order, shared = suffix_dedup.sorted_ranks(rows)
-    text = [rows[i].tobytes() for i in order]
-    assert text == sorted(text)
-    for i in range(1, 60):
-        n = next((k for k in range(130) if text[i][k] != text[i - 1][k]), 130)
-        assert shared[i] == n
+    sizes = rng.integers(100, 131, 60)
+    for r, n in zip(rows, sizes):
+        r[n:] = 0
+    text = [r[:n].tobytes() for r, n in zip(rows, sizes)]
+    order = np.argsort(suffix_dedup.sample_ranks(rows, sizes), kind="stable")
+    assert [text[i] for i in order] == sorted(text)
+
+
+def test_steps_of_buckets_equal_all_pairs():
+    """Buckets of many sizes, with suffixes that end early, NUL bytes and clashing anchor hashes, against comparison of all pairs."""
+    rng = np.random.default_rng(8)
+    side, gram, length = suffix_dedup.SIDE, suffix_dedup.GRAM, suffix_dedup.LENGTH
+    bucket = np.repeat(np.arange(9), [1, 2, 2, 3, 5, 8, 2, 13, 40])
+    m = len(bucket)
+    grid = np.zeros((m, side + length), np.uint8)
+    before, after = rng.integers(60, side + 1, m), rng.integers(gram + 60, length + 1, m)
+    for r in range(m):
+        grid[r, rng.integers(60, side) : rng.integers(length, side + length)] = 7
+        if bucket[r] == 7 and r % 2:
+            grid[r, length - 1] = 9
+        grid[r, : side - before[r]] = 0
+        grid[r, side + after[r] :] = 0
+    grid[:, side : length - 1] = 5
+    lo, hi = np.where(bucket == 5, 20, 0), np.where(bucket == 5, 110, side)
+    least, greatest = suffix_dedup.repeated(bucket, before, after, grid, lo, hi)
+    for r in range(m):
+        steps = []
+        for s in np.flatnonzero(bucket == bucket[r]).tolist():
+            fits = [a for a in range(lo[r], hi[r] + 1) if min(before[r], before[s]) >= a and min(after[r], after[s]) >= length - a]
+            steps += [a for a in fits if s != r and (grid[r, side - a : side - a + length] == grid[s, side - a : side - a + length]).all()]
+        assert (least[r], greatest[r]) == (min(steps, default=side + 1), max(steps, default=-1)), r
+
+
+def test_repeats_in_long_texts(docs):
+    """Texts over a megabyte, and a passage in many texts with other surroundings each."""
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefgh \n"), n))
+    long, passage = text(1_200_000), text(450)
+    rows = [(1, long), (2, text(500) + long[700_000:701_000] + text(500)), (3, long[:600]), *((10 + i, text(120) + passage + text(130)) for i in range(150))]
+    got = dict((r[0], r[1:]) for r in rows_of(suffix_dedup.remove_repeats(docs(rows), bucket_most=64), *_COLUMNS))
+    assert got[1][1:3] == (1600, 2) and got[2][1:3] == (1000, 1) and got[3][1:3] == (600, 1)
+    assert [(k, *got[k]) for k in range(10, 160)] == _without_repeats(rows[3:])
 
 
 def test_pipeline_stages(spark):
