@@ -113,17 +113,22 @@ def learn(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
     """Fit on at most ``params.sample`` labelled rows outside the held-out fold, taken by hash of the id.
 
     Labels of one id that differ count as 1; null labels and ids are passed over. Without labelled rows the
-    model scores 0.5 everywhere. The sample bounds the one training task and the broadcast of its ids.
+    model scores 0.5 everywhere; null and empty texts teach the bias alone; an id that several rows bear teaches
+    with each. The sample bounds the one training task, what is shuffled to it and the broadcast of its ids.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample)
-    rows = common.id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").coalesce(1)
-    found = common.arrow_map(rows.select("doc_id", "text", "toxic"), "ledgerloom.llm.toxicity:_train", "index binary, weight binary, bias double", params=params).collect()
+    found = common.arrow_map(_sample(docs, labels, params, id_col, text_col, label_col), "ledgerloom.llm.toxicity:_train", "index binary, weight binary, bias double", params=params).collect()
     if not found:
         return Model(params.bits, np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
     return Model(params.bits, np.frombuffer(found[0]["index"], "<i8"), np.frombuffer(found[0]["weight"], "<f4"), found[0]["bias"])
 
 
+def _sample(docs: DataFrame, labels: DataFrame, params: Ftrl, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """The labelled rows that learn() fits on, in one partition; every task scans its share of ``docs`` for them."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample)
+    return common.id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").repartition(1)
+
+
 def _scores(batches, model: Model):
     common.claim("toxicity", _KEPT.clear)
     table = np.zeros(1 << model.bits, np.float32)
@@ -147,7 +152,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more; columns and order of columns stay."""
+    """``docs`` without the rows that score 0.5 or more; columns and order of columns stay.
+
+    Null and empty texts get the bias alone, as in score(), and null texts stay null; null ids stay; repeated rows go or stay together; an
+    empty table gives an empty one. Columns of any name pass through unread. No shuffle.
+    """
     inner = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
     kind = inner.schema["kept"].dataType.simpleString()
     return common.arrow_map(inner, "ledgerloom.llm.toxicity:_scores", f"doc_id long, score double, kept {kind}", model=model).filter("score < 0.5").select("kept.*")

@@ -1,7 +1,9 @@
 """Operators 3, 5, 6 and 7 against brute force."""
 
+import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -27,6 +29,45 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert scores[held == 1].mean() > scores[held == 0].mean() + 0.3
 
 
+def test_toxicity_learns_from_the_sample_alone(docs, spark):
+    """All tasks scan, and only the sample's rows reach the one training task."""
+    rows = docs([(i, f"text {i}") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    sample = toxicity._sample(rows, labels, toxicity.Ftrl(sample=50), "doc_id", "text", "toxic")
+    assert sample.count() == 50 and sample.rdd.getNumPartitions() == 1
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition 1, true") < plan.index("Join")
+
+
+def test_toxicity_equals_plain_ftrl():
+    """The learner against the textbook's per-coordinate formulas over dictionaries."""
+    p = toxicity.Ftrl(bits=12, alpha=0.7, beta=1.0, l1=0.5, l2=0.3, epochs=3)
+    rng = np.random.default_rng(9)
+    rows = [(np.unique(rng.integers(0, 40, 6)), int(rng.integers(0, 2))) for _ in range(60)]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            own = [*x.tolist(), "bias"]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    m = toxicity.fit(rows, p)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert m.index.tolist() == sorted(want) and np.allclose(m.weight, [want[i] for i in sorted(want)], rtol=1e-5)
+    assert abs(m.bias - weight("bias")) < 1e-9
+
+
 def test_toxicity_edges(docs, odd_rows, spark):
     labels = spark.createDataFrame([(4, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(docs(odd_rows), labels)
