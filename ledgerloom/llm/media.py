@@ -15,7 +15,7 @@ from ledgerloom.llm import common, webp
 WIDTH = 576
 # Rows of an image; longer payloads take several images, so that decoding stays bounded and side by side.
 ROWS = 16
-_TILES_AT_ONCE = 1500
+_TILES_AT_ONCE = 2500
 
 
 def payload(raw: bytes) -> np.ndarray:
@@ -71,8 +71,8 @@ def decode_all(medias: list[bytes]) -> list[np.ndarray]:
 
 def _describe(batches):
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
             medias = part.column("media").to_pylist()
             rows = []
             for pixels, media in zip(decode_all(medias), medias, strict=True):

@@ -1,14 +1,16 @@
-"""Lossless WebP: a whole decoder, a batch decoder for simple streams, and an encoder of greyscale rows.
+"""Lossless WebP: a whole decoder, a batch decoder for greyscale streams, and an encoder of greyscale rows.
 
 ``decode`` reads any lossless file: prefix codes, back-references, colour cache, and the inverses of the
-predictor, cross-colour, subtract-green and palette transforms. ``decode_many`` decodes streams of literals
-side by side, a symbol of each at a time, and hands every other stream to ``decode``.
+predictor, cross-colour, subtract-green and palette transforms. ``decode_many`` decodes streams of literals and
+back-references, with subtract-green or a palette, side by side, a symbol of each at a time, and hands every
+other stream to ``decode``. ``encode_grey`` uses back-references, and a palette of packed pixels instead of
+subtract-green, wherever these make a file smaller.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -29,6 +31,9 @@ _DISTANCES = (
 _LITERALS, _LENGTHS, _FAR = 256, 24, 40
 _PREDICTOR, _CROSS, _GREEN, _PALETTE = range(4)
 _MOST_BITS = 11
+# Samples that a back-reference of the encoder repeats at least and at most, and bits for a place in an image;
+# symbols that the batch decoder takes of each stream before it looks which have ended.
+_SEED, _LONGEST, _PLACE_BITS, _STEPS = 8, 4096, 18, 64
 
 
 class Bits:
@@ -52,19 +57,25 @@ class Bits:
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol, first bit lowest, for given code lengths."""
-    order = np.lexsort([np.arange(len(lengths)), lengths])
-    codes, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for s in order.tolist():
-        n = int(lengths[s])
-        if not n:
-            continue
-        code <<= n - last
-        last = n
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    used = np.flatnonzero(lengths)
+    codes = np.zeros(len(lengths), np.int64)
+    if not len(used):
+        return codes
+    sizes = lengths[used]
+    order = np.argsort(sizes, kind="stable")
+    used, sizes = used[order], sizes[order]
+    most = int(sizes[-1])
+    before = np.cumsum(1 << (most - sizes)) - (1 << (most - sizes))  # room taken so far, in codes of the greatest length
+    value = before >> (most - sizes)
+    codes[used] = _BACKWARD[value] >> (16 - sizes)
     return codes
 
 
+_BACKWARD = np.zeros(1 << 16, np.int64)  # 16 bits in the opposite order
+for _k in range(16):
+    _BACKWARD |= (np.arange(1 << 16) >> _k & 1) << (15 - _k)
+
+
 class Prefix:
     """A prefix code as a table over its longest code: symbol and length of what the next bits begin with."""
 
@@ -95,6 +106,12 @@ class Prefix:
         return self.symbols[k]
 
 
+@functools.lru_cache(1024)
+def _known_prefix(lengths: tuple) -> Prefix:
+    """Codes that streams have in common: of code lengths, and of one symbol."""
+    return Prefix(lengths)
+
+
 def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
     lengths = [0] * alphabet
     if bits.read(1):
@@ -103,11 +120,11 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
         lengths[first] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return Prefix(lengths)
+        return _known_prefix(tuple(lengths))
     own = [0] * 19
     for k in range(4 + bits.read(4)):
         own[_CODE_ORDER[k]] = bits.read(3)
-    code = Prefix(own)
+    code = _known_prefix(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
     while at < alphabet and left:
@@ -336,25 +353,35 @@ def code_lengths(counts: np.ndarray, most: int = _MOST_BITS) -> np.ndarray:
         lengths[used] = 1
         return lengths
     while True:
-        heap = [(int(counts[s]), s, s) for s in used]
-        heapify(heap)
-        serial = len(counts)
-        while len(heap) > 1:
-            a, b = heappop(heap), heappop(heap)
-            heappush(heap, (a[0] + b[0], serial, (a[2], b[2])))
-            serial += 1
-        stack = [(heap[0][2], 0)]
-        while stack:
-            node, depth = stack.pop()
-            if isinstance(node, tuple):
-                stack += ((node[0], depth + 1), (node[1], depth + 1))
-            else:
-                lengths[node] = depth
-        if lengths.max() <= most:
+        order = sorted(used, key=counts.tolist().__getitem__)
+        weights = [int(counts[k]) for k in order]  # leaves, then inner nodes as they are made, both ascending
+        n, parents = len(order), [0] * (2 * len(order) - 1)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= new or weights[leaf] <= weights[inner]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, inner = inner, inner + 1
+                total += weights[pick]
+                parents[pick] = new
+            weights.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parents[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[order] = depth[:n]
             return lengths
         counts = np.where(counts > 0, (counts >> 1) + 1, 0)
 
 
+# Code lengths of code lengths as the encoder writes them: 1 to 11 and the short run of zeros, 4 bits each; none and the long run, 3 bits.
+_OWN = np.array([3] + [4] * _MOST_BITS + [0] * 5 + [4, 3])
+_OWN_CODES = canonical(_OWN)
+_OWN_CODES_LIST = _OWN_CODES.tolist()
+
+
 class Writer:
     """Least significant bit first writer."""
 
@@ -374,42 +401,29 @@ class Writer:
         """A prefix code's lengths, plain or, for one symbol under 256, in the short form."""
         used = np.flatnonzero(lengths)
         if len(used) <= 1:
-            s = int(used[0]) if len(used) else 0
-            self.put(1, 1)
-            self.put(0, 1)
-            self.put(1, 1)
-            self.put(s, 8)
+            self.put(0b101 | (int(used[0]) if len(used) else 0) << 3, 11)
             return
-        # of the code lengths 1 to 11 and the short run of zeros, 4 bits each; no length and the long run, 3 bits
-        own = np.zeros(19, np.int64)
-        own[[*range(1, _MOST_BITS + 1), 17]] = 4
-        own[[0, 18]] = 3
-        codes = canonical(own)
-        self.put(0, 1)
-        self.put(15, 4)
+        self.put(0b11110, 5)
         for k in _CODE_ORDER:
-            self.put(int(own[k]), 3)
+            self.put(int(_OWN[k]), 3)
         self.put(0, 1)
-        edges = np.flatnonzero(np.diff(lengths != 0)) + 1
-        for part in np.split(lengths, edges):
-            if part[0]:
-                for n in part.tolist():
-                    self.put(int(codes[n]), int(own[n]))
-                continue
-            left = len(part)
+        last = 0
+        for at in [*used.tolist(), len(lengths)]:
+            left = at - last
             while left:
                 if left >= 11:
                     n = min(left, 138)
-                    self.put(int(codes[18]), 3)
-                    self.put(n - 11, 7)
+                    self.put(int(_OWN_CODES[18]) | n - 11 << 3, 10)
                 elif left >= 3:
                     n = left
-                    self.put(int(codes[17]), 4)
-                    self.put(n - 3, 3)
+                    self.put(int(_OWN_CODES[17]) | n - 3 << 4, 7)
                 else:
                     n = 1
-                    self.put(int(codes[0]), 3)
+                    self.put(int(_OWN_CODES[0]), 3)
                 left -= n
+            if at < len(lengths):
+                self.put(_OWN_CODES_LIST[lengths[at]], 4)
+            last = at + 1
 
     def done(self) -> bytes:
         sizes = np.array(self.sizes, np.int64)
@@ -433,91 +447,291 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
 
+def split_run(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distances from 1 on; the inverse of _run()."""
+    v = values.astype(np.int64) - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(extra, 0) & 1)), v & ((1 << extra) - 1), extra
+
+
+_NONE = (np.zeros(0, np.int64),) * 3
+
+
+def references(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, distances) of back-references to the last place with the same _SEED samples, first come first served."""
+    n = len(flat) - _SEED + 1
+    if n < 2:
+        return _NONE
+    seeds = np.ndarray((n,), "<u8", np.ascontiguousarray(flat), strides=(1,))
+    keys = (seeds * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(n, dtype=np.uint64)
+    keys.sort()
+    place = (keys & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    same = seeds[place[1:]] == seeds[place[:-1]]
+    far = np.zeros(n, np.int64)
+    far[place[1:][same]] = (place[1:] - place[:-1])[same]
+    first = np.flatnonzero((far > 0) & (far != np.append(0, far[:-1])))
+    edges = np.append(np.flatnonzero(np.diff(far)) + 1, n)
+    ends = edges[np.searchsorted(edges, first, "right")] + _SEED - 1
+    out, at = [], 0
+    for start, end, d in zip(first.tolist(), ends.tolist(), far[first].tolist(), strict=True):
+        start = max(start, at)
+        while end - start >= _SEED:
+            size = min(end - start, _LONGEST)
+            out.append((start, size, d))
+            start = at = start + size
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def _stream(flat: np.ndarray, refs) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bits of a stream of green literals and references, its values and their sizes, and the prefix codes of green and distance."""
+    starts, sizes, far = refs
+    counts = np.zeros(_LITERALS + _LENGTHS, np.int64)
+    if not len(starts):
+        counts[:256] = np.bincount(flat, minlength=256)
+        lengths = code_lengths(counts)
+        if (lengths > 0).sum() < 2:
+            none = np.zeros(0, np.int64)
+            return 0, none, none, [lengths, _only(0, _FAR)]
+        return int(counts @ lengths), canonical(lengths)[flat], lengths[flat], [lengths, _only(0, _FAR)]
+    edge = np.zeros(len(flat) + 1, np.int64)
+    edge[starts] = 1
+    edge[starts + sizes] -= 1
+    plain = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+    literals = flat[plain]
+    sign, more, n_more = split_run(sizes)
+    d_sign, d_more, d_n = split_run(far + 120)
+    counts[:256] = np.bincount(literals, minlength=256)
+    counts[_LITERALS:] = np.bincount(sign, minlength=_LENGTHS)
+    lengths, d_lengths = code_lengths(counts), code_lengths(np.bincount(d_sign, minlength=_FAR))
+    codes = canonical(lengths)
+    if (d_lengths > 0).sum() < 2:
+        d_codes, d_bits = np.zeros(_FAR, np.int64), np.zeros(_FAR, np.int64)
+    else:
+        d_codes, d_bits = canonical(d_lengths), d_lengths
+    values, bits = (np.empty(len(plain) + 4 * len(starts), np.int64) for _ in range(2))
+    slot = np.arange(len(plain)) + 4 * np.searchsorted(starts, plain)
+    values[slot], bits[slot] = codes[literals], lengths[literals]
+    slot = 4 * np.arange(len(starts)) + np.searchsorted(plain, starts)
+    for k, (v, b) in enumerate(((codes[_LITERALS + sign], lengths[_LITERALS + sign]), (more, n_more), (d_codes[d_sign], d_bits[d_sign]), (d_more, d_n))):
+        values[slot + k], bits[slot + k] = v, b
+    return int(bits.sum()), values, bits, [lengths, d_lengths]
+
+
+def _only(symbol: int, alphabet: int) -> np.ndarray:
+    out = np.zeros(alphabet, np.int64)
+    out[symbol] = 1
+    return out
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A greyscale image, 8-bit samples in rows, as a lossless WebP file: subtract-green, one Huffman code of literals."""
+    """A greyscale image, 8-bit samples in rows, as a lossless WebP file.
+
+    Up to 16 different samples become a palette, whose indices are packed into fewer pixels; more of them stay,
+    under subtract-green. Back-references are used where they save bits, their codes' lengths included.
+    """
     height, width = samples.shape
-    flat = samples.reshape(-1)
-    lengths = np.zeros(_LITERALS + _LENGTHS, np.int64)
-    lengths[:256] = code_lengths(np.bincount(flat, minlength=256))
-    codes = canonical(lengths)
     w = Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (_GREEN, 2), (0, 1), (0, 1), (0, 1)):
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1)):
         w.put(value, n)
-    w.prefix(lengths)
-    for only in (0, 0, 255, 0):  # red and blue less green, alpha, distance
-        one = np.zeros(256, np.int64)
-        one[only] = 1
-        w.prefix(one)
-    if (lengths > 0).sum() > 1:
-        head, sizes = np.array(w.values, np.int64), np.array(w.sizes, np.int64)
-        return riff(pack_bits(np.concatenate([head, codes[flat]]), np.concatenate([sizes, lengths[flat]])))
-    return riff(w.done())
+    used = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
+    if 1 < len(used) <= 16:
+        pack = 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1
+        w.put(_PALETTE, 2)
+        w.put(len(used) - 1, 8)
+        w.put(0, 1)  # no colour cache in the palette's image
+        steps = np.diff(used, prepend=0)
+        table = code_lengths(np.bincount(steps, minlength=_LITERALS + _LENGTHS))
+        alpha = code_lengths(np.bincount([255, 0], minlength=256))
+        for code in (table, table[:256], table[:256], alpha, _only(0, _FAR)):
+            w.prefix(code)
+        codes, a_codes = canonical(table), canonical(alpha)
+        for k, step in enumerate(steps.tolist()):  # green, red, blue and alpha of each entry less the one before
+            for _ in range(3):
+                w.put(int(codes[step]), int(table[step]) if (table > 0).sum() > 1 else 0)
+            w.put(int(a_codes[0 if k else 255]), 1)
+        bits = 8 >> pack
+        index = np.zeros((height, _up(width, pack) << pack), np.int64)
+        index[:, :width] = np.searchsorted(used, samples)
+        flat = (index.reshape(height, -1, 1 << pack) << np.arange(0, 8, bits)).sum(2).astype(np.uint8).reshape(-1)
+    else:
+        w.put(_GREEN, 2)
+        flat = samples.reshape(-1)
+    for _ in range(3):  # no further transform, no colour cache, no further prefix codes
+        w.put(0, 1)
+    refs, best = references(flat), None
+    if len(refs[0]):
+        best = _stream(flat, refs)
+        own = np.bincount(flat, minlength=1)
+        own = own[own > 0]
+        if best[0] + 8 * (best[3][1] > 0).sum() + 120 > own @ np.log2(len(flat) / own):  # no code of literals alone takes less than the latter
+            best = min(best, _stream(flat, _NONE), key=lambda s: s[0] + 8 * sum((c > 0).sum() for c in s[3]))
+    _, values, sizes, (green, far) = best or _stream(flat, _NONE)
+    w.prefix(green)
+    for only in (0, 0, 255):  # red and blue less green, alpha
+        w.put(0b101 | only << 3, 11)
+    w.prefix(far)
+    head, head_sizes = np.array(w.values, np.int64), np.array(w.sizes, np.int64)
+    return riff(pack_bits(np.concatenate([head, values]), np.concatenate([head_sizes, sizes])))
 
 
 class _Header:
-    """Of a stream of encode_grey's kind: shape, prefix lengths of the literals and where these begin; else None."""
+    """Of a greyscale stream as encode_grey() makes it: shape, palette, the codes of green and distance and where pixels begin; else no code."""
 
     def __init__(self, stream: bytes):
         bits = Bits(stream)
         bits.read(8)
-        self.width, self.height = bits.read(14) + 1, bits.read(14) + 1
+        self.full, self.height = bits.read(14) + 1, bits.read(14) + 1
+        self.width, self.palette, self.pack, self.code = self.full, None, 0, None
         bits.read(4)
-        self.code = None
         kinds = []
         while bits.read(1):
             kinds.append(bits.read(2))
-            if kinds != [_GREEN]:
+            if kinds == [_PALETTE]:
+                n = bits.read(8) + 1
+                self.palette = np.cumsum(_bytes(_read_pixels(bits, n, 1, False)), axis=0, dtype=np.uint8)
+                self.pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                self.width = _up(self.full, self.pack)
+            elif kinds != [_GREEN]:
                 return
-        if bits.read(1) or bits.read(1):
+        if len(kinds) != 1 or bits.read(1) or bits.read(1):
             return
-        green, red, blue, alpha, _ = (_read_prefix(bits, n) for n in (_LITERALS + _LENGTHS, 256, 256, 256, _FAR))
+        green, red, blue, alpha, far = (_read_prefix(bits, n) for n in (_LITERALS + _LENGTHS, 256, 256, 256, _FAR))
         plain = not (red.bits or blue.bits or alpha.bits) and (red.symbols[0], blue.symbols[0], alpha.symbols[0]) == (0, 0, 255)
-        if kinds == [_GREEN] and plain and green.bits <= _MOST_BITS and not green.lengths[_LITERALS:].any():
-            self.code, self.at = green, bits.at
+        if plain and max(green.bits, far.bits) <= _MOST_BITS:
+            self.code, self.far, self.at = green, far, bits.at
+
+    def samples(self, pixels: np.ndarray) -> np.ndarray:
+        """Rows of grey samples from the stream's green samples."""
+        pixels = pixels.reshape(self.height, self.width)
+        if self.palette is None:
+            return np.ascontiguousarray(pixels)
+        image = np.zeros((self.height, self.width, 4), np.uint8)
+        image[..., 1] = pixels
+        return _grey(_undo_palette(image, self.palette, self.full, self.pack)[..., [2, 1, 0, 3]])
+
+
+def _grey(rgba: np.ndarray) -> np.ndarray:
+    if (rgba[..., 0] != rgba[..., 1]).any() or (rgba[..., 1] != rgba[..., 2]).any():
+        raise ValueError("not a greyscale image")
+    return np.ascontiguousarray(rgba[..., 1])
+
+
+def _rebuilt(symbols: np.ndarray, at: list[int], sizes: list[int], far: list[int], total: int) -> np.ndarray:
+    """Samples of one stream from its symbols and, in their order, the references among them; nothing follows one at an even place."""
+    raw, out, last = symbols.astype(np.uint8).tobytes(), bytearray(), 0
+    for k, size, d in zip(at, sizes, far, strict=True):
+        if len(out) + k - last >= total:
+            break
+        out += raw[last:k]
+        last = k + 2 - k % 2
+        have = len(out)
+        if d > have or have + size > total:
+            raise ValueError("a back-reference leaves the image")
+        if d >= size:
+            out += out[have - d : have - d + size]
+        else:
+            out += (out[have - d :] * (size // d + 1))[:size]
+    out += raw[last : last + total - len(out)]
+    return np.frombuffer(out, np.uint8)
+
+
+def _table(code: Prefix) -> np.ndarray:
+    """size << 9 | symbol for every run of _MOST_BITS bits."""
+    own = np.array(code.sizes, np.uint16) << 9 | np.array(code.symbols, np.uint16)
+    return np.tile(own, (1 << _MOST_BITS) // len(own))
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """Greyscale samples of many files; literal streams are decoded a symbol of each at a time."""
+    """Greyscale samples of many files; streams of encode_grey's kind are decoded a symbol of each at a time."""
     streams = [_payload(f) for f in files]
     heads = [_Header(s) for s in streams]
     out: list = [None] * len(files)
     fast = []
     for k, h in enumerate(heads):
         if h.code is None:
-            rgba = decode(files[k])
-            if (rgba[..., 0] != rgba[..., 1]).any() or (rgba[..., 1] != rgba[..., 2]).any():
-                raise ValueError("not a greyscale image")
-            out[k] = rgba[..., 1]
-        elif not h.code.bits:
-            out[k] = np.full((h.height, h.width), h.code.symbols[0], np.uint8)
+            out[k] = _grey(decode(files[k]))
+        elif not h.code.bits and h.code.symbols[0] < _LITERALS:
+            out[k] = h.samples(np.full(h.height * h.width, h.code.symbols[0], np.uint8))
         else:
             fast.append(k)
-    fast.sort(key=lambda k: -heads[k].width * heads[k].height)
     if not fast:
         return out
     sizes = np.array([heads[k].width * heads[k].height for k in fast])
-    joined = b"".join(streams[k] for k in fast) + b"\0" * 8
+    joined = b"".join(streams[k] for k in fast) + b"\0" * (8 * _STEPS)
     starts = np.cumsum([0] + [len(streams[k]) for k in fast[:-1]])
     window = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))  # eight bytes from every byte on
-    at = 8 * starts + np.array([heads[k].at for k in fast])
-    table = np.zeros((len(fast), 1 << _MOST_BITS), np.uint16)  # size << 8 | symbol
-    for r, k in enumerate(fast):
-        code = heads[k].code
-        table[r] = np.tile(np.array(code.sizes, np.uint16) << 8 | np.array(code.symbols, np.uint16), 1 << (_MOST_BITS - code.bits))
-    table, base = table.reshape(-1), np.arange(len(fast)) << _MOST_BITS
-    found = np.zeros((int(sizes[0]), len(fast)), np.uint8)
-    mask, active, per = (1 << _MOST_BITS) - 1, len(fast), 5  # 5 symbols of 11 bits fit in 64 bits less 7
-    for t in range(0, int(sizes[0]), per):
-        while sizes[active - 1] <= t:
-            active -= 1
-        place = at[:active]
-        bits = (window[place >> 3] >> (place & 7).astype(np.uint64)).astype(np.int64)
-        for k in range(min(per, int(sizes[0]) - t)):
-            e = table[base[:active] + (bits & mask)]
-            found[t + k, :active] = e
-            n = (e >> 8).astype(np.int64)
-            bits >>= n
-            place += n
+    place = 8 * starts + np.array([heads[k].at for k in fast])
+    green = np.concatenate([_table(heads[k].code) for k in fast])
+    far = np.concatenate([_table(heads[k].far) for k in fast])
+    near = np.array([[0] * len(fast)] + [[max(1, x + y * heads[k].width) for k in fast] for x, y in _DISTANCES])
+    mask = np.uint64((1 << _MOST_BITS) - 1)
+    active, left = np.arange(len(fast)), sizes.copy()
+    symbols, who, parts = [], [], []
+    steps = 0
+    while len(active):
+        now, base, rest = place[active], active << _MOST_BITS, left[active]
+        block = np.empty((_STEPS, len(active)), np.uint16)
+        for t in range(0, _STEPS, 2):  # a literal and what follows fit in 57 bits; what follows a reference waits for the next bits
+            bits = window[now >> 3] >> (now & 7).astype(np.uint64)
+            size = np.zeros(len(active), np.int64)
+            for k in (0, 1):
+                e = green[base + (bits >> size.view(np.uint64) & mask).view(np.int64)]
+                n_bits = (e >> 9).astype(np.int64)
+                e &= 511
+                block[t + k] = e
+                if k:
+                    n_bits[first] = 0
+                size += n_bits
+                refs = np.flatnonzero(e >= _LITERALS)
+                if k and len(first):
+                    refs = np.setdiff1d(refs, first, assume_unique=True)
+                else:
+                    first = refs
+                if not len(refs):
+                    continue
+                n, b, used = _runs(e[refs] - _LITERALS, bits[refs] >> size[refs].view(np.uint64))
+                f = far[base[refs] + (b & mask).view(np.int64)]
+                f_bits = f >> 9
+                d, _, d_used = _runs(f & 511, b >> f_bits)
+                d = np.where(d > 120, d - 120, near[np.minimum(d, 120), active[refs]])
+                size[refs] += used + f_bits + d_used
+                rest[refs] -= n - (1 if k else 2)
+                parts.append((active[refs], np.full(len(refs), steps + t + k), n, d))
+            now += size
+        rest -= _STEPS
+        place[active], left[active] = now, rest
+        symbols.append(block)
+        who.append(active)
+        steps += _STEPS
+        active = active[(rest > 0) & (now < 8 * (len(joined) - 8 * _STEPS))]
+    if (left > 0).any():
+        raise ValueError("the stream ends too early")
+    every = np.zeros((steps, len(fast)), np.uint16)
+    for k, (block, own) in enumerate(zip(symbols, who, strict=True)):
+        every[k * _STEPS : (k + 1) * _STEPS, own] = block
+    every = np.ascontiguousarray(every.T)
+    if parts:
+        owner, at, n, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(owner, kind="stable")
+        edges = np.searchsorted(owner[order], np.arange(len(fast) + 1))
+        at, n, d = (c[order].tolist() for c in (at, n, d))
     for r, k in enumerate(fast):
-        out[k] = np.ascontiguousarray(found[: sizes[r], r]).reshape(heads[k].height, heads[k].width)
+        if parts and edges[r + 1] > edges[r]:
+            own = slice(edges[r], edges[r + 1])
+            pixels = _rebuilt(every[r], at[own], n[own], d[own], int(sizes[r]))
+        else:
+            pixels = every[r, : sizes[r]].astype(np.uint8)
+        out[k] = heads[k].samples(pixels)
     return out
+
+
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(64)])
+_LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(64)])
+_MORE = (np.uint64(1) << _EXTRA.astype(np.uint64)) - np.uint64(1)
+
+
+def _runs(symbol: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_run() of many: values, the bits after them, and how many they took."""
+    extra = _EXTRA[symbol]
+    return _LEAST[symbol] + (bits & _MORE[symbol]).view(np.int64), bits >> extra.view(np.uint64), extra

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from ledgerloom.llm import media, webp
@@ -34,6 +35,32 @@ def test_both_decoders(shape):
         assert (many == x).all() and (webp.decode(f)[..., 0] == x).all() and (webp.decode(f)[..., 3] == 255).all()
 
 
+def test_many_sizes_and_repeats_through_both_decoders():
+    rng = np.random.default_rng(3)
+    images = []
+    for n in (2, 3, 4, 5, 16, 17, 60, 256):
+        for height, width in ((1, 1), (1, 9), (3, 576), (16, 576), (7, 33)):
+            own = rng.choice(256, n, replace=False).astype(np.uint8)
+            words = [own[rng.integers(0, n, rng.integers(3, 40))] for _ in range(12)]
+            row = np.concatenate([words[k] for k in rng.integers(0, 12, height * width)])[: height * width]
+            images += [row.reshape(height, width), own[rng.integers(0, n, (height, width))], np.tile(own[: 3 % n + 1], height * width)[: height * width].reshape(height, width)]
+    files = [webp.encode_grey(x) for x in images]
+    for x, many, f in zip(images, webp.decode_many(files), files):
+        assert (many == x).all() and (webp.decode(f)[..., :3] == x[..., None]).all()
+
+
+def test_documents_use_references_and_palettes():
+    """On real texts the encoder's features occur, shrink files, and are read back by both decoders."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    files = [f for t in [*texts, "the lazy dog", "a" * 700, "ab" * 3000] for f in media.split(media.encode((t or "").encode()))]
+    heads = [webp._Header(webp._payload(f)) for f in files]
+    assert all(h.code is not None for h in heads)
+    refs = [h.code.lengths[256:].any() for h in heads]
+    assert sum(refs) > len(files) // 2 and sum(h.palette is not None for h in heads) >= 3
+    for f, many in zip(files[-12:], webp.decode_many(files)[-12:]):
+        assert (webp.decode(f)[..., 0] == many).all()
+
+
 def _plain_codes(w, alphabet_extra=0):
     """Flat prefix codes: 8 bits for green's literals and for red, blue and alpha, one symbol for distance."""
     green = np.zeros(280 + alphabet_extra, np.int64)
