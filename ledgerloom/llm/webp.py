@@ -112,7 +112,8 @@ def _known_prefix(lengths: tuple) -> Prefix:
     return Prefix(lengths)
 
 
-def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
+def _read_prefix(bits: Bits, alphabet: int, make=Prefix):
+    """The next prefix code, as ``make`` makes it of its lengths; such as streams have in common are kept."""
     lengths = [0] * alphabet
     if bits.read(1):
         two = bits.read(1)
@@ -120,27 +121,37 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
         lengths[first] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return _known_prefix(tuple(lengths))
+        return _known_prefix(tuple(lengths)) if make is Prefix else make(lengths)
     own = [0] * 19
     for k in range(4 + bits.read(4)):
         own[_CODE_ORDER[k]] = bits.read(3)
     code = _known_prefix(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, last = 0, 8
+    # as one number, lowest bit next: no length takes over 14 bits with what repeats it
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * alphabet + 2], "little") >> (bits.at & 7)
+    symbols, sizes, mask, at, last, taken = code.symbols, code.sizes, (1 << code.bits) - 1, 0, 8, 0
     while at < alphabet and left:
         left -= 1
-        s = code.next(bits)
+        k = ahead & mask
+        s, n = symbols[k], sizes[k]
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
-            continue
-        again, what = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-        if at + again > alphabet:
-            raise ValueError("code lengths run over")
-        lengths[at : at + again] = [what] * again
-        at += again
-    return Prefix(lengths)
+        else:
+            more, least, what = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
+            again = least + (ahead >> n & ((1 << more) - 1))
+            n += more
+            if at + again > alphabet:
+                raise ValueError("code lengths run over")
+            lengths[at : at + again] = [what] * again
+            at += again
+        ahead >>= n
+        taken += n
+    bits.at += taken
+    if bits.at > bits.size:
+        raise ValueError("the stream ends too early")
+    return make(lengths)
 
 
 def _run(symbol: int, bits: Bits) -> int:
@@ -378,8 +389,9 @@ def code_lengths(counts: np.ndarray, most: int = _MOST_BITS) -> np.ndarray:
 
 # Code lengths of code lengths as the encoder writes them: 1 to 11 and the short run of zeros, 4 bits each; none and the long run, 3 bits.
 _OWN = np.array([3] + [4] * _MOST_BITS + [0] * 5 + [4, 3])
-_OWN_CODES = canonical(_OWN)
-_OWN_CODES_LIST = _OWN_CODES.tolist()
+_OWN_CODES = canonical(_OWN).tolist()
+_OWN_HEAD = [0b11110, *(int(_OWN[k]) for k in _CODE_ORDER), 0]
+_OWN_HEAD_SIZES = [5] + [3] * 19 + [1]
 
 
 class Writer:
@@ -403,26 +415,26 @@ class Writer:
         if len(used) <= 1:
             self.put(0b101 | (int(used[0]) if len(used) else 0) << 3, 11)
             return
-        self.put(0b11110, 5)
-        for k in _CODE_ORDER:
-            self.put(int(_OWN[k]), 3)
-        self.put(0, 1)
+        values, sizes = self.values, self.sizes
+        values += _OWN_HEAD
+        sizes += _OWN_HEAD_SIZES
         last = 0
-        for at in [*used.tolist(), len(lengths)]:
+        for at, n in zip([*used.tolist(), len(lengths)], [*lengths[used].tolist(), 0], strict=True):
             left = at - last
             while left:
                 if left >= 11:
-                    n = min(left, 138)
-                    self.put(int(_OWN_CODES[18]) | n - 11 << 3, 10)
+                    run = min(left, 138)
+                    self.put(_OWN_CODES[18] | run - 11 << 3, 10)
                 elif left >= 3:
-                    n = left
-                    self.put(int(_OWN_CODES[17]) | n - 3 << 4, 7)
+                    run = left
+                    self.put(_OWN_CODES[17] | run - 3 << 4, 7)
                 else:
-                    n = 1
-                    self.put(int(_OWN_CODES[0]), 3)
-                left -= n
-            if at < len(lengths):
-                self.put(_OWN_CODES_LIST[lengths[at]], 4)
+                    run = 1
+                    self.put(_OWN_CODES[0], 3)
+                left -= run
+            if n:
+                values.append(_OWN_CODES[n])
+                sizes.append(4)
             last = at + 1
 
     def done(self) -> bytes:
@@ -575,6 +587,10 @@ def encode_grey(samples: np.ndarray) -> bytes:
     return riff(pack_bits(np.concatenate([head, values]), np.concatenate([head_sizes, sizes])))
 
 
+# Codes of one symbol for red and blue less green and for alpha, as the encoder writes them.
+_GREY_CODES = 0b101 | 0b101 << 11 | (0b101 | 255 << 3) << 22
+
+
 class _Header:
     """Of a greyscale stream as encode_grey() makes it: shape, palette, the codes of green and distance and where pixels begin; else no code."""
 
@@ -596,10 +612,12 @@ class _Header:
                 return
         if len(kinds) != 1 or bits.read(1) or bits.read(1):
             return
-        green, red, blue, alpha, far = (_read_prefix(bits, n) for n in (_LITERALS + _LENGTHS, 256, 256, 256, _FAR))
-        plain = not (red.bits or blue.bits or alpha.bits) and (red.symbols[0], blue.symbols[0], alpha.symbols[0]) == (0, 0, 255)
-        if plain and max(green.bits, far.bits) <= _MOST_BITS:
-            self.code, self.far, self.at = green, far, bits.at
+        green = _read_prefix(bits, _LITERALS + _LENGTHS, list)
+        if bits.read(33) == _GREY_CODES:
+            far = _read_prefix(bits, _FAR, list)
+            if max(max(green), max(far)) <= _MOST_BITS:
+                self.code, self.far, self.at = green, far, bits.at
+                self.only = green.index(max(green)) if sum(map(bool, green)) < 2 else None
 
     def samples(self, pixels: np.ndarray) -> np.ndarray:
         """Rows of grey samples from the stream's green samples."""
@@ -636,10 +654,26 @@ def _rebuilt(symbols: np.ndarray, at: list[int], sizes: list[int], far: list[int
     return np.frombuffer(out, np.uint8)
 
 
-def _table(code: Prefix) -> np.ndarray:
-    """size << 9 | symbol for every run of _MOST_BITS bits."""
-    own = np.array(code.sizes, np.uint16) << 9 | np.array(code.symbols, np.uint16)
-    return np.tile(own, (1 << _MOST_BITS) // len(own))
+_TURNED = _BACKWARD[: 1 << _MOST_BITS] >> (16 - _MOST_BITS)
+
+
+def _tables(lengths: np.ndarray) -> np.ndarray:
+    """Of a row of code lengths for each stream: size << 9 | symbol for every run of _MOST_BITS bits, streams one after another."""
+    used = lengths > 0
+    lone = np.flatnonzero(used.sum(1) < 2)  # one symbol takes no bits
+    row, symbol = np.nonzero(used)
+    size = lengths[row, symbol].astype(np.int64)
+    order = np.lexsort([symbol, size, row])
+    row, symbol, size = row[order], symbol[order], size[order]
+    room = 1 << (_MOST_BITS - size)
+    alone = np.isin(row, lone)
+    room[alone] = 1 << _MOST_BITS
+    size[alone] = 0
+    if (np.bincount(row, weights=room, minlength=len(lengths))[used.any(1)] != 1 << _MOST_BITS).any():
+        raise ValueError("a prefix code is not complete")
+    out = np.zeros((len(lengths), 1 << _MOST_BITS), np.uint16)
+    out[used.any(1)] = np.repeat((size << 9 | symbol).astype(np.uint16), room).reshape(-1, 1 << _MOST_BITS)
+    return out[:, _TURNED].reshape(-1)
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
@@ -651,8 +685,8 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
     for k, h in enumerate(heads):
         if h.code is None:
             out[k] = _grey(decode(files[k]))
-        elif not h.code.bits and h.code.symbols[0] < _LITERALS:
-            out[k] = h.samples(np.full(h.height * h.width, h.code.symbols[0], np.uint8))
+        elif h.only is not None and h.only < _LITERALS:
+            out[k] = h.samples(np.full(h.height * h.width, h.only, np.uint8))
         else:
             fast.append(k)
     if not fast:
@@ -662,8 +696,7 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
     starts = np.cumsum([0] + [len(streams[k]) for k in fast[:-1]])
     window = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))  # eight bytes from every byte on
     place = 8 * starts + np.array([heads[k].at for k in fast])
-    green = np.concatenate([_table(heads[k].code) for k in fast])
-    far = np.concatenate([_table(heads[k].far) for k in fast])
+    green, far = (_tables(np.array([getattr(heads[k], which) for k in fast], np.uint8)) for which in ("code", "far"))
     near = np.array([[0] * len(fast)] + [[max(1, x + y * heads[k].width) for k in fast] for x, y in _DISTANCES])
     mask = np.uint64((1 << _MOST_BITS) - 1)
     active, left = np.arange(len(fast)), sizes.copy()
@@ -679,15 +712,11 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
                 e = green[base + (bits >> size.view(np.uint64) & mask).view(np.int64)]
                 n_bits = (e >> 9).astype(np.int64)
                 e &= 511
-                block[t + k] = e
                 if k:
-                    n_bits[first] = 0
+                    n_bits[refs] = e[refs] = 0
+                block[t + k] = e
                 size += n_bits
                 refs = np.flatnonzero(e >= _LITERALS)
-                if k and len(first):
-                    refs = np.setdiff1d(refs, first, assume_unique=True)
-                else:
-                    first = refs
                 if not len(refs):
                     continue
                 n, b, used = _runs(e[refs] - _LITERALS, bits[refs] >> size[refs].view(np.uint64))
