@@ -8,7 +8,8 @@ substituted words do not hide a passage.
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,7 @@ from ledgerloom.llm import common, shingles
 # Sets of masks, heaviest first; positions with 0 are ignored (fixed values). The first hits all that 75 per cent of
 # 7 to 13 words can mean, see masks_for().
 MASK_SETS = (("10111", "111001", "10001011"), ("111",), ("11",), ("1",))
-# Items of fewer words are not searched for.
-_SHORTEST = 7
-_TABLE_BITS = 24
+_TABLE_BITS, _HITS_AT_ONCE = 24, 1 << 20
 
 
 def hiding(masks: tuple[str, ...], words: int) -> int:
@@ -41,12 +40,12 @@ def hiding(masks: tuple[str, ...], words: int) -> int:
     return min(cost.values(), default=words + 1)
 
 
-def masks_for(least: int, percent: int) -> tuple[str, ...]:
+def masks_for(least: int, percent: int, shortest: int = 7) -> tuple[str, ...]:
     """The heaviest set that shares a seed with every overlap of the rule of contaminated(), whichever words differ."""
     if percent < 1:
         raise ValueError("overlaps without an equal word share no seed")
     for masks in MASK_SETS:
-        if all(hiding(masks, n) > n - -(-percent * n // 100) for n in range(min(_SHORTEST, least), least + 1)):
+        if all(hiding(masks, n) > n - -(-percent * n // 100) for n in range(max(1, min(shortest, least)), least + 1)):
             return masks
     raise ValueError("no mask set is lossless for this rule")
 
@@ -66,13 +65,13 @@ def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """Seeds of a block of benchmark items: sorted hashes, the item and word position of each, and a bit table."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int, percent: int):
-        self.least, self.percent, self.masks = least, percent, masks_for(least, percent)
+    def __init__(self, items: list[tuple[int, str]], least: int, percent: int, shortest: int = 7):
+        self.least, self.percent, self.masks = least, percent, masks_for(least, percent, shortest)
         self.ids = [i for i, _ in items]
         self.words = [shingles.word_hashes((t or "").encode("utf-8", "surrogatepass"))[0] for _, t in items]
         hashes, owner, place = [], [], []
         for k, w in enumerate(self.words):
-            for mask in self.masks if len(w) >= _SHORTEST else ():
+            for mask in self.masks if len(w) >= shortest else ():
                 h = masked_hashes(w, mask)
                 hashes.append(h)
                 owner.append(np.full(len(h), k, np.int64))
@@ -95,9 +94,8 @@ class Seeds:
             found.append(k[self.hashes[place] == h[k]] if len(self.hashes) else k[:0])
         return np.unique(np.searchsorted(at, np.concatenate(found), "right") - 1).tolist()
 
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, text word, item word) offsets: rows of item and of text position less item position."""
-        found = []
+    def hits(self, words: np.ndarray):
+        """Distinct rows of item and of text position less item position, some at a time: a phrase that both repeat is never paired whole."""
         for mask in self.masks:
             h = masked_hashes(words, mask)
             at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
@@ -105,14 +103,19 @@ class Seeds:
                 continue
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            k = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-            found.append(np.stack([self.owner[k], np.repeat(at, count) - self.place[k]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            edges = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + _HITS_AT_ONCE, _HITS_AT_ONCE))
+            for a, b in itertools.pairwise([*edges.tolist(), len(at)]):
+                own = count[a:b]
+                k = np.repeat(lo[a:b] - np.cumsum(own) + own, own) + np.arange(own.sum())
+                yield np.unique(np.stack([self.owner[k], np.repeat(at[a:b], own) - self.place[k]], 1), axis=0)
 
     def passages(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, first text word, words, equal words) of each verified overlap; see contaminated() for the rule."""
-        out = []
-        for k, shift in self.hits(words).tolist():
+        out, tested = [], set()
+        for k, shift in itertools.chain.from_iterable(part.tolist() for part in self.hits(words)):
+            if (k, shift) in tested:
+                continue
+            tested.add((k, shift))
             item = self.words[k]
             a, b = max(0, shift), min(len(words), shift + len(item))
             need = min(self.least, len(item))
@@ -127,7 +130,7 @@ class Seeds:
         return out
 
 
-_SCHEMA = "doc_id long, n_passages int, passages array<struct<item_id:long,first_word:long,words:long,same:long>>, digest binary"
+_SCHEMA = "doc_id long, n_passages int, passages array<struct<item_id:long,first_word:long,words:long,same:long>>, digest string"
 
 
 def _found(texts: list[str], seeds: Seeds) -> dict[int, list]:
@@ -137,19 +140,20 @@ def _found(texts: list[str], seeds: Seeds) -> dict[int, list]:
     return {k: sorted(p, key=lambda f: (f[0] is None, f)) for k, p in found if p}
 
 
-def _search(batches, items: list, least: int, percent: int):
+def _search(batches, items: list, least: int, percent: int, shortest: int):
     common.claim("shingles", shingles.forget)
-    seeds = Seeds(items, least, percent)
+    seeds = Seeds(items, least, percent, shortest)
     names = ("item_id", "first_word", "words", "same")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in names]))
     for b in batches:
-        ids, rows, digests = [], [], []
-        for keys, texts in common.text_slices(b, 1 << 20):
+        at, picked, rows = 0, [], []
+        for _, texts in common.text_slices(b, 1 << 20):
             for k, found in _found(texts, seeds).items():
-                ids.append(keys[k])
+                picked.append(at + k)
                 rows.append([dict(zip(names, f, strict=True)) for f in found])
-                digests.append(hashlib.blake2b(texts[k].encode("utf-8", "surrogatepass"), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, rows)), pa.int32()), pa.array(rows, kind), pa.array(digests, pa.binary())], ["doc_id", "n_passages", "passages", "digest"])
+            at += len(texts)
+        own = b.take(pa.array(picked, pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(list(map(len, rows)), pa.int32()), pa.array(rows, kind), own.column("digest")], ["doc_id", "n_passages", "passages", "digest"])
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
@@ -166,34 +170,39 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, shortest: int = 7, block_chars: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated row of ``docs``: doc_id, n_passages, passages, these by item, null items last.
 
     An overlap counts when, at one alignment without gaps, some window of ``least`` words (the whole item, if
     shorter) has at least ``percent`` in a hundred equal words; it reaches from the first such window to the
     last. Words are lower-cased A-Z and split at ASCII white space. The masks are chosen so that every such overlap
-    holds a seed, whichever words differ. An item of fewer than 7 words is not searched for.
-
-    The benchmark is taken in blocks of ``block_chars`` characters, so what is sent to the tasks is bounded; a
-    larger benchmark costs more passes over the documents, and only what they found is shuffled then, to make one
-    row of a document's parts; rows of the same id and text have the same parts. Null and empty texts, on either side, match
-    nothing; null ids are reported as null; repeated rows each give a row. Other columns are not read. Texts
-    are searched whole. One block takes no shuffle.
+    holds a seed, whichever words differ. Items of fewer than ``shortest`` words are no evidence, so they are part of
+    no overlap; with a smaller ``shortest`` lighter masks find those too.
+
+    The benchmark is taken in blocks of ``block_chars`` characters, one at a time at the driver and in the tasks; a
+    larger benchmark costs more passes over the documents. What each pass has found is written to the shared
+    folder, and that alone is shuffled then, to make one row of a document's parts; rows of the same id and text
+    have the same parts. Null and empty texts, on either side, match nothing; null ids are reported as null;
+    repeated rows each give a row; an empty table on either side gives an empty one. Other columns are not read.
+    Texts are searched whole. One block takes no shuffle.
     """
-    texts, parts = common.id_text(docs, id_col, text_col), []
-    for items in _blocks(benchmark, item_col, item_text_col, block_chars):
-        parts.append(common.arrow_map(texts, "ledgerloom.llm.decontamination:_search", _SCHEMA, items=items, least=least, percent=percent))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], _SCHEMA).drop("digest")
-    return (parts[0] if len(parts) == 1 else _merged(parts)).drop("digest")
+    return _contaminated(docs, benchmark, least, percent, shortest, block_chars, id_col, text_col, item_col, item_text_col).drop("digest")
+
+
+def _contaminated(docs, benchmark, least, percent, shortest, block_chars, id_col, text_col, item_col, item_text_col) -> DataFrame:
+    """contaminated() with the texts' MD5 as ``digest``."""
+    texts = common.id_text(docs, id_col, text_col).withColumn("digest", F.md5("text"))
+    search = lambda items: common.arrow_map(texts, "ledgerloom.llm.decontamination:_search", _SCHEMA, items=items, least=least, percent=percent, shortest=shortest)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return search(first) if first else docs.sparkSession.createDataFrame([], _SCHEMA)
+    return _merged([common.materialize(search(items), "passages") for items in itertools.chain([first, second], blocks)])
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
     """One row per row found in any of the parts: equal rows are counted in each part, which has all of them or none."""
-    found = None
-    for i, part in enumerate(parts):
-        part = part.withColumn("part", F.lit(i))
-        found = part if found is None else found.union(part)
+    found = functools.reduce(DataFrame.union, (part.withColumn("part", F.lit(i)) for i, part in enumerate(parts)))
     once = found.groupBy("doc_id", "digest", "part").agg(F.count("*").alias("copies"), F.first("passages").alias("passages"))
     whole = once.groupBy("doc_id", "digest").agg(F.first("copies").alias("copies"), F.flatten(F.collect_list("passages")).alias("all"))
     keyed = F.array_sort(F.transform("all", lambda p: F.struct(p["item_id"].isNull().alias("unnamed"), p.alias("p"))))
@@ -201,9 +210,9 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return rows.select("doc_id", F.size("passages").alias("n_passages"), "passages", "digest")
 
 
-def _drop(batches, items: list, least: int, percent: int):
+def _drop(batches, items: list, least: int, percent: int, shortest: int):
     common.claim("shingles", shingles.forget)
-    seeds = Seeds(items, least, percent)
+    seeds = Seeds(items, least, percent, shortest)
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
@@ -211,9 +220,20 @@ def _drop(batches, items: list, least: int, percent: int):
             yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, block_chars: int = 2 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows contaminated() would report; columns stay. Edge cases as there."""
-    now = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
-    for items in _blocks(benchmark, item_col, item_text_col, block_chars):
-        now = common.arrow_map(now, "ledgerloom.llm.decontamination:_drop", now.schema.simpleString()[7:-1].replace("text:string,kept:", "text string, kept ", 1), items=items, least=least, percent=percent)
-    return now.select("kept.*")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, shortest: int = 7, block_chars: int = 2 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows contaminated() would report; columns stay. Edge cases as there.
+
+    With one block of the benchmark there is no shuffle; with more, the found texts' digests are joined.
+    """
+    blocks = list(itertools.islice(_blocks(benchmark, item_col, item_text_col, block_chars), 2))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        inner = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
+        kind = inner.schema["kept"].dataType.simpleString()
+        kept = common.arrow_map(inner, "ledgerloom.llm.decontamination:_drop", f"text string, kept {kind}", items=blocks[0], least=least, percent=percent, shortest=shortest)
+        return kept.select("kept.*")
+    ids = docs.withColumn("_id", F.lit(None).cast("long"))
+    found = _contaminated(ids, benchmark, least, percent, shortest, block_chars, "_id", text_col, item_col, item_text_col)
+    bad = found.select(F.col("digest").alias("_digest")).distinct()
+    return docs.join(bad, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_digest"), "left_anti")
