@@ -163,6 +163,29 @@ def test_secrets_of_many_repositories_are_copies(docs):
     assert often not in text and ten not in text and text.count(many) == 11
 
 
+def test_copied_base_spans_are_told(docs):
+    """Base spans stay, whoever holds them; those that several owners or many repositories hold are counted as copies."""
+    rows = [(1, "token=abcdefghijkl and password: abcdefghijkl", "a"), (2, "secret = 'abcdefghijkl'", "b"), (3, "AKIA" + "Q" * 16, "a"), (4, "x" * 3 + " deadbeefdeadbeef12", "c"), (4, "deadbeefdeadbeef12", "c")]
+    got = sorted((r["doc_id"], r["n_assign"], r["n_copied"]) for r in secret_scan.digest(docs(rows)).collect())
+    assert got == [(1, 2, 2), (2, 1, 1), (3, 0, 0), (4, 0, 0), (4, 0, 0)]
+
+
+def test_wider_spans_equal_all_pairs():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        text = "".join(rng.choice(list("aB3 x-é"), rng.integers(0, 300), p=[0.3, 0.3, 0.2, 0.05, 0.05, 0.05, 0.05]))
+        base = sorted((s, s + int(rng.integers(1, 60)), 0) for s in rng.integers(0, max(1, len(text)), rng.integers(0, 5)).tolist())
+        runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text)]
+        want = [(s, e) for s, e in runs if not any(a < e and b > s for a, b, _ in base) and "a" in text[s:e].replace("x", "a") and "B" in text[s:e] and "3" in text[s:e]]
+        assert secret_scan.wider_spans(text, base) == want
+
+
+def test_redaction_with_null_and_repeated_ids(docs):
+    live = ["Zq9" + c * 4 + "aB3x" * 5 for c in "MNOP"]
+    rows = [(None, f"one {live[0]}", "a"), (None, f"two {live[1]}", "b"), (1, f"three {live[2]}", "a"), (1, f"four {live[3]}", "a"), (1, f"four {live[3]}", "a")]
+    assert sorted(r["text"] for r in secret_scan.redact(docs(rows)).collect()) == ["four [secret]", "four [secret]", "one [secret]", "three [secret]", "two [secret]"]
+
+
 def test_decontamination(docs, spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()
     near = list(item)
@@ -233,6 +256,27 @@ def test_decontamination_of_substituted_passages(docs, spark, least, percent):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - set(want)
 
 
+def test_short_items_are_found_where_asked_for(docs, spark):
+    rng = np.random.default_rng(5)
+    items = [(n, " ".join(f"i{n}-{k}" for k in range(n))) for n in range(1, 8)]
+    rows = []
+    for n, t in items:
+        for gone in range(-1, n):
+            rows.append((len(rows), "a b " + " ".join("x" if k == gone else w for k, w in enumerate(t.split())) + f" c{rng.integers(9)}"))
+    want = {k: p for k, t in rows if (p := _brute_passages(t, items, 13, 75))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r["doc_id"]: [tuple(p) for p in r["passages"]] for r in decontamination.contaminated(docs(rows), bench, shortest=1).collect()} == want
+    assert {p["item_id"] for r in decontamination.contaminated(docs(rows), bench).collect() for p in r["passages"]} == {7}
+
+
+def test_a_phrase_repeated_on_both_sides(docs, spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "_HITS_AT_ONCE", 50)
+    seeds = decontamination.Seeds([(1, "ha " * 60), (2, "ha ho " * 20)], 13, 75)
+    words = decontamination.shingles.word_hashes(("ha " * 90).encode())[0]
+    assert max(map(len, seeds.hits(words))) <= 50 + 60
+    assert {p[0] for p in seeds.passages(words)} == {1}
+
+
 def test_blocks_of_the_benchmark_give_one_row_a_document(docs, spark):
     items = [(k, " ".join(f"{c}{i}" for i in range(15))) for k, c in ((3, "a"), (None, "b"), (1, "c"), (None, "d"))]
     both, one = " x ".join(t for _, t in items), f"y {items[0][1]}"
@@ -241,3 +285,6 @@ def test_blocks_of_the_benchmark_give_one_row_a_document(docs, spark):
     whole = rows_of(decontamination.contaminated(docs(rows), bench), "doc_id", "n_passages", "passages")
     split = decontamination.contaminated(docs(rows), bench, block_chars=10)
     assert rows_of(split, "doc_id", "n_passages", "passages") == whole and len(whole) == 6 and split.columns == ["doc_id", "n_passages", "passages"]
+    for most in (10, 1 << 20):
+        kept = decontamination.remove_contaminated(docs(rows), bench, block_chars=most)
+        assert kept.columns == docs([]).columns and rows_of(kept, "doc_id", "text") == [(3, "z"), (4, None)]
