@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def arrow_map(df: DataFrame, target: str, schema: str, **options) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def arrow_groups(grouped, target: str, schema: str) -> DataFrame:
-    """applyInArrow with ``module:function`` called in the worker on each group's table."""
+def arrow_groups(grouped, target: str, schema: str, **options) -> DataFrame:
+    """applyInArrow with ``module:function`` called as function(table, **options) in the worker on each group's table."""
     module, _, name = target.partition(":")
     root = ROOT
 
@@ -49,22 +51,47 @@ def arrow_groups(grouped, target: str, schema: str) -> DataFrame:
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        return getattr(importlib.import_module(module), name)(table)
+        return getattr(importlib.import_module(module), name)(table, **options)
 
     return grouped.applyInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, or an own folder where it is unset (local runs)."""
+    """The folder every executor reaches: spark.checkpoint.dir. Only a session on this machine alone may leave it unset and gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_own_dirs: set[str] = set()
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    """A folder under spark.checkpoint.dir/ledgerloom/<application>, which is removed when the driver's Python ends."""
+    own = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+    if own not in _own_dirs:
+        if not _own_dirs:
+            atexit.register(_remove_own)
+        _own_dirs.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(path: str) -> None:
+    jvm = SparkContext._gateway.jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    active = SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active else jvm.org.apache.hadoop.conf.Configuration()
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _remove_own() -> None:
+    for path in _own_dirs:
+        with contextlib.suppress(Exception):  # the JVM may have ended before, and then nothing can be removed from here
+            _remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -81,9 +108,7 @@ def drop_table(df: DataFrame) -> None:
     """Remove what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_ledgerloom_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _remove(path)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

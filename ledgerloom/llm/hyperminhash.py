@@ -6,8 +6,9 @@ sets match as often as their similarity says. Bands of registers give candidates
 estimate thins them out, and full sets confirm what is left.
 
 No group is ever gathered or paired with itself: equal sets are one class; in each band every class is compared
-with the band's least and greatest class only; components of confirmed links are contracted; and only pairs of
-classes that still lie in different components are compared further, in blocks of bounded size.
+with the band's least and greatest class only; components of confirmed links are contracted. Then only the classes
+outside a band's largest component are compared further, in blocks of bounded size, with what is not in theirs;
+a block contracts as it goes and returns links that join components, never all pairs.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ _COLLISION = 2.0**-10 / 3
 # Least estimate that goes to verification; 0.75 lies over four standard errors above it.
 _LEAST_ESTIMATE = 0.6
 _BLOCK = 2048
-# Largest set that crowded bands compare as a whole, and the similarity from which such pairs are verified:
-# 32-bit hashes may add or merge a few shingles.
-_WHOLE, _LEAST_SHORT = 1024, 0.745
+# Largest set that a block of a crowded band holds as a whole; pairs with a larger one are verified outside. Results are the same.
+_WHOLE = 2048
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -111,75 +111,68 @@ def _matching(batches, words: int):
         yield b.filter(pa.array(keep, pa.bool_())).select(["cls", "sketch", "text"])
 
 
+def _close(batches):
+    """Pairs whose estimate lets them go on to verification."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
+            est = estimate(_matrix(part.column("sketch_a")), _matrix(part.column("sketch_b")))
+            yield part.filter(pa.array(est >= _LEAST_ESTIMATE)).select(["a", "b"])
+
+
 def _verify(batches, words: int, percent: int):
     common.claim("shingles", shingles.forget)
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            est = estimate(_matrix(part.column("sketch_a")), _matrix(part.column("sketch_b")))
-            some = part.filter(pa.array(est >= _LEAST_ESTIMATE))
-            kept, sets = [], {}
-            for a, ta, tb in zip(some.column("a").to_pylist(), some.column("text_a").to_pylist(), some.column("text_b").to_pylist(), strict=True):
-                if a not in sets:
-                    sets = {a: next(shingles.shingle_sets([ta], words))}  # rows of one class tend to follow each other
-                kept.append(linked(sets[a], next(shingles.shingle_sets([tb], words)), percent))
-            yield some.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
+        kept, sets = [], {}
+        for a, ta, tb in zip(b.column("a").to_pylist(), b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
+            if a not in sets:
+                sets = {a: next(shingles.shingle_sets([ta], words))}  # rows of one class tend to follow each other
+            kept.append(linked(sets[a], next(shingles.shingle_sets([tb], words)), percent))
+        yield b.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
 
-def _digests(batches, words: int):
-    """For close comparison of crowded bands: short hashes of the whole set up to _WHOLE shingles, the sketch above three quarters of that."""
+def _sets(batches, words: int):
+    """For crowded bands: the set's size, and the whole set up to _WHOLE shingles."""
+    common.claim("shingles", shingles.forget)
     for b in batches:
         sets = list(shingles.shingle_sets(b.column("text").to_pylist(), words))
-        short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= _WHOLE else None for s in sets]
-        regs = [r if 4 * len(s) > 3 * _WHOLE else None for s, r in zip(sets, b.column("sketch").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(regs, pa.binary()), pa.array(short, pa.binary())], ["cls", "sketch", "short"])
+        yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("sketch"), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() if len(s) <= _WHOLE else None for s in sets], pa.binary())], ["cls", "sketch", "size", "whole"])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a band that look similar enough and whose components differ.
+def _across(table: pa.Table, percent: int) -> pa.Table:
+    """Links within a block of a band that join components, and pairs with a large set that look similar enough.
 
-    Sets of up to _WHOLE shingles are compared as wholes by 32 bits of each hash, larger ones by sketches.
+    Each class of the left side is asked for the right side's classes of other components that are near enough by
+    size and by sketch; whole sets decide at once, and the two components count as one from then on.
     """
-    cls, comp, left = (table.column(c).to_numpy() for c in ("cls", "comp", "left"))
-    sketches, shorts = ([None if v is None else np.frombuffer(v, kind) for v in table.column(c).to_pylist()] for c, kind in (("sketch", np.uint16), ("short", np.uint32)))
-    has_sketch, has_short = (np.array([v is not None for v in own], bool) for own in (sketches, shorts))
-    sizes = np.array([0 if v is None else len(v) for v in shorts])
-    joined = np.concatenate([v if v is not None else np.zeros(0, np.uint32) for v in shorts])
-    starts = np.cumsum(sizes) - sizes
-    names, counts = np.unique(comp, return_counts=True)
-    most = names[counts.argmax()]
-    one_block = bool(left.all())
-    out_a, out_b = [], []
-    for x in np.flatnonzero(comp != most):
-        with_whom = comp != comp[x]
-        if not one_block:
-            with_whom &= left != left[x]
-        with_whom[:x] &= comp[:x] == most  # of two outside the largest component, the first is asked
-        near = []
-        if has_short[x]:
-            y = np.flatnonzero(with_whom & has_short & (4 * np.minimum(sizes, sizes[x]) >= 3 * np.maximum(sizes, sizes[x])))
-            if len(y):
-                spots = np.repeat(starts[y] - np.cumsum(sizes[y]) + sizes[y], sizes[y]) + np.arange(sizes[y].sum())
-                values, own = joined[spots], shorts[x]
-                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-                both = np.add.reduceat(hit, np.cumsum(sizes[y]) - sizes[y])
-                near.append(y[both >= _LEAST_SHORT * (sizes[y] + sizes[x] - both)])
-            with_whom &= ~has_short
-        if has_sketch[x]:
-            y = np.flatnonzero(with_whom & has_sketch)
-            if len(y):
-                near.append(y[estimate(sketches[x], np.stack([sketches[k] for k in y])) >= _LEAST_ESTIMATE])
-        for y in near:
-            out_a.append(np.minimum(cls[x], cls[y]))
-            out_b.append(np.maximum(cls[x], cls[y]))
-    make = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"a": make(out_a), "b": make(out_b)})
+    cls, comp, left, size = (table.column(c).to_numpy() for c in ("cls", "comp", "left", "size"))
+    sketches = _matrix(table.column("sketch"))
+    sets = [None if v is None else np.frombuffer(v, np.uint64) for v in table.column("whole").to_pylist()]
+    label = np.unique(comp, return_inverse=True)[1]
+    right = np.ones(len(cls), bool) if left.all() else ~left
+    out = []
+    for x in np.flatnonzero(left).tolist():
+        y = np.flatnonzero(right & (label != label[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
+        if not len(y):
+            continue
+        for z in y[estimate(sketches[x], sketches[y]) >= _LEAST_ESTIMATE].tolist():
+            sure = sets[x] is not None and sets[z] is not None
+            if label[z] == label[x] or sure and not linked(sets[x], sets[z], percent):
+                continue
+            out.append((min(cls[x], cls[z]), max(cls[x], cls[z]), sure))
+            if sure:
+                label[label == label[z]] = label[x]
+    a, b, sure = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, words: int, percent: int) -> DataFrame:
-    side = lambda k: full.select(F.col("cls").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("text").alias(f"text_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "text_a", "text_b")
-    return common.materialize(common.arrow_map(both, "ledgerloom.llm.hyperminhash:_verify", "a long, b long", words=words, percent=percent), "links")
+    """Of pairs (a, b) those that are linked: sketches travel first, texts only to the pairs that look similar enough."""
+    side = lambda k, c: full.select(F.col("cls").alias(k), F.col(c).alias(f"{c}_{k}"))
+    both = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b")
+    close = common.arrow_map(both, "ledgerloom.llm.hyperminhash:_close", "a long, b long")
+    texts = close.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
+    return common.materialize(common.arrow_map(texts, "ledgerloom.llm.hyperminhash:_verify", "a long, b long", words=words, percent=percent), "links")
 
 
 def _scattered(number):
@@ -242,11 +235,11 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     links = _confirmed(pairs, full, words, percent)
     comps = components.components(links)
     spent = [shared, pairs, full, links]
-    rest = _rest(shared, full, comps, pairs, words)
+    rest = _rest(shared, full, comps, words, percent)
     if rest is not None:
-        more = _confirmed(rest, full, words, percent)
-        if more.head(1):
-            comps = components.components(links.union(more))
+        unsure = rest.filter("not sure").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        more = _confirmed(unsure, full, words, percent)
+        comps = components.components(links.union(rest.filter("sure").select("a", "b")).union(more))
         spent += [rest, more]
     for table in spent:
         common.drop_table(table)
@@ -254,7 +247,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     named = classes.select("cls", "digest", "least_id", "best").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("best").alias("best"))
     of_digest = named.select("comp", "digest").join(least, "comp").select("digest", "component_id", "best")
-    return members.join(of_digest, "digest", "left")
+    empty = members.filter("n_shingles = 0")  # these all have one digest
+    return members.filter("n_shingles > 0").join(of_digest, "digest", "left").unionByName(empty, allowMissingColumns=True)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,24 +269,34 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str
     return kept.join(again, same, "left_anti").unionByName(several.dropDuplicates([id_col, "_text"]).drop("_text"))
 
 
-def _rest(shared: DataFrame, full: DataFrame, comps: DataFrame, tested: DataFrame, words: int) -> DataFrame | None:
-    """Pairs not compared yet, of classes that share a band and lie in different components."""
+def _rest(shared: DataFrame, full: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(a, b, sure) of classes that share a band and lie in different components: see _across().
+
+    In a band, the k classes outside its largest component meet each other and the n - k others: of a class, as many rows
+    as there are blocks of the side it meets. So a band of one large group costs n rows, whatever its size.
+    """
     crowded = shared.filter("n > 3").select("band", "cls", "n")  # up to three classes, all pairs hold the least or the greatest
     placed = common.materialize(crowded.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
-    open_ = common.materialize(placed.join(mixed, "band"), "open")
+    counted = placed.groupBy("band", "comp").agg(F.count("*").alias("own"))
+    mixed = counted.groupBy("band").agg(F.max(F.struct("own", "comp")).alias("most"), F.sum("own").alias("all")).filter("all > most.own")
+    blocks = lambda n: F.ceil(n / _BLOCK).cast("long")
+    sized = mixed.select("band", F.col("most.comp").alias("most"), blocks(F.col("all") - F.col("most.own")).alias("few"), blocks(F.col("most.own")).alias("many"))
+    open_ = common.materialize(placed.join(sized, "band").withColumn("outside", F.col("comp") != F.col("most")), "open")
     common.drop_table(placed)
     if not open_.head(1):
         common.drop_table(open_)
         return None
-    digests = common.arrow_map(full.join(open_.select("cls").distinct(), "cls", "left_semi").select("cls", "sketch", "text"), "ledgerloom.llm.hyperminhash:_digests", "cls long, sketch binary, short binary", words=words)
-    blocks = F.ceil(F.col("n") / _BLOCK).cast("long")
-    dealt = open_.join(digests, "cls").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    dealt = dealt.select("band", "cls", "comp", "sketch", "short", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    keyed = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "sketch", "short", (F.col("own") <= F.col("other")).alias("left"))
-    found = common.arrow_groups(keyed.groupBy("band", "i", "j"), "ledgerloom.llm.hyperminhash:_across", "a long, b long").distinct()
-    out = common.materialize(found.join(tested, ["a", "b"], "left_anti"), "rest")
+    sets = common.arrow_map(full.join(open_.select("cls").distinct(), "cls", "left_semi").select("cls", "sketch", "text"), "ledgerloom.llm.hyperminhash:_sets", "cls long, sketch binary, size long, whole binary", words=words)
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("outside"), F.col("few")).otherwise(F.col("many")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
+    # blocks of the largest component are numbered below zero
+    among = F.transform(upto(F.col("few")), lambda k: place(F.least("own", k), F.greatest("own", k), F.col("own") <= k))
+    met = F.transform(upto(F.col("many")), lambda k: place(F.col("own"), -1 - k, F.lit(True)))
+    asked = F.transform(upto(F.col("few")), lambda k: place(k, -1 - F.col("own"), F.lit(False)))
+    dealt = open_.withColumn("own", own).select("band", "cls", "comp", F.explode(F.when(F.col("outside"), F.concat(among, met)).otherwise(asked)).alias("p"))
+    keyed = dealt.join(sets, "cls").select("band", "p.i", "p.j", "p.left", "cls", "comp", "sketch", "size", "whole")
+    found = common.arrow_groups(keyed.groupBy("band", "i", "j"), "ledgerloom.llm.hyperminhash:_across", "a long, b long, sure boolean", percent=percent).distinct()
+    out = common.materialize(found, "rest")
     common.drop_table(open_)
     return out
-
-

@@ -96,6 +96,44 @@ def test_crowded_band_is_compared_in_blocks(docs, monkeypatch):
     assert _sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()]) == _sorted(_components(rows))
 
 
+def test_a_block_of_close_classes_gives_a_forest():
+    """However many pairs of a block are linked, it returns fewer links than classes, and the same components."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        for _ in range(25):
+            own = base.copy()
+            own[rng.integers(0, 60, 3)] = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+            sets.append(np.unique(own))
+    n = len(sets)
+    for left in (np.ones(n, bool), np.arange(n) % 3 > 0):
+        table = hyperminhash.pa.table({"cls": np.arange(n), "comp": np.arange(n), "left": left, "size": [len(s) for s in sets], "sketch": hyperminhash.pa.array([hyperminhash.sketch(s).tobytes() for s in sets], "binary"), "whole": hyperminhash.pa.array([s.tobytes() for s in sets], "binary")})
+        got = hyperminhash._across(table, 75).to_pylist()
+        side = lambda i, j: left.all() or left[i] != left[j]
+        want = [(i, j) for i in range(n) for j in range(i) if side(i, j) and hyperminhash.linked(sets[i], sets[j], 75)]
+        assert len(got) < n < len(want) and all(r["sure"] and hyperminhash.linked(sets[r["a"]], sets[r["b"]], 75) for r in got)
+        label = {True: list(range(n)), False: list(range(n))}
+        for ours, pairs in ((True, [(r["a"], r["b"]) for r in got]), (False, want)):
+            for i, j in pairs:
+                x, y = label[ours][i], label[ours][j]
+                label[ours] = [min(x, y) if v in (x, y) else v for v in label[ours]]
+        assert label[True] == label[False]
+
+
+def test_small_sets_share_bands():
+    """Pairs at the threshold of 5 to 20 shingles: one in ten thousand misses at most."""
+    rng = np.random.default_rng(1)
+    missed = total = 0
+    for both, one, two in ((3, 1, 0), (6, 1, 1), (6, 2, 0), (9, 2, 1), (12, 2, 2), (15, 3, 2), (15, 5, 0)):
+        for _ in range(1500):
+            own = rng.integers(0, 1 << 63, both + one + two, dtype=np.uint64) << np.uint64(1)
+            a, b = (hyperminhash.sketch(np.sort(own[k])) for k in (np.arange(both + one), np.r_[:both, both + one : both + one + two]))
+            near = (hyperminhash.band_keys(a[None]) == hyperminhash.band_keys(b[None])).any() and hyperminhash.estimate(a, b) >= hyperminhash._LEAST_ESTIMATE
+            missed, total = missed + (not near), total + 1
+    assert missed <= total / 1000, (missed, total)
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(5)
     for n in (4, 30, 300, 5000):
