@@ -24,7 +24,7 @@ EVENTS = {"merger": r"merger|acqui", "dividend": r"dividend", "offering": r"offe
 def classified(text: Column, classes: Mapping[str, str] = CLASSES, head: int = 300) -> Column:
     """The class with most hits, those in the head counting three times; of equals the first, none: other."""
     low = F.lower(text)
-    scored = [F.struct((3 * T.count_of(F.substring(low, 1, head), p) + T.count_of(F.substring(low, head + 1, 1_000_000), p)).alias("n"), F.lit(-i).alias("place"), F.lit(c).alias("name")) for i, (c, p) in enumerate(classes.items())]
+    scored = [F.struct((3 * T.count_of(F.substring(low, 1, head), p) + T.count_of(F.substr(low, F.lit(head + 1), F.length(low)), p)).alias("n"), F.lit(-i).alias("place"), F.lit(c).alias("name")) for i, (c, p) in enumerate(classes.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["name"]).otherwise("other")
 

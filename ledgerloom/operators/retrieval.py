@@ -118,11 +118,11 @@ def merged(sources: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
 
 
 def diverse(pool: DataFrame, key: str, score: str, text: str, k: int, limit: float = 0.8, most: int = 50) -> DataFrame:
-    """Greedy choice from the ``most`` best rows: a row stays if no kept one's tokens are more similar than ``limit``.
+    """Greedy choice from the ``most`` best rows, at least ``k``: a row stays if no kept one's tokens are more similar than ``limit``.
 
     The pool is a top-k list, so its bound is the feature; the greedy choice runs in one task.
     """
-    top = pool.orderBy(F.col(score).desc(), key).limit(most).select(F.col(key).alias("key"), F.col(score).cast("double").alias("score"), T.tokens(F.substring(text, 1, 300)).alias("tokens"))
+    top = pool.orderBy(F.col(score).desc(), key).limit(max(most, k)).select(F.col(key).alias("key"), F.col(score).cast("double").alias("score"), T.tokens(F.substring(text, 1, 300)).alias("tokens"))
     kind = pool.schema[key].dataType.simpleString()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -131,12 +131,15 @@ def modal_columns(spark, d):
 
 def spaced_positions(spark, d):
     """Places of a word at least 600 characters apart, at most 12: a fold over the sorted places."""
-    docs = load(spark, d, "documents")
-    words = F.split(F.lower("text"), "the")
-    ends = F.transform(words, lambda _, i: F.aggregate(F.slice(words, 1, i + 1), F.lit(0), lambda s, w: s + F.length(w) + 3) - 3)
-    places = F.slice(ends, 1, F.least(F.size(words) - 1, F.lit(60)))
-    kept = F.aggregate(places, F.array().cast("array<int>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.element_at(acc, -1) >= 600), F.array_append(acc, p)).otherwise(acc))
-    return docs.filter("n_chars < 5000").select("doc_id", F.size(F.slice(kept, 1, 12)).alias("n"))
+    before = F.slice(F.split(F.lower("text"), "the"), 1, F.size(F.split(F.lower("text"), "the")) - 1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(-600).alias("last"), F.lit(0).alias("n"))
+
+    def step(s, w):
+        place = s["at"] + F.length(w)
+        taken = (place - s["last"] >= 600) & (s["n"] < 12)
+        return F.struct((place + 3).alias("at"), F.when(taken, place).otherwise(s["last"]).alias("last"), (s["n"] + taken.cast("int")).alias("n"))
+
+    return load(spark, d, "documents").select("doc_id", F.aggregate(before, start, step, lambda s: s["n"]).alias("n"))
 
 
 def similarity_sanity(spark, d):

@@ -41,14 +41,14 @@ def company_guess(spark, d):
 
 
 def metric_pairs(spark, d):
-    o = load(spark, d, "orders").filter("o_orderkey < 3000")
+    o = load(spark, d, "orders")
     raw = F.concat(F.lit("Revenue: "), F.format_number(F.col("o_orderkey") * 7, 0), F.lit(" | note: none | Equity: ("), F.col("o_orderkey").cast("string"), F.lit(")"))
     pairs = o.select("o_orderkey", F.explode(X.metric_pairs(raw)).alias("p"))
     return pairs.select("o_orderkey", "p.metric", "p.value")
 
 
 def labelled_dates(spark, d):
-    o = load(spark, d, "orders").filter("o_orderkey < 3000")
+    o = load(spark, d, "orders")
     text = F.concat(F.lit("Filed on: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; decision none"))
     m = X.labelled_dates(text, {"filing": "filed", "decision": "decision"})
     return o.select("o_orderkey", F.try_element_at(m, F.lit("filing")).alias("filed"), F.cardinality(m).cast("int").alias("n"))
@@ -135,8 +135,8 @@ ORACLES = {
         CASE WHEN m IS NULL THEN NULL WHEN m < 0 THEN 'loss' WHEN m <= 5 THEN 'thin' WHEN m <= 15 THEN 'fair' ELSE 'strong' END AS margin_level FROM r""",
     "company_guess": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'Firm ' || c_mktsegment WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS name,
         CASE WHEN c_custkey % 3 = 2 THEN 0.98 WHEN c_custkey % 2 = 0 THEN 0.93 ELSE 0.0 END::DOUBLE AS confidence FROM customer""",
-    "metric_pairs": "SELECT o_orderkey, 'revenue' AS metric, (o_orderkey * 7)::DOUBLE AS value FROM orders WHERE o_orderkey < 3000 UNION ALL SELECT o_orderkey, 'equity', -o_orderkey::DOUBLE FROM orders WHERE o_orderkey < 3000",
-    "labelled_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS filed, 1 AS n FROM orders WHERE o_orderkey < 3000",
+    "metric_pairs": "SELECT o_orderkey, 'revenue' AS metric, (o_orderkey * 7)::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, 'equity', -o_orderkey::DOUBLE FROM orders",
+    "labelled_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS filed, 1 AS n FROM orders",
     "name_suggestions": """WITH q(query) AS (VALUES ('natoin_1'), ('region2'), ('NATION_22x')), m AS (SELECT query, n_name AS name, round(1 - levenshtein(lower(query), lower(n_name))::DOUBLE / greatest(length(query), length(n_name)), 6) AS ratio FROM q, nation),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY ratio DESC, name) AS INTEGER) AS place FROM m WHERE ratio >= 0.38) SELECT * FROM r WHERE place <= 3""",
     "canonical_names": """SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Automobile Inc.' WHEN 'BUILDING' THEN 'Building Group' ELSE upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Co.' END AS canonical, count(*) AS n FROM customer GROUP BY 1""",

@@ -32,7 +32,7 @@ def owner_statistics(spark, d):
 
 
 def duplicate_groups(spark, d):
-    return ops.duplicate_groups(load(spark, d, "documents"), F.md5(F.substring("text", 1, 200).cast("binary")), "doc_id")
+    return ops.duplicate_groups(load(spark, d, "documents"), F.md5(F.lower(F.trim("text")).cast("binary")), "doc_id")
 
 
 def having_duplicates(spark, d):
@@ -170,7 +170,7 @@ def gradient_cutoff(spark, d):
 
 
 def keep_first_by_prefix(spark, d):
-    rows = load(spark, d, "documents").withColumn("k", F.md5(F.substring("text", 1, 200).cast("binary")))
+    rows = load(spark, d, "documents").withColumn("k", F.md5(F.lower(F.trim("text")).cast("binary")))
     return ops.keep_first(rows, ["source", "k"], [F.col("doc_id")]).select("doc_id", "source")
 
 
@@ -247,7 +247,7 @@ ORACLES = {
     "failure_level": """WITH g AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM events GROUP BY 1)
         SELECT user_id, total, n_failed, round(n_failed / total, 6) AS ratio, CASE WHEN n_failed / total > 0.3 THEN 'critical' WHEN n_failed / total > 0.1 THEN 'warning' ELSE 'ok' END AS level FROM g""",
     "owner_statistics": "SELECT source, count(*) AS n_docs, max(lang) AS display, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1",
-    "duplicate_groups": "SELECT md5(substr(text, 1, 200)) AS key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_groups": "SELECT md5(lower(trim(text, ' '))) AS key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "having_duplicates": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 15",
     "distinct_counts": "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT CAST(o_orderdate AS DATE)) AS days FROM orders GROUP BY 1",
     "latest_turn": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",

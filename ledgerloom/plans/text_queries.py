@@ -143,7 +143,7 @@ def chunk_types(spark, d):
 
 
 def embedding_texts(spark, d):
-    out = C.embedding_text({"source": F.col("source"), "language": F.when(F.col("lang") != "en", F.col("lang"))}, F.substring("text", 1, 100))
+    out = C.embedding_text({"source": F.col("source"), "language": F.when(F.col("lang") != "en", F.col("lang"))}, F.col("text"))
     return _docs(spark, d).select("doc_id", F.md5(out.cast("binary")).alias("h"), C.breadcrumb(F.col("source"), F.lit(""), F.col("lang")).alias("crumb"))
 
 
@@ -304,7 +304,7 @@ ORACLES = {
     "chunk_types": """SELECT CASE WHEN regexp_matches(h, 'audit|opinion') THEN 'audit' WHEN regexp_matches(h, 'summary|fact') THEN 'fact' WHEN regexp_matches(h, 'note [0-9]|footnote') THEN 'note' WHEN regexp_matches(h, 'balance|income|cash flow') THEN 'financial' ELSE 'narrative' END AS type,
         CASE WHEN contains(s, 'consolidated') THEN 'consolidated' WHEN contains(s, 'separate') THEN 'separate' ELSE 'unknown' END AS scope, count(*) AS n
         FROM (SELECT lower(substr(text, 1, 200)) AS h, lower(replace(substr(text, 1, 500), ' ', '')) AS s FROM documents) GROUP BY 1, 2""",
-    "embedding_texts": "SELECT doc_id, md5('source: ' || source || chr(10) || CASE WHEN lang <> 'en' THEN 'language: ' || lang || chr(10) ELSE '' END || substr(text, 1, 100)) AS h, source || ' > ' || lang AS crumb FROM documents",
+    "embedding_texts": "SELECT doc_id, md5('source: ' || source || chr(10) || CASE WHEN lang <> 'en' THEN 'language: ' || lang || chr(10) ELSE '' END || text) AS h, source || ' > ' || lang AS crumb FROM documents",
     "topic_tags": """WITH h AS (SELECT doc_id, lower(substr(text, 1, 4000)) AS h FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(h, 'license|apache') THEN 'legal' END, CASE WHEN regexp_matches(h, 'token|password|secret') THEN 'code' END,
         CASE WHEN regexp_matches(h, '@[a-z]+') THEN 'mail' END, CASE WHEN regexp_matches(h, '[0-9]{4,}') THEN 'figures' END], lambda x: x IS NOT NULL)[1:2], ',') AS tags FROM h""",
     "cosine_topk": f"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID}) SELECT vec_id, round(greatest(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 0), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10""",

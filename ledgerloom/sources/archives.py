@@ -62,7 +62,10 @@ def _table_lines(table: ET.Element) -> list[str]:
 
 
 def filing_text(raw: bytes) -> str:
-    """Structured text of a filing's XML: titles as headings by depth, tables between marks, short lines once."""
+    """Structured text of a filing's XML: titles as headings by depth, tables between marks, short lines once.
+
+    A paragraph is one line with all that stands in it, inline marks included. Text that is no XML loses its tags alone.
+    """
     try:
         root = ET.fromstring(re.sub(r"<\?xml[^>]*\?>|&(?!#|[a-zA-Z]+;)", lambda m: "" if m[0][0] == "<" else "&amp;", decoded(raw)))
     except ET.ParseError:
@@ -81,6 +84,11 @@ def filing_text(raw: bytes) -> str:
             if text:
                 lines.append(("##" if depth <= 2 else "###") + " " + text)
             return
+        if tag in ("P", "SPAN") and not any(n.tag.upper() in ("TABLE", "TITLE", "P") for n in node.iter() if n is not node):
+            text = " ".join("".join(node.itertext()).split())
+            if text:
+                lines.append(text)
+            return
         text = " ".join((node.text or "").split())
         if len(text) > 5 or text and tag in ("P", "SPAN"):
             lines.append(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "chunk_id string, chunk_idx int, rcept_no string, company_name string, fiscal_year string, report_type string, chunk_type string, statement_scope string, text string, char_count int, _corrupt string"
@@ -29,9 +29,16 @@ def completed(spark: SparkSession, path: str, key: str) -> DataFrame | None:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key the store doesn't hold; of repeated keys one row. Running it again adds nothing."""
+    """Append the rows whose key the store doesn't hold; of repeated keys the least row. Running it again adds nothing.
+
+    A null key counts as a key like others.
+    """
     have = completed(rows.sparkSession, path, key)
-    new = rows.dropDuplicates([key]) if have is None else rows.dropDuplicates([key]).join(have, key, "left_anti")
+    ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(f"`{c}`") for c in rows.columns))))
+    new = ranked.filter("_row = 1").drop("_row")
+    if have is not None:
+        have = have.withColumnRenamed(key, "_have")
+        new = new.join(have, F.col(key).eqNullSafe(F.col("_have")), "left_anti")
     new.write.mode("append").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
@@ -69,7 +76,11 @@ def indexed_now(index: DataFrame, done: DataFrame, key: str, stamp: str, at) ->
 
 
 def reclassified(analyses: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(analyses with each document's latest category replaced, audit rows of previous and new category)."""
+    """(analyses with each document's latest category replaced, audit rows of previous and new category).
+
+    Of several changes of a document the last by category and reason is taken.
+    """
+    changes = changes.groupBy("document_id").agg(F.max(F.struct("new_category", "reason")).alias("c")).select("document_id", "c.new_category", "c.reason")
     last = analyses.groupBy("document_id").agg(F.max("id").alias("id"))
     hit = changes.join(last, "document_id")
     audit = hit.join(analyses, ["document_id", "id"]).select("document_id", F.col("category").alias("previous_category"), "new_category", "reason")

@@ -129,3 +129,22 @@ def test_streams_equal_batch(spark, tmp_path):
     q = activity.ingest_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "event_id")
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_paragraphs_keep_what_stands_in_inline_marks():
+    raw = "<DOC><BODY><P>Sales rose <B>5%</B> YoY to <B>1,234</B> won</P><SECTION><P>See <SPAN>note 3</SPAN>.</P></SECTION></BODY></DOC>".encode()
+    assert archives.filing_text(raw) == "Sales rose 5% YoY to 1,234 won\nSee note 3."
+
+
+def test_append_takes_a_null_key_once(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a"), (None, "b"), ("k", "c"), ("k", "b")], "key string, v string")
+    for _ in range(2):
+        got = stores.append_new(rows, f"{tmp_path}/s", "key")
+    assert sorted((r["key"] or "", r["v"]) for r in got.collect()) == [("", "a"), ("k", "b")]
+
+
+def test_two_changes_of_a_document_leave_one_row(spark):
+    analyses = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (3, 2, "z")], "id int, document_id int, category string")
+    changes = spark.createDataFrame([(1, "n", "r"), (1, "m", "s")], "document_id int, new_category string, reason string")
+    out, audit = stores.reclassified(analyses, changes)
+    assert sorted(map(tuple, out.select("id", "category").collect())) == [(1, "x"), (2, "n"), (3, "z")] and audit.count() == 1

@@ -57,3 +57,17 @@ def test_ordered_distinct_terms_reads_whole_texts(spark):
         return "|".join(list(dict.fromkeys(p for p in pieces if p))[:3])
 
     assert {r["doc_id"]: r["firsts"] for r in QUERIES["ordered_distinct_terms"](spark, SF).collect()} == {r["doc_id"]: firsts(r["text"]) for r in rows}
+
+
+def test_spaced_positions_look_at_every_place(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+    def spaced(text):
+        last, n, at = -600, 0, text.lower().find("the")
+        while at >= 0 and n < 12:
+            if at - last >= 600:
+                last, n = at, n + 1
+            at = text.lower().find("the", at + 3)
+        return n
+
+    assert {r["doc_id"]: r["n"] for r in QUERIES["spaced_positions"](spark, SF).collect()} == {r["doc_id"]: spaced(r["text"]) for r in rows}
