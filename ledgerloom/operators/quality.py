@@ -97,3 +97,50 @@ def record_flags(messages: Column) -> Column:
             F.when(F.exists(messages, lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) == ""), "blank_content"),
         )
     )
+
+
+SOURCES = ("report", "filing", "statement", "according to", "source", "based on", ".pdf", ".zip")
+SHAPES = {"conclusion": 0.10, "evidence": 0.08, "risk": 0.06, "confidence": 0.06}
+_AMOUNT = r"[0-9][0-9,.]*\s*(?:%|bn|million|billion|thousand)|[0-9]{1,3}(?:,[0-9]{3})+"
+
+
+def _held(text: Column, words) -> Column:
+    total = F.lit(0)
+    for w in words:
+        total = total + F.contains(F.lower(text), F.lit(w)).cast("int")
+    return total
+
+
+def _shown(answer: Column, most: float) -> Column:
+    """Credit for sources named, links among them up to three."""
+    return F.least((_held(answer, SOURCES) + F.least(T.count_of(answer, r"https?://\S+"), F.lit(3))) * 0.065, F.lit(most))
+
+
+def context_precision(question: Column, answer: Column, company: Column, evidence: Column) -> Column:
+    """Whether the right data was used: company 0.35, sources 0.28, evidence or figures 0.25, the question's year 0.15; short answers 0.1."""
+    c = F.lower(F.coalesce(company, F.lit("")))
+    about = F.when(c == "", 0.28).when(F.contains(F.lower(answer), c), 0.35).otherwise(0.0)
+    figures = F.when((evidence >= 1) | answer.rlike(_AMOUNT), 0.25).when(answer.rlike("https?://"), 0.23).when(answer.rlike("[0-9]{3,}"), 0.20).otherwise(0.0)
+    asked, told = (F.regexp_extract_all(x, F.lit("20[0-9]{2}"), F.lit(0)) for x in (question, answer))
+    year = F.when(F.size(asked) == 0, 0.12).when(F.arrays_overlap(asked, told), 0.15).when(F.size(told) > 0, 0.10).otherwise(0.0)
+    return F.when(F.coalesce(F.length(answer), F.lit(0)) < 30, 0.1).otherwise(F.least(about + _shown(answer, 0.28) + figures + year, F.lit(1.0)))
+
+
+def context_recall(question: Column, answer: Column, keywords: Column, content: str) -> Column:
+    """Mean keyword score and a bonus for figures where the question is about ``content``; no keywords 0.8, no answer 0."""
+    mean = F.coalesce(F.try_divide(F.aggregate(F.transform(keywords, lambda k: keyword_score(k, answer)), F.lit(0.0), lambda s, x: s + x), F.size(keywords)), F.lit(0.0))
+    on_topic = F.lower(question).rlike(content)
+    bonus = F.when(on_topic & (T.count_of(answer, _AMOUNT) >= 3), 0.25).when(on_topic & answer.rlike("[0-9]{2,}"), 0.22).when(on_topic & answer.rlike("https?://"), 0.20).otherwise(0.0)
+    return F.when(F.coalesce(answer, F.lit("")) == "", 0.0).when(F.size(keywords) == 0, 0.8).otherwise(F.least(mean + bonus, F.lit(1.0)))
+
+
+def faithfulness(answer: Column, confidence: Column) -> Column:
+    """Whether an answer keeps to its data: sources 0.35, shape 0.32, figures 0.20, stated confidence 0.15, and 0.12 less 0.02 for each forecast that is not marked as such."""
+    shape = F.lit(0.0)
+    for word, weight in SHAPES.items():
+        shape = shape + F.when(F.contains(F.lower(answer), F.lit(word)), weight).otherwise(0.0)
+    shape = F.least(shape + F.when(T.count_of(answer, r"(?m)^\*\*[^*]+\*\*|^###?\s") >= 2, 0.05).otherwise(0.0), F.lit(0.32))
+    figures = F.when(answer.rlike(_AMOUNT), 0.20).when(answer.rlike("[0-9]{3,}"), 0.16).when(answer.rlike("https?://") | (T.count_of(answer, r"(?m)^\s*[0-9]+[.)]\s") >= 2), 0.15).otherwise(0.0)
+    sure = F.when(confidence.isin("consensus", "axiom"), 0.15).when(confidence.isin("speculation", "exploration"), 0.14).when(confidence == "inference", 0.12).otherwise(0.0)
+    guesses = F.when(F.lower(answer).rlike("speculation|exploration"), 0).otherwise(_held(answer, ("is expected to", "will likely", "is forecast")))
+    return F.when(F.coalesce(answer, F.lit("")) == "", 0.0).otherwise(F.least(_shown(answer, 0.35) + shape + figures + sure + F.greatest(0.12 - 0.02 * guesses, F.lit(0.0)), F.lit(1.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cleaning as K
 from ledgerloom.functions import text as T
-from ledgerloom.operators import budgets, cells, filters
+from ledgerloom.operators import budgets, cells, filters, quality, search
 from ledgerloom.sources.tables import FACTS_SQL, facts, load
 
 
@@ -194,18 +194,54 @@ def union_sources(spark, d):
     return summary.unionByName(pages).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+# The vector searched for, and what else the search of a passage asks.
+_VECTOR_ID = 7
+_ASKED = {"terms": ["license", "password", "the"], "company": "src1", "variants": ["src1"], "category": "en", "years": ["2024"], "domain": ["license", "token", "error"], "k": 10}
+
+
+def staged_search(spark, d):
+    v = load(spark, d, "embeddings")
+    vector = v.filter(F.col("vec_id") == _VECTOR_ID).select("embedding").head()[0]
+    chunks = _docs(spark, d).join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("doc_id", "text", F.col("source").alias("company"), F.col("lang").alias("category"), "embedding")
+    return search.staged_search(chunks, search.Request(vector=vector, **_ASKED), F.when(F.col("category") == "en", 0.3).otherwise(0.0))
+
+
+def question_rewrites(spark, d):
+    turns = load(spark, d, "conversations").filter("role = 'user'")
+    intent = F.element_at(F.array(*map(F.lit, ("ranking", "trend", "outlook", "qa"))), (F.col("conv_id") % 4).cast("int") + 1)
+    company = F.when(F.col("turn") % 3 == 0, "").otherwise("Acme")
+    return turns.select("conv_id", "turn", F.md5(F.array_join(search.rewrites(F.col("text"), company, intent), "|").cast("binary")).alias("h"))
+
+
+def context_scores(spark, d):
+    turns = load(spark, d, "conversations")
+    question, answer, confidence = F.concat(F.lit("license of 2024 "), F.col("role")), F.col("text"), F.when(F.col("turn") % 2 == 0, "inference").otherwise("axiom")
+    scores = {
+        "precision": quality.context_precision(question, answer, F.when(F.col("turn") % 3 == 0, "token"), F.lit(0)),
+        "recall": quality.context_recall(question, answer, F.array(F.lit("license"), F.lit("password")), "license"),
+        "faithfulness": quality.faithfulness(answer, confidence),
+    }
+    return turns.select("conv_id", "turn", *(F.round(c, 6).alias(k) for k, c in scores.items()))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cell_facts, suspicious_values, budgeted_chunks, long_splits, numeric_tables, noise_lines, respaced_lines, official_names, search_variants,
         field_faults, word_snippets, made_up_numbers, question_horizon, report_kinds, typed_values, section_spans, amount_after_label,
         filtered_documents, company_or_all, duplicate_uploads, purged_index, payload_names, enriched_rows, scope_preferred, prefiltered_chunks,
-        first_seen_sources, earlier_facts, chat_scores, event_labels, model_report, phase_gate, union_sources,
+        first_seen_sources, earlier_facts, chat_scores, event_labels, model_report, phase_gate, union_sources, staged_search, question_rewrites,
+        context_scores,
     )
 }
 
 _SHARE = r"coalesce(len(list_filter(c, lambda x: regexp_matches(trim(x, ' '), '^[(△▲-]?[0-9][0-9,.]*[)%]?$')))::DOUBLE / nullif(len(c), 0), 0.0)"
 _WS = r"[ \t\n\r\f\v]+"
+_TOKENS = "list_filter(regexp_extract_all(lower(text), '[A-Za-zÀ-ɏ]{2,}'), lambda t: t NOT IN ('the','and','of','is','to','in','it','die','der','und','de','la','que','los') AND length(t) > 1)"
+_BM25 = "least(list_sum(list_transform(['license', 'password', 'the'], lambda q: len(list_filter(tk, lambda x: x = q))::DOUBLE * 2.5 / (len(list_filter(tk, lambda x: x = q))::DOUBLE + 1.5 * (0.25 + 0.75 * len(tk) / 200.0)))) / 4.5, 1.0)"
+_AMOUNT = r"[0-9][0-9,.]*\s*(?:%|bn|million|billion|thousand)|[0-9]{1,3}(?:,[0-9]{3})+"
+_SOURCES = " + ".join(f"contains(a, '{w}')::INT" for w in quality.SOURCES)
+_HITS = "len(regexp_extract_all({0}, '{1}'))"
 
 ORACLES = {
     "cell_facts": """WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 ELSE 1.0 END AS u, floor(o_totalprice)::BIGINT AS p FROM orders),
@@ -242,6 +278,33 @@ ORACLES = {
             CASE WHEN regexp_matches(w, 'disclaimer of opinion|opinion: *disclaimer|의견거절') THEN 'disclaimer' WHEN regexp_matches(w, 'adverse opinion|opinion: *adverse|부적정의견') THEN 'adverse' WHEN regexp_matches(replace(w, 'unqualified opinion', ''), 'qualified opinion|opinion: *qualified|한정의견') THEN 'qualified' WHEN regexp_matches(w, 'unqualified|fairly|적정의견|공정하게') THEN 'unqualified' END AS opinion,
             CASE WHEN regexp_matches(f, 'audit|감사') THEN 'audit' WHEN regexp_matches(f, 'governance|지배구조') THEN 'governance' WHEN regexp_matches(f, 'funding|증자|사채') THEN 'event_funding' WHEN regexp_matches(f, 'merger|event|주요사항') THEN 'event' WHEN regexp_matches(f, 'financial|재무') THEN 'financial' ELSE lang END AS sub,
             count(*) AS n FROM t GROUP BY 1, 2, 3""",
+    "staged_search": rf"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = {_VECTOR_ID}),
+        c AS (SELECT d.doc_id, d.text, d.source AS company, d.lang, round(greatest(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q), 0), 6) AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, q),
+        l AS (SELECT * FROM (SELECT doc_id, 0 AS no FROM c WHERE lang = 'en' AND contains(company, 'src1') ORDER BY v DESC, doc_id LIMIT 30) UNION ALL SELECT * FROM (SELECT doc_id, 1 FROM c WHERE lang = 'en' ORDER BY v DESC, doc_id LIMIT 30)
+            UNION ALL SELECT * FROM (SELECT doc_id, 2 FROM c WHERE contains(text, '2024') AND (contains(lower(text), 'license') OR contains(lower(text), 'password') OR contains(lower(text), 'the')) ORDER BY contains(lower(text), 'license')::INT + contains(lower(text), 'password')::INT + contains(lower(text), 'the')::INT DESC, doc_id LIMIT 40)),
+        m AS (SELECT doc_id, min(no) AS no FROM l GROUP BY 1),
+        t AS (SELECT c.*, m.no, {_TOKENS} AS tk, lower(text) AS w, contains(lower(text), 'license')::INT + contains(lower(text), 'token')::INT + contains(lower(text), 'error')::INT AS n FROM c JOIN m USING (doc_id) WHERE length(trim(text, ' ')) >= 20),
+        b AS (SELECT *, ((0.40::DOUBLE * v + 0.25::DOUBLE * {_BM25} + 0.35::DOUBLE * CASE WHEN lang = 'en' THEN 0.3::DOUBLE ELSE 0 END) * CASE WHEN contains(text, '2024') THEN 1.08::DOUBLE ELSE 1 END * CASE WHEN n >= 3 THEN 1.2::DOUBLE WHEN n >= 1 THEN 1.12::DOUBLE ELSE 1 END
+            + least(0.15::DOUBLE, 0.05::DOUBLE * {_HITS.format('text', '[0-9]{3,}')} / greatest(length(text) / 100.0::DOUBLE, 1.0))) * CASE WHEN contains(substr(w, 1, 3000), 'src1') THEN 1.35::DOUBLE ELSE 1 END
+            * CASE WHEN company = 'src1' THEN 1.6::DOUBLE WHEN contains(company, 'src1') OR contains('src1', company) THEN 1.3::DOUBLE ELSE 1 END AS base,
+            CASE WHEN {_HITS.format("substr(text, 1, 500)", chr(92) + 'p{Han}')} > 3 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN {_HITS.format("substr(text, 1, 500)", '[ぁ-ヿ]')} > 2 THEN 0.1::DOUBLE ELSE 0 END
+            + CASE WHEN {_HITS.format("substr(text, 1, 300)", chr(92) + '{"')} + {_HITS.format("substr(text, 1, 300)", '":')} >= 3 THEN 0.12::DOUBLE ELSE 0 END AS p FROM t),
+        s AS (SELECT *, round(CASE WHEN p > 0 THEN greatest(0.01::DOUBLE, base - p) ELSE base END, 4) AS score, contains(company, 'src1') OR contains(substr(w, 1, 1500), 'src1') AS named FROM b)
+        SELECT doc_id, company, no AS source_no, score FROM s WHERE score >= 0.08 AND (named OR NOT (SELECT bool_or(named) FROM s)) ORDER BY score DESC, doc_id LIMIT 30""",
+    "question_rewrites": """WITH q AS (SELECT conv_id, turn, text, conv_id % 4 AS i, CASE WHEN turn % 3 = 0 THEN '' ELSE 'Acme' END AS c FROM conversations WHERE role = 'user')
+        SELECT conv_id, turn, md5(text || CASE WHEN c <> '' THEN '|Acme ' || text ELSE '' END || CASE i WHEN 0 THEN '|largest ' || coalesce(nullif(c, ''), text) || '|ranking of ' || coalesce(nullif(c, ''), text)
+            WHEN 1 THEN '|change over years of ' || coalesce(nullif(c, ''), text) || '|growth of ' || coalesce(nullif(c, ''), text) WHEN 2 THEN '|outlook of ' || coalesce(nullif(c, ''), text) || '|risks of ' || coalesce(nullif(c, ''), text) ELSE '' END) AS h FROM q""",
+    "context_scores": rf"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS a, CASE WHEN turn % 2 = 0 THEN 0.12::DOUBLE ELSE 0.15::DOUBLE END AS sure, regexp_extract_all(text, '20[0-9]{{2}}') AS y FROM conversations),
+        u AS (SELECT *, ({_SOURCES} + least({_HITS.format('text', 'https?://' + chr(92) + 'S+')}, 3)) * 0.065::DOUBLE AS shown, {_HITS.format('text', _AMOUNT)} AS amounts,
+            contains(a, 'is expected to')::INT + contains(a, 'will likely')::INT + contains(a, 'is forecast')::INT AS g FROM t)
+        SELECT conv_id, turn, round(CASE WHEN length(text) < 30 THEN 0.1::DOUBLE ELSE least(CASE WHEN turn % 3 <> 0 THEN 0.28::DOUBLE WHEN contains(a, 'token') THEN 0.35::DOUBLE ELSE 0 END + least(shown, 0.28::DOUBLE)
+            + CASE WHEN amounts > 0 THEN 0.25::DOUBLE WHEN regexp_matches(text, 'https?://') THEN 0.23::DOUBLE WHEN regexp_matches(text, '[0-9]{{3,}}') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN list_contains(y, '2024') THEN 0.15::DOUBLE WHEN len(y) > 0 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE) END, 6) AS precision,
+            round(CASE WHEN text = '' THEN 0 ELSE least((CASE WHEN contains(a, 'license') THEN 1.0::DOUBLE WHEN contains(a, 'lic') THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN contains(a, 'password') THEN 1.0::DOUBLE WHEN contains(a, 'pas') THEN 0.8::DOUBLE ELSE 0 END) / 2
+            + CASE WHEN amounts >= 3 THEN 0.25::DOUBLE WHEN regexp_matches(text, '[0-9]{{2,}}') THEN 0.22::DOUBLE WHEN regexp_matches(text, 'https?://') THEN 0.2::DOUBLE ELSE 0 END, 1.0::DOUBLE) END, 6) AS recall,
+            round(CASE WHEN text = '' THEN 0 ELSE least(least(shown, 0.35::DOUBLE) + least(CASE WHEN contains(a, 'conclusion') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN contains(a, 'evidence') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(a, 'risk') THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN contains(a, 'confidence') THEN 0.06::DOUBLE ELSE 0 END
+            + CASE WHEN {_HITS.format('text', '(?m)^' + chr(92) + '*' + chr(92) + '*[^*]+' + chr(92) + '*' + chr(92) + '*|^###?' + chr(92) + 's')} >= 2 THEN 0.05::DOUBLE ELSE 0 END, 0.32::DOUBLE)
+            + CASE WHEN amounts > 0 THEN 0.2::DOUBLE WHEN regexp_matches(text, '[0-9]{{3,}}') THEN 0.16::DOUBLE WHEN regexp_matches(text, 'https?://') OR {_HITS.format('text', '(?m)^' + chr(92) + 's*[0-9]+[.)]' + chr(92) + 's')} >= 2 THEN 0.15::DOUBLE ELSE 0 END
+            + sure + greatest(0.12::DOUBLE - 0.02::DOUBLE * CASE WHEN regexp_matches(a, 'speculation|exploration') THEN 0 ELSE g END, 0), 1.0::DOUBLE) END, 6) AS faithfulness FROM u""",
     "section_spans": r"""WITH p AS (SELECT doc_id, length(text) + 1 AS e, name, CASE WHEN regexp_matches(text, pat) THEN length(regexp_extract(text, '(?s)^(.*?)(?:' || pat || ')', 1)) + 1 ELSE 0 END AS start
         FROM documents, (VALUES ('license', '[Ll]icense'), ('mail', '[a-z]+@[a-z]+'), ('figures', '[0-9]{4}')) AS h(name, pat))
         SELECT doc_id, name, start::INTEGER AS start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start, name), e)::INTEGER AS stop FROM p WHERE start > 0""",

@@ -182,3 +182,40 @@ def labelled_facts(facts: DataFrame, contexts: DataFrame, labels: DataFrame) ->
     key = F.regexp_replace(F.lower("element"), "^[^_]*_", "")
     names = labels.select(key.alias("k"), "label").groupBy("k").agg(F.min("label").alias("label"))
     return facts.join(contexts, "context", "left").withColumn("k", key).join(names, "k", "left").select("element", F.coalesce("label", "element").alias("label"), "period", "scope", "unit", "value")
+
+
+def xml_lines(raw: bytes) -> str:
+    """Any XML as ``tag: text`` lines in document order; elements without text of their own give none; what is no XML gives nothing."""
+    try:
+        root = ET.fromstring(re.sub(r"<\?xml[^>]*\?>", "", decoded(raw)))
+    except ET.ParseError:
+        return ""
+    lines = ((n.tag.rpartition("}")[2], " ".join((n.text or "").split())) for n in root.iter())
+    return "\n".join(f"{tag}: {text}" for tag, text in lines if text)
+
+
+def xbrl_nodes(content):
+    """Texts of 2 to 200 characters between marks, as a column over decoded content."""
+    found = F.transform(F.regexp_extract_all(content, F.lit(r">([^<>]+)<"), F.lit(1)), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
+    return F.filter(found, lambda t: F.length(t).between(2, 200))
+
+
+def read_registry(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(all companies, listed ones by length of name) of a registry's XML with an element ``list`` a company."""
+    rows = spark.read.format("xml").option("rowTag", "list").schema("corp_code string, corp_name string, stock_code string").load(path)
+    rows = rows.select("corp_code", F.trim("corp_name").alias("corp_name"), F.nullif(F.trim("stock_code"), F.lit("")).alias("stock_code"))
+    return rows, rows.filter("stock_code is not null").orderBy(F.length("corp_name"), "corp_name", "corp_code")
+
+
+def manifest(files: DataFrame, tiers: dict[str, int]) -> DataFrame:
+    """Files in order of their tier and path: id, path, tier, rank, status. Files of no tier come last."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in tiers.items() for x in pair)), F.col("tier")), F.lit(max(tiers.values(), default=0) + 1))
+    return files.select(F.xxhash64("path").alias("id"), "path", "tier", rank.alias("rank"), F.lit("pending").alias("status")).orderBy("rank", "path")
+
+
+def refilled(documents: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:
+    """Documents whose missing or blank text is taken from the file of the same receipt number, whole or its first ``most`` characters."""
+    own = texts.dropDuplicates(["receipt"]).select("receipt", F.col("text").alias("_new"))
+    new = F.col("_new") if most is None else F.substring("_new", 1, most)
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    return documents.join(own, "receipt", "left").withColumn("text", F.when(blank, F.coalesce(new, F.col("text"))).otherwise(F.col("text"))).drop("_new")

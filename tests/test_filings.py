@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import cleaning as K
-from ledgerloom.operators import budgets, cells, filters
+from ledgerloom.operators import budgets, cells, filters, quality, search
+from ledgerloom.sources import archives
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +122,35 @@ def test_suspicious_values(spark):
     assert flag("revenue", None) and flag("revenue", 999.0) and not flag("revenue", 2e6) and not flag("eps", 5.0)
     assert flag("treasury_stock_amount", 5e9, "Per share price") and not flag("treasury_stock_amount", 5e9, "in all")
 
+
+
+def test_generic_xml_registry_manifest_and_refill(spark, tmp_path):
+    assert archives.xml_lines(b"<a><b> x  y </b><n:c xmlns:n='u'>z</n:c><d/></a>") == "b: x y\nc: z" and archives.xml_lines(b"no xml") == ""
+    assert one(spark, archives.xbrl_nodes, "<a>Sales</a><b> </b><c>x</c><d>net\n income</d>") == ["Sales", "net income"]
+    (tmp_path / "r.xml").write_text("<result>" + "".join(f"<list><corp_code>{i}</corp_code><corp_name>{n}</corp_name><stock_code>{s}</stock_code></list>" for i, (n, s) in enumerate([("Longer name", "000001"), ("Short", "000002"), ("None", " ")])) + "</result>")
+    every, listed = archives.read_registry(spark, f"{tmp_path}/r.xml")
+    assert every.count() == 3 and [r["corp_name"] for r in listed.collect()] == ["Short", "Longer name"]
+    files = spark.createDataFrame([("b", "x"), ("a", "annual"), ("c", None), ("d", "half")], "path string, tier string")
+    got = archives.manifest(files, {"annual": 1, "half": 2}).collect()
+    assert [(r["path"], r["rank"], r["status"]) for r in got] == [("a", 1, "pending"), ("d", 2, "pending"), ("b", 3, "pending"), ("c", 3, "pending")]
+    documents = spark.createDataFrame([("1", " "), ("2", "own"), ("3", None), (None, None)], "receipt string, text string")
+    texts = spark.createDataFrame([("1", "new text"), ("2", "other"), ("1", "new text")], "receipt string, text string")
+    assert sorted((r["receipt"] or "", r["text"]) for r in archives.refilled(documents, texts, 3).filter("receipt in ('1', '2')").collect()) == [("1", "new"), ("2", "own")]
+    assert archives.refilled(documents, texts).count() == 4
+
+
+def test_search_falls_back_and_handles_nulls(spark):
+    rows = spark.createDataFrame([(1, "a long enough passage of text", "Acme", "x", [1.0, 0.0]), (2, None, None, "x", [0.0, 1.0]), (3, "another passage that is long enough", "Other", None, None)], "doc_id int, text string, company string, category string, embedding array<double>")
+    found = lambda **ask: [(r["doc_id"], r["source_no"]) for r in search.staged_search(rows, search.Request(vector=[1.0, 0.0], **ask), F.lit(0.5)).collect()]
+    assert found(terms=["passage"]) == [(1, 0), (3, 0)]
+    assert found(terms=[], category="none such") == [(1, 1), (3, 1)]
+    assert found(terms=["passage"], company="acme", variants=["acme"]) == [(1, 0)]
+    assert search.staged_search(rows.limit(0), search.Request(vector=[1.0, 0.0], terms=["x"]), F.lit(0.5)).count() == 0
+
+
+def test_answer_scores_on_literals(spark):
+    answer = "Conclusion: according to the annual report of 2024 revenue rose to 1,234 million. Evidence follows."
+    assert one(spark, lambda q, a, c: F.round(quality.context_precision(q, a, c, F.lit(0)), 3), "Revenue in 2024?", answer, "annual") == round(0.35 + 0.13 + 0.25 + 0.15, 3)
+    assert one(spark, lambda q, a, c: quality.context_precision(q, a, c, F.lit(0)), "Revenue?", None, "x") == 0.1
+    assert one(spark, lambda q, a: quality.context_recall(q, a, F.array(F.lit("revenue")), "revenue"), "Revenue?", "") == 0.0
+    assert one(spark, lambda a, c: F.round(quality.faithfulness(a, c), 3), answer, "axiom") == round(0.13 + 0.18 + 0.20 + 0.15 + 0.12, 3)
