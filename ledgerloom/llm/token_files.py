@@ -81,7 +81,21 @@ class TokenFile:
 
     def raw(self, k: int) -> bytes:
         """Bytes of the k-th document; its frame alone is read and decompressed."""
-        out = self.tool.decompress(self.file.read_at(int(self.sizes[k]), int(self.starts[k])), max_output_size=int(self.raw_sizes[k]))
+        return self._checked(k, self.file.read_at(int(self.sizes[k]), int(self.starts[k])))
+
+    def every(self, most: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, bytes) of all documents in order, reading about ``most`` bytes of frames at once."""
+        at = 0
+        while at < len(self):
+            stop = max(at + 1, int(np.searchsorted(self.starts + self.sizes, self.starts[at] + most, "right")))
+            held = memoryview(self.file.read_at(int(self.starts[stop - 1] + self.sizes[stop - 1] - self.starts[at]), int(self.starts[at])))
+            for k in range(at, stop):
+                a = int(self.starts[k] - self.starts[at])
+                yield self.doc_ids[k], self._checked(k, held[a : a + int(self.sizes[k])])
+            at = stop
+
+    def _checked(self, k: int, frame) -> bytes:
+        out = self.tool.decompress(frame, max_output_size=int(self.raw_sizes[k]))
         if xxhash.xxh64_intdigest(out) & 0xFFFFFFFF != self.sums[k]:
             raise ValueError(f"frame {k} does not match its checksum")
         return out
@@ -119,8 +133,7 @@ def _read(batches):
     for b in batches:
         for uri, base in zip(b.column("uri").to_pylist(), b.column("base").to_pylist(), strict=True):
             f, rows, start = TokenFile(uri), [], base
-            for k, key in enumerate(f.doc_ids):
-                raw = f.raw(k)
+            for k, (key, raw) in enumerate(f.every()):
                 rows.append((key, start, len(raw) // 4, zlib.crc32(raw)))
                 start += len(raw) // 4
                 if len(rows) == 10_000 or k == len(f) - 1:
@@ -129,22 +142,29 @@ def _read(batches):
             f.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, where: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, where: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 256 << 20) -> DataFrame:
     """Encode whole texts, add id ``end``, write files under ``where`` in ascending id order; the files' manifest.
 
     Manifest: shard, uri, docs, ids, base (ids in all files before). ``where`` must be a folder all executors
-    reach. Null texts are empty and hold ``end`` alone; null ids come first; repeated ids stay in order of
-    their texts. One file a non-empty range of ids; an empty table gives no file. The texts are shuffled once,
-    by range; ids are only ever held a slice at a time.
+    reach. Null texts are empty and hold ``end`` alone; null ids come first; rows of the same id are ordered by a hash
+    of their texts, so that one id may fill several files. One file a non-empty range; an empty table gives no
+    file. A file holds about ``file_bytes`` of text at most, however large the table. The texts are shuffled once, by range;
+    ids are only ever held a slice at a time.
     """
-    n = common.tasks(docs)
-    ranged = common.id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = common.id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    n = max(common.tasks(docs), -(-size // file_bytes))
+    ranged = texts.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
     written = common.materialize(common.arrow_map(ranged, "ledgerloom.llm.token_files:_write", "shard int, uri string, docs long, ids long", path=tokenizer, end=end, where=where), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file, so one task can hold it
     return written.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
 def read_index(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+
+    Null and repeated ids are as the files hold them; a manifest without files gives an empty table; a frame that
+    does not match its checksum stops the read. Files are dealt out one by one and read some megabytes at a time.
+    """
     spread = manifest.select("uri", "base").repartition(common.tasks(manifest), "uri")
     return common.arrow_map(spread, "ledgerloom.llm.token_files:_read", "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -72,3 +72,12 @@ def test_packing(docs, odd_rows, byte_bpe):
     one = got[got["doc_id"] == 8].sort_values("start")
     ids = np.array(_ids(byte_bpe, [odd_rows[10]])[0][1] + [1], "<u4")
     assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in one.itertuples()] == one["ids_crc32"].tolist()
+
+
+def test_one_id_fills_several_files(docs, spark, byte_bpe):
+    """Files follow the size of the texts, and rows of one id, or of none, are split like others."""
+    rows = [(7, f"text {i} " * 50) for i in range(60)] + [(None, f"other {i} " * 50) for i in range(60)]
+    manifest = token_files.write_tokens(docs(rows), byte_bpe, common.fresh_dir(spark, "t"), file_bytes=4096)
+    assert manifest.count() > 6 and max(r["docs"] for r in manifest.collect()) < 60
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read_index(manifest).collect())
+    assert [r[1] for r in got] == [None] * 60 + [7] * 60 and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
