@@ -111,9 +111,18 @@ def name_matches(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Registered names against query texts, scored by how they match, the best per query.
 
     Equal 100, name in query 90, query in name 80 plus ten times the share of the name covered; ties by
-    shorter name, then name. ``names`` is a small registry and is broadcast by size alone, never forced.
+    shorter name, then name. What is contained begins with a part of up to three characters that what contains it
+    holds somewhere, so both directions are joins on that part.
     """
     q, n = F.lower(F.trim("query")), F.lower(F.trim("name"))
-    score = F.when(q == n, 100.0).when(F.contains(q, n), 90.0).when(F.contains(n, q), 80.0 + 10.0 * F.length(q) / F.length(n))
-    found = queries.join(names, (F.length(q) > 1) & (F.contains(q, n) | F.contains(n, q))).withColumn("score", score)
+    queries, names = queries.filter(F.length(q) > 1), names.filter(F.length(n) > 0)
+
+    def parts(text):
+        places = F.sequence(F.lit(1), F.length(text))
+        return F.explode(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*(F.substr(text, i, F.lit(k)) for k in (1, 2, 3)))))))
+
+    in_query = queries.withColumn("_part", parts(q)).join(names.withColumn("_part", F.substring(n, 1, 3)), "_part").filter(F.contains(q, n))
+    in_name = names.withColumn("_part", parts(n)).join(queries.withColumn("_part", F.substring(q, 1, 3)), "_part").filter(F.contains(n, q))
+    score = F.when(q == n, 100.0).when(F.contains(q, n), 90.0).otherwise(80.0 + 10.0 * F.length(q) / F.length(n))
+    found = in_query.unionByName(in_name).drop("_part").withColumn("score", score)
     return keep_first(found, ["query"], [F.col("score").desc(), F.length("name"), F.col("name")])
