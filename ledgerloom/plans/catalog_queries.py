@@ -185,6 +185,8 @@ _KIND = "CASE WHEN lower(name) LIKE '%.zip.pdf' THEN 'zip.pdf' WHEN lower(name)
 _HITS = lambda words: " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in words)
 
 ORACLES = {
+    "ordered_distinct_terms": r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.,\n]'), lambda x: trim(regexp_replace(x, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')), lambda x: x <> '') AS t FROM documents)
+        SELECT doc_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:3], '|') AS firsts FROM t""",
     "file_kinds": f"WITH {_N} SELECT {_KIND} AS kind, count(*) AS n FROM names GROUP BY 1",
     "archive_choice": f"""WITH {_N}, f AS (SELECT DISTINCT name AS path, {_KIND} AS kind, regexp_extract(name, '([0-9]{{14}})', 1) AS receipt FROM names), r AS (SELECT *, row_number() OVER (PARTITION BY receipt ORDER BY CASE kind WHEN 'zip' THEN 0 ELSE 1 END, path) AS k
         FROM f WHERE kind IN ('zip', 'zip.pdf') AND receipt <> '') SELECT receipt, kind, 'firm' AS company, path FROM r WHERE k = 1""",

@@ -128,6 +128,7 @@ _C = list(X.CLASSES.items())
 _EV = " ".join(f"WHEN regexp_matches({src}, '{p}') THEN '{n}'" for src in ("lower(substr(text, 1, 40))", "lower(substr(text, 1, 500))") for n, p in X.EVENTS.items())
 
 ORACLES = {
+    "corrected_numbers": "SELECT p_partkey, 'price ' || floor(p_retailprice + 0.5)::BIGINT AS text FROM part",
     "document_classes": f"""WITH s AS (SELECT doc_id, {", ".join(f"{_HIT.format(p)} AS s{i}" for i, (_, p) in enumerate(_C))} FROM documents)
         SELECT doc_id, CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'other' {" ".join(f"WHEN s{i} = greatest(s0, s1, s2, s3) THEN '{c}'" for i, (c, _) in enumerate(_C))} END AS class FROM s""",
     "document_events": f"SELECT doc_id, CASE {_EV} END AS event FROM documents",

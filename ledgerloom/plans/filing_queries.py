@@ -244,6 +244,8 @@ _SOURCES = " + ".join(f"contains(a, '{w}')::INT" for w in quality.SOURCES)
 _HITS = "len(regexp_extract_all({0}, '{1}'))"
 
 ORACLES = {
+    "union_sources": """WITH c AS (SELECT text, regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1) AS c FROM documents), s AS (SELECT CASE WHEN length(text) <= 200 THEN text WHEN length(c) >= 20 THEN c ELSE '' END AS s FROM c),
+        u AS (SELECT 'summary' AS kind, s AS text FROM s WHERE s <> '' UNION ALL SELECT 'page', text FROM documents WHERE text <> '') SELECT kind, count(*) AS n, sum(length(text))::BIGINT AS chars FROM u GROUP BY 1""",
     "cell_facts": """WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 ELSE 1.0 END AS u, floor(o_totalprice)::BIGINT AS p FROM orders),
         v AS (SELECT k, 'revenue' AS metric, p * u AS value FROM t UNION ALL SELECT k, 'operating_profit', -(trunc(p / 4.0)::BIGINT * u) FROM t
             UNION ALL SELECT k, 'total_assets', CASE WHEN k % 5 = 0 THEN p * u ELSE 2 * p * u END FROM t),

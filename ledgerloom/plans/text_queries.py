@@ -280,6 +280,12 @@ _PARA = r"""p AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS para
   c AS (SELECT doc_id, CAST(para AS INTEGER) AS para, CAST(part AS INTEGER) AS part, trim(regexp_replace(substr(p, part * {size} + 1, {size}), '[ \t\n\r\f\v]+', ' ', 'g')) AS chunk FROM s)"""
 
 ORACLES = {
+    "lines_once": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT doc_id, l, list_transform(l, lambda x: substr(x, 1, 80)) AS k FROM l),
+        o AS (SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(k, substr(x, 1, 80)) = i), chr(10)) AS o FROM k) SELECT doc_id, length(o) AS n, md5(o) AS h FROM o""",
+    "query_terms": r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2 AND x NOT IN ('the','and','of','is','to','in','it','die','der','und','de','la','que','los')) AS t FROM conversations WHERE role = 'user')
+        SELECT conv_id, turn, list_filter(t, lambda x: length(x) = list_max(list_transform(t, lambda y: length(y))))[1] AS longest FROM t""",
+    "sentence_cut": """WITH c AS (SELECT doc_id, text, length(regexp_extract(substr(text, 1, 300), '(?s)^(.*[.!?])', 1)) AS c FROM documents)
+        SELECT doc_id, CASE WHEN length(text) <= 300 THEN length(text) WHEN c >= 20 THEN c ELSE 0 END AS n FROM c""",
     "squeezed_text": f"SELECT doc_id, md5({_SQZ.format('text')}) AS h, substr({_SQZ.format('text')}, 1, 40) AS head FROM documents",
     "script_ratio": f"""SELECT doc_id, round(coalesce({_CNT.format('text', r'\p{L}')}::DOUBLE / nullif({_NOSP.format('text')}, 0), 0), 6) AS letters, round(coalesce({_CNT.format('text', r'\p{L}')}::DOUBLE / nullif(length(text), 0), 0), 6) AS letters_all,
         coalesce({_CNT.format('text', r'\p{Han}')}::DOUBLE / nullif({_NOSP.format('text')}, 0), 0) > 0.02 AS "foreign" FROM documents""",
