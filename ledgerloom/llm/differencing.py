@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from heapq import heapify, heappop, heappush
 
-import numpy as np
-
 
 def _leaves(tree, out: list) -> None:
     stack = [tree]
@@ -17,24 +16,48 @@ def _leaves(tree, out: list) -> None:
             out.append(x)
 
 
-def partition(sizes: list[int], ways: int) -> tuple[np.ndarray, list]:
-    """Sums and members of ``ways`` sets: merge, again and again, the two partial partitions of largest spread,
-    laying the largest sets of one on the smallest of the other."""
-    heap = [(-s, i, np.array([s], np.int64), [i]) for i, s in enumerate(sizes)]
+def _merged(low: list, sets: list, keys: list, others: list, ahead: bool) -> None:
+    """Lay ``keys`` with their sets into ``low`` and its sets, before equal ones if ``ahead``, else after them."""
+    if 16 * len(keys) > len(low):
+        all_keys, all_sets = (keys + low, others + sets) if ahead else (low + keys, sets + others)
+        order = sorted(range(len(all_keys)), key=all_keys.__getitem__)
+        low[:], sets[:] = [all_keys[i] for i in order], [all_sets[i] for i in order]
+        return
+    for k, s in zip(reversed(keys), reversed(others), strict=True) if ahead else zip(keys, others, strict=True):
+        at = bisect_left(low, k) if ahead else bisect_right(low, k)
+        low.insert(at, k)
+        sets.insert(at, s)
+
+
+def partition(sizes: list[int], ways: int) -> tuple[list[int], list]:
+    """Sums, largest first, and members of ``ways`` sets: merge, again and again, the two partial partitions of
+    largest spread, laying the largest sets of one on the smallest of the other.
+
+    A partial partition is a list of negated sums in ascending order beside its sets; the sets of the smaller one
+    are laid into the larger one's list, so a single piece costs a search and not a pass over all sets.
+    """
+    heap = [(-s, i, [-s], [i]) for i, s in enumerate(sizes)]
     heapify(heap)
     serial = len(heap)
     while len(heap) > 1:
         _, _, sums_a, sets_a = heappop(heap)
         _, _, sums_b, sets_b = heappop(heap)
-        a, b = len(sums_a), len(sums_b)
-        over = max(0, a + b - ways)  # sets of a that meet a set of b: its smallest, against the largest of b
-        sums = np.concatenate([sums_a[: a - over], sums_a[a - over :] + sums_b[b - over :][::-1] if over else sums_a[:0], sums_b[: b - over]])
-        sets = sets_a[: a - over] + [(x, y) for x, y in zip(sets_a[a - over :], reversed(sets_b[b - over :]), strict=True)] * bool(over) + sets_b[: b - over]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heappush(heap, (int((sums[-1] if len(sums) == ways else 0) - sums[0]), serial, sums, [sets[i] for i in order]))
+        over = max(0, len(sums_a) + len(sums_b) - ways)  # sets of a that meet a set of b: its smallest, against the largest of b
+        met, met_sets = [], []
+        if over:
+            met = [x + y for x, y in zip(sums_a[-over:], reversed(sums_b[-over:]), strict=True)]
+            met_sets = list(zip(sets_a[-over:], reversed(sets_b[-over:]), strict=True))
+            del sums_a[-over:], sums_b[-over:], sets_a[-over:], sets_b[-over:]
+        # The order among equal sums is: what a has kept, what has met, what b has kept.
+        if len(sums_a) >= len(sums_b):
+            _merged(sums_a, sets_a, met + sums_b, met_sets + sets_b, False)
+            sums, sets = sums_a, sets_a
+        else:
+            _merged(sums_b, sets_b, sums_a + met, sets_a + met_sets, True)
+            sums, sets = sums_b, sets_b
+        heappush(heap, (sums[0] - (sums[-1] if len(sums) == ways else 0), serial, sums, sets))
         serial += 1
-    return (heap[0][2], heap[0][3]) if heap else (np.zeros(0, np.int64), [])
+    return ([-s for s in heap[0][2]], heap[0][3]) if heap else ([], [])
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -44,7 +67,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     ways = max(1, -(-sum(sizes) // capacity))
     while True:
         sums, sets = partition(sizes, ways)
-        most = int(sums[0])
+        most = sums[0]
         if most <= capacity:
             out = []
             for tree in sets:

@@ -81,3 +81,37 @@ def test_one_id_fills_several_files(docs, spark, byte_bpe):
     assert manifest.count() > 6 and max(r["docs"] for r in manifest.collect()) < 60
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read_index(manifest).collect())
     assert [r[1] for r in got] == [None] * 60 + [7] * 60 and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_partition_of_pieces_follows_the_plain_rule():
+    """The same sums and members as a merge that sorts all sets anew each time."""
+    import random
+
+    from ledgerloom.llm import differencing
+
+    def plain(sizes, ways):
+        parts = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+        serial = len(parts)
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[:2])
+            (_, _, a), (_, _, b) = parts[:2]
+            a, b = a + [(0, [])] * (ways - len(a)), b + [(0, [])] * (ways - len(b))
+            met = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda m: -m[0])
+            met = [m for m in met if m[1]]
+            parts = parts[2:] + [((met[-1][0] if len(met) == ways else 0) - met[0][0], serial, met)]
+            serial += 1
+        return parts[0][2]
+
+    rng = random.Random(5)
+    for n, most in ((1, 9), (7, 3), (40, 50), (120, 512)):
+        sizes = [rng.randint(1, most) for _ in range(n)]
+        for ways in {1, 2, n // 4 + 1, n // 2 + 1, n + 2}:
+            sums, sets = differencing.partition(sizes, ways)
+            assert list(sums) == [s for s, _ in plain(sizes, ways)]
+            members = []
+            for total, tree in zip(sums, sets, strict=True):
+                held = []
+                differencing._leaves(tree, held)
+                assert sum(sizes[i] for i in held) == total
+                members += held
+            assert sorted(members) == list(range(n))
