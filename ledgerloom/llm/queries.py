@@ -34,23 +34,18 @@ def op4_token_files(spark, sf_dir):
     return token_files.read_index(manifest)
 
 
-# Host and path of the contract's rules.
-URL_RULES = (
-    url_rules.Rule("block", "com/en/"),
-    url_rules.Rule("allow", "example.com/en/7"),
-    url_rules.Rule("block", "net/de/"),
-    url_rules.Rule("block", "example.net/de/8"),
-    url_rules.Rule("block", "org/es/"),
-)
+# The contract's rules (fixed values); code and SQL both read this text.
+URL_RULE_TEXT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+URL_RULES = tuple(url_rules.Rule(*rule.split()) for rule in URL_RULE_TEXT.split(", "))
 
 
 def op5_url_rules(spark, sf_dir):
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-OP5_SQL = r"""
+OP5_SQL = rf"""
 WITH rules(verdict, rule) AS (
-  VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('block', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')
+  VALUES {", ".join(f"('{r.verdict}', '{r.text}')" for r in URL_RULES)}
 ), cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (

@@ -93,6 +93,25 @@ def test_urls_equal_sql(spark):
     assert (cols, rows) == oracles.rows_of_sql(oracles.connection(SF), queries.OP5_SQL)
 
 
+def test_url_rules_are_the_contracts():
+    assert [(r.verdict, r.text) for r in queries.URL_RULES] == [
+        ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
+    ]
+
+
+def test_urls_equal_rules_by_hand(spark):
+    """Every url of the smallest pages against the contract's sentences, said once more in plain Python."""
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    for row in queries.op5_url_rules(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url"), "page_id").collect():
+        rest = row.url.split("://", 1)[1] if row.url and "://" in row.url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r in rules if (h := r.partition("/")[0]) and (host == h or host.endswith("." + h)) and path.startswith("/" + r.partition("/")[2])]
+        best = max(fits, key=len, default=None)
+        assert (row.host, row.path, row.rule, row.verdict) == (host, path, best, rules.get(best, "allow"))
+
+
 def test_urls_edges(spark):
     urls = [
         (1, None), (2, ""), (3, "no scheme.com/en/"), (4, "HTTP://A.Example.COM/en/71?q=1"), (5, "x://example.com/en/8"), (6, "x://notexample.com/en/7"), (7, "x://com/en/"), (8, "x://a.com:80/en/"),
@@ -104,7 +123,7 @@ def test_urls_edges(spark):
     assert found[1] == ("", None, "allow") and found[3] == ("", None, "allow")
     assert found[4] == ("a.example.com", "example.com/en/7", "allow") and found[5][1:] == ("com/en/", "block")
     assert found[6][1:] == ("com/en/", "block") and found[7][1:] == ("com/en/", "block") and found[8][1:] == (None, "allow")
-    assert found[9] == ("b.net", None, "allow") and found[10] == ("Äb.net", "net/de/", "block") and found[11][1:] == ("example.net/de/8", "block")
+    assert found[9] == ("b.net", None, "allow") and found[10] == ("Äb.net", "net/de/", "allow") and found[11][1:] == ("example.net/de/8", "block")
     assert found[12][1:] == (None, "allow") and found[13] == ("", None, "allow") and len([r for r in got if r[0] is None]) == 2
     assert url_rules.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
