@@ -56,6 +56,22 @@ def arrow_groups(grouped, target: str, schema: str, **options) -> DataFrame:
     return grouped.applyInArrow(run, schema)
 
 
+def arrow_cogroups(left, right, target: str, schema: str, **options) -> DataFrame:
+    """applyInArrow on two tables grouped alike, ``module:function`` called as function(left, right, **options) in the worker."""
+    module, _, name = target.partition(":")
+    root = ROOT
+
+    def run(a, b):
+        import importlib
+        import sys
+
+        if root not in sys.path:
+            sys.path.insert(0, root)
+        return getattr(importlib.import_module(module), name)(a, b, **options)
+
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches: spark.checkpoint.dir. Only a session on this machine alone may leave it unset and gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from ledgerloom.llm import common, decontamination, hyperminhash, media, packing, secret_scan, suffix_dedup, token_count, token_files, toxicity, url_rules
+from ledgerloom.llm import common, decontamination, hyperminhash, kd_clusters, media, packing, resampling, secret_scan, sql, suffix_dedup, token_count, token_files, toxicity, url_rules, word_table
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -84,9 +84,21 @@ def op10_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), _byte_bpe())
 
 
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_kd_clusters(spark, sf_dir):
+    return kd_clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_word_table(spark, sf_dir):
+    return word_table.digest(word_table.decode(word_table.encode(_table(spark, sf_dir, "documents"), _byte_bpe()), _byte_bpe()))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op7_decontamination, op8_webp_media, op9_suffix_dedup, op10_packing)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_toxicity, op4_token_files, op5_url_rules, op6_secret_scan, op7_decontamination, op8_webp_media, op9_suffix_dedup, op10_packing, op11_resampling, op12_kd_clusters, op13_word_table)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": OP5_SQL}
+    return {"op5_url_rules": OP5_SQL, "op11_resampling": sql.RESAMPLING, "op12_kd_clusters": sql.clusters()}
