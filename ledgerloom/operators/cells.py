@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Label cells and the metric each names, units and their factors, and the range a metric's amount may have.
@@ -15,7 +15,7 @@ HANGUL_LABELS = {
     "당기순이익": "net_income", "당기순손실": "net_income", "연결총당기순이익": "net_income", "총당기순이익": "net_income", "당기순이익(손실)": "net_income", "당기순손실(이익)": "net_income",
     "자산총계": "total_assets", "부채총계": "total_liabilities", "자본총계": "equity", "지배기업소유주지분": "equity",
 }
-HANGUL_UNITS = {"조원": 1e12, "조": 1e12, "억원": 1e8, "억": 1e8, "백만원": 1e6, "천원": 1e3, "원": 1.0}
+HANGUL_UNITS = {"조원": 1e12, "조": 1e12, "억원": 1e8, "억": 1e8, "백만원": 1e6, "백만": 1e6, "천원": 1e3, "천": 1e3, "원": 1.0}
 LATIN_LABELS = {"revenue": "revenue", "sales": "revenue", "operating profit": "operating_profit", "net income": "net_income", "total assets": "total_assets", "total liabilities": "total_liabilities", "equity": "equity"}
 LATIN_UNITS = {"billion": 1e9, "million": 1e6, "thousand": 1e3}
 RANGES = {"revenue": (1e8, 5e14), "operating_profit": (1e7, 6e13), "net_income": (1e7, 6e13), "total_assets": (1e8, 1e15), "total_liabilities": (1e8, 1e15), "equity": (1e8, 1e15)}
@@ -33,16 +33,21 @@ LATIN = CellRules()
 HANGUL = CellRules(HANGUL_LABELS, HANGUL_UNITS, "단위")
 
 
+# What may stand before a label and after a number.
+_LABEL_NUMBER = r"^(?:[IVXivx]+\.|[0-9]+[.)]|[가-힣]\.)[ \t]*"
+_NUMBER_NOTE = r"(?i)[ \t]*\((?:주|note|n)\.?[ \t]*[0-9]*\)$|[ \t]*\*[0-9]+$"
+
+
 def label_metric(cell: Column, labels: Mapping[str, str]) -> Column:
     """The metric a whole cell names: as it stands without a leading number, or without a trailing bracket too; else null."""
-    plain = F.lower(F.trim(F.regexp_replace(F.trim(cell), r"^(?:[IVXivx]+\.|[0-9]+[.)]|[가-힣]\.)[ \t]*", "")))
+    plain = F.lower(F.trim(F.regexp_replace(F.trim(cell), _LABEL_NUMBER, "")))
     known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
     return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.trim(F.regexp_replace(plain, r"[ \t]*\([^)]*\)$", ""))))
 
 
 def cell_number(cell: Column) -> Column:
     """The number a whole cell is: thousands' commas, a sign or brackets for negative ones, a trailing note left off; else null."""
-    plain = F.regexp_replace(F.trim(cell), r"(?i)[ \t]*\((?:주|note|n)\.?[ \t]*[0-9]*\)$|[ \t]*\*[0-9]+$", "")
+    plain = F.regexp_replace(F.trim(cell), _NUMBER_NOTE, "")
     bare = F.regexp_replace(F.regexp_replace(plain, r"^[-△▲][ \t]*", ""), r"^\((.+)\)$", "$1")
     number = F.regexp_replace(bare, "[, ]", "")
     value = F.when(number.rlike(r"^[0-9]+(\.[0-9]+)?$"), number).try_cast("double")
@@ -60,20 +65,24 @@ def cell_facts(docs: DataFrame, rules: CellRules = LATIN, ahead: int = 9, back:
     """id, metric, value: of each label cell the number in the next filled line, at most ``ahead`` lines on, times the unit declared last within ``back`` lines before.
 
     Values out of a metric's range are no facts; of each metric the first fact of a text counts; amounts that two
-    metrics of a text share are none. Null texts give none. A text's lines are ordered in one window each.
+    metrics of a text share are none. Every row is a text of its own, whatever its id: null and repeated ids give their
+    own facts. Null texts give none. All happens within a row, so nothing is shuffled.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("at", "cell"))
-    in_order = Window.partitionBy("id").orderBy("at")
-    factor = unit_factor(F.col("cell"), rules)
-    lines = lines.withColumn("unit", F.last(F.when(factor.isNotNull(), F.struct("at", factor.alias("factor"))), ignorenulls=True).over(in_order.rowsBetween(-back, -1)))
-    filled = lines.filter(F.trim("cell") != "").withColumn("metric", label_metric(F.col("cell"), rules.labels)).withColumn("number", cell_number(F.col("cell")))
-    nxt = filled.withColumn("next_at", F.lead("at").over(in_order)).withColumn("next", F.lead("number").over(in_order))
-    found = nxt.filter(F.col("metric").isNotNull() & F.col("next").isNotNull() & (F.col("next_at") - F.col("at") <= ahead)).withColumn("value", F.col("next") * F.coalesce("unit.factor", F.lit(1.0)))
-    low, high = (F.create_map(*(F.lit(x) for m, r in rules.ranges.items() for x in (m, float(r[k])))) for k in (0, 1))
-    sane = found.filter(F.abs("value").between(F.try_element_at(low, F.col("metric")), F.try_element_at(high, F.col("metric"))))
-    first = sane.groupBy("id", "metric").agg(F.min_by("value", "at").alias("value"))
-    alike = Window.partitionBy("id", F.round(F.abs("value")))
-    return first.withColumn("n", F.count("*").over(alike)).filter("n = 1").select(F.col("id").alias(id_col), "metric", "value")
+    struct = F.struct
+    cells = F.transform(F.split(text_col, "\n"), lambda cell, at: struct(at.alias("at"), F.btrim(cell, F.lit(" \t\r\f\v")).alias("cell")))
+    filled = docs.select(F.col(id_col).alias("id"), F.filter(cells, lambda c: c["cell"] != "").alias("filled"))
+    read = lambda c: struct(c["at"].alias("at"), label_metric(c["cell"], rules.labels).alias("metric"), cell_number(c["cell"]).alias("number"), unit_factor(c["cell"], rules).alias("factor"))
+    known = filled.select("id", F.transform("filled", read).alias("known"))
+    units = F.filter("known", lambda c: c["factor"].isNotNull())
+    pairs = F.zip_with("known", F.slice("known", 2, F.size("known")), lambda c, n: struct(c["at"].alias("at"), c["metric"].alias("metric"), F.when(n["at"] - c["at"] <= ahead, n["number"]).alias("number")))
+    asked = known.select("id", units.alias("units"), F.filter(pairs, lambda p: p["metric"].isNotNull() & p["number"].isNotNull()).alias("pairs")).filter(F.size("pairs") > 0)
+    declared = lambda p: F.try_element_at(F.filter("units", lambda u: (u["at"] < p["at"]) & (p["at"] - u["at"] <= back)), F.lit(-1))["factor"]
+    valued = asked.select("id", F.transform("pairs", lambda p: struct(p["metric"].alias("metric"), (p["number"] * F.coalesce(declared(p), F.lit(1.0))).alias("value"))).alias("facts"))
+    first = lambda metric, low, high: F.try_element_at(F.filter("facts", lambda f: (f["metric"] == metric) & F.abs(f["value"]).between(float(low), float(high))), F.lit(1))
+    one_each = valued.select("id", F.array_compact(F.array(*(first(m, *r) for m, r in rules.ranges.items()))).alias("facts"))
+    amount = lambda f: F.round(F.abs(f["value"]))
+    alone = F.filter("facts", lambda f: F.size(F.filter("facts", lambda g: amount(g) == amount(f))) == 1)
+    return one_each.select("id", F.explode(alone).alias("f")).select(F.col("id").alias(id_col), "f.metric", "f.value")
 
 
 def suspicious(metric: Column, value: Column, won: Column, text: Column) -> Column:
