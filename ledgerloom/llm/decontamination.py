@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -74,22 +75,23 @@ class Seeds:
             for mask in self.masks if len(w) >= shortest else ():
                 h = masked_hashes(w, mask)
                 hashes.append(h)
-                owner.append(np.full(len(h), k, np.int64))
-                place.append(np.arange(len(h)))
+                owner.append(np.full(len(h), k, np.int32))
+                place.append(np.arange(len(h), dtype=np.int32))
         joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(joined, kind="stable")
         self.hashes = joined[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[(self.hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int32))[order]
+        self.place = (np.concatenate(place) if place else np.zeros(0, np.int32))[order]
+        self.shift = np.uint64(64 - max(_TABLE_BITS, (8 * len(self.hashes)).bit_length()))  # at most an eighth of the bits is set
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def touched(self, words: np.ndarray, at: np.ndarray) -> list[int]:
         """Numbers of the texts, of words one after another with offsets ``at``, that may hold a seed."""
         found = []
         for mask in self.masks:
             h = masked_hashes(words, mask)
-            k = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+            k = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.hashes, h[k]), max(len(self.hashes) - 1, 0))
             found.append(k[self.hashes[place] == h[k]] if len(self.hashes) else k[:0])
         return np.unique(np.searchsorted(at, np.concatenate(found), "right") - 1).tolist()
@@ -98,7 +100,7 @@ class Seeds:
         """Distinct rows of item and of text position less item position, some at a time: a phrase that both repeat is never paired whole."""
         for mask in self.masks:
             h = masked_hashes(words, mask)
-            at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+            at = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
             if not len(at):
                 continue
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
@@ -130,6 +132,23 @@ class Seeds:
         return out
 
 
+_kept: dict[str, Seeds] = {}
+
+
+def _forget() -> None:
+    _kept.clear()
+    shingles.forget()
+
+
+def _seeds(key: str, items: list, least: int, percent: int, shortest: int) -> Seeds:
+    """The worker's seeds of a block, made once for all its tasks; one block is kept at a time."""
+    common.claim("seeds", _forget)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Seeds(items, least, percent, shortest)
+    return _kept[key]
+
+
 _SCHEMA = "doc_id long, n_passages int, passages array<struct<item_id:long,first_word:long,words:long,same:long>>, digest string"
 
 
@@ -140,9 +159,8 @@ def _found(texts: list[str], seeds: Seeds) -> dict[int, list]:
     return {k: sorted(p, key=lambda f: (f[0] is None, f)) for k, p in found if p}
 
 
-def _search(batches, items: list, least: int, percent: int, shortest: int):
-    common.claim("shingles", shingles.forget)
-    seeds = Seeds(items, least, percent, shortest)
+def _search(batches, key: str, items: list, least: int, percent: int, shortest: int):
+    seeds = _seeds(key, items, least, percent, shortest)
     names = ("item_id", "first_word", "words", "same")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in names]))
     for b in batches:
@@ -170,7 +188,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, shortest: int = 7, block_chars: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, shortest: int = 7, block_chars: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated row of ``docs``: doc_id, n_passages, passages, these by item, null items last.
 
     An overlap counts when, at one alignment without gaps, some window of ``least`` words (the whole item, if
@@ -180,7 +198,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent
     no overlap; with a smaller ``shortest`` lighter masks find those too.
 
     The benchmark is taken in blocks of ``block_chars`` characters, one at a time at the driver and in the tasks; a
-    larger benchmark costs more passes over the documents. What each pass has found is written to the shared
+    larger benchmark costs more passes over the documents. A character of a block takes some ten bytes of a worker
+    (three seeds of 16 bytes a word), so 160 MB by default, and its seeds are made once a worker. What each pass has found is written to the shared
     folder, and that alone is shuffled then, to make one row of a document's parts; rows of the same id and text
     have the same parts. Null and empty texts, on either side, match nothing; null ids are reported as null;
     repeated rows each give a row; an empty table on either side gives an empty one. Other columns are not read.
@@ -192,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent
 def _contaminated(docs, benchmark, least, percent, shortest, block_chars, id_col, text_col, item_col, item_text_col) -> DataFrame:
     """contaminated() with the texts' MD5 as ``digest``."""
     texts = common.id_text(docs, id_col, text_col).withColumn("digest", F.md5("text"))
-    search = lambda items: common.arrow_map(texts, "ledgerloom.llm.decontamination:_search", _SCHEMA, items=items, least=least, percent=percent, shortest=shortest)
+    search = lambda items: common.arrow_map(texts, "ledgerloom.llm.decontamination:_search", _SCHEMA, key=uuid.uuid4().hex, items=items, least=least, percent=percent, shortest=shortest)
     blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
@@ -210,9 +229,8 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return rows.select("doc_id", F.size("passages").alias("n_passages"), "passages", "digest")
 
 
-def _drop(batches, items: list, least: int, percent: int, shortest: int):
-    common.claim("shingles", shingles.forget)
-    seeds = Seeds(items, least, percent, shortest)
+def _drop(batches, key: str, items: list, least: int, percent: int, shortest: int):
+    seeds = _seeds(key, items, least, percent, shortest)
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
@@ -220,7 +238,7 @@ def _drop(batches, items: list, least: int, percent: int, shortest: int):
             yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, shortest: int = 7, block_chars: int = 2 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, percent: int = 75, shortest: int = 7, block_chars: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows contaminated() would report; columns stay. Edge cases as there.
 
     With one block of the benchmark there is no shuffle; with more, the found texts' digests are joined.
@@ -231,7 +249,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13,
     if len(blocks) == 1:
         inner = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
         kind = inner.schema["kept"].dataType.simpleString()
-        kept = common.arrow_map(inner, "ledgerloom.llm.decontamination:_drop", f"text string, kept {kind}", items=blocks[0], least=least, percent=percent, shortest=shortest)
+        kept = common.arrow_map(inner, "ledgerloom.llm.decontamination:_drop", f"text string, kept {kind}", key=uuid.uuid4().hex, items=blocks[0], least=least, percent=percent, shortest=shortest)
         return kept.select("kept.*")
     ids = docs.withColumn("_id", F.lit(None).cast("long"))
     found = _contaminated(ids, benchmark, least, percent, shortest, block_chars, "_id", text_col, item_col, item_text_col)

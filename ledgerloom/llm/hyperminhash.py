@@ -103,7 +103,7 @@ def _bands(batches):
 
 
 def _matching(batches, words: int):
-    """Texts whose own set is the class's; a repeated id may bring other texts."""
+    """Texts whose own set is the class's; only rows whose ids and text hashes both agree could bring others."""
     common.claim("shingles", shingles.forget)
     for b in batches:
         sets = shingles.shingle_sets(b.column("text").to_pylist(), words)
@@ -226,9 +226,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     star = shared.select(F.explode(F.array(F.struct(F.least("cls", "lo").alias("a"), F.greatest("cls", "lo").alias("b")), F.struct(F.least("cls", "hi").alias("a"), F.greatest("cls", "hi").alias("b")))).alias("p")).select("p.a", "p.b").filter("a <> b").distinct()
     pairs = common.materialize(star, "pairs")
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.drop("best"), "cls")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    fetched = texts.withColumn("key", key).join(wanted.withColumn("key", F.coalesce("least_id", F.lit(-(1 << 63)))), "key").select("cls", "digest", "sketch", "text")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls").select("cls", "digest", "sketch", "best")
+    fetched = _texts_of(wanted, texts)
     own = common.arrow_map(fetched, "ledgerloom.llm.hyperminhash:_matching", "cls long, sketch binary, text string", words=words)
     full = common.materialize(own.dropDuplicates(["cls"]), "full")
 
@@ -251,6 +250,14 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     return members.filter("n_shingles > 0").join(of_digest, "digest", "left").unionByName(empty, allowMissingColumns=True)
 
 
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cls, digest, sketch, text) of the row that stands for each class: found by id and text, so that rows that share
+    an id, or have none, bring their own text alone. Copies of one row with the same id come once each."""
+    mark = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    named = wanted.select("cls", "digest", "sketch", mark(F.col("best.doc_id")).alias("key"), F.col("best.text_key").alias("text_key"))
+    return texts.select(mark(F.col("doc_id")).alias("key"), _text_key("text").alias("text_key"), "text").join(named, ["key", "text_key"]).select("cls", "digest", "sketch", "text")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near_duplicates(): of the least id, null ids being last.
 

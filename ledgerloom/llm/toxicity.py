@@ -109,17 +109,21 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+# The bias where learning left none: a text that speaks neither way is not toxic.
+_SILENT = -1e-6
+
+
 def learn(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``params.sample`` labelled rows outside the held-out fold, taken by hash of the id.
 
     Labels of one id that differ count as 1; null labels and ids are passed over. Without labelled rows the
-    model scores 0.5 everywhere; null and empty texts teach the bias alone; an id that several rows bear teaches
+    model scores 0.5 everywhere; where learning leaves no bias, texts without known features score just under it; null and empty texts teach the bias alone; an id that several rows bear teaches
     with each. The sample bounds the one training task, what is shuffled to it and the broadcast of its ids.
     """
     found = common.arrow_map(_sample(docs, labels, params, id_col, text_col, label_col), "ledgerloom.llm.toxicity:_train", "index binary, weight binary, bias double", params=params).collect()
     if not found:
         return Model(params.bits, np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
-    return Model(params.bits, np.frombuffer(found[0]["index"], "<i8"), np.frombuffer(found[0]["weight"], "<f4"), found[0]["bias"])
+    return Model(params.bits, np.frombuffer(found[0]["index"], "<i8"), np.frombuffer(found[0]["weight"], "<f4"), found[0]["bias"] or _SILENT)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, params: Ftrl, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -154,9 +158,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score 0.5 or more; columns and order of columns stay.
 
-    Null and empty texts get the bias alone, as in score(), and null texts stay null; null ids stay; repeated rows go or stay together; an
+    A model that has learnt nothing rejects nothing. Null and empty texts get the bias alone, as in score(), and null texts stay null; null ids stay; repeated rows go or stay together; an
     empty table gives an empty one. Columns of any name pass through unread. No shuffle.
     """
+    if not len(model.index) and not model.bias:
+        return docs
     inner = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("kept"))
     kind = inner.schema["kept"].dataType.simpleString()
     return common.arrow_map(inner, "ledgerloom.llm.toxicity:_scores", f"doc_id long, score double, kept {kind}", model=model).filter("score < 0.5").select("kept.*")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import components, hyperminhash, shingles, suffix_dedup
@@ -96,6 +97,19 @@ def test_crowded_band_is_compared_in_blocks(docs, monkeypatch):
     assert _sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()]) == _sorted(_components(rows))
 
 
+def test_near_copies_without_ids_bring_one_text_each(spark, docs):
+    """2,000 different texts under one id, or none: each class fetches its own text alone."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base, f"own{k}", f"end{k}"]) for k in range(1000)]
+    rows = docs([(None, t) for t in texts] + [(7, t + " more") for t in texts])
+    keyed = rows.select("doc_id", hyperminhash._text_key("text").alias("text_key"))
+    wanted = keyed.select(F.monotonically_increasing_id().alias("cls"), F.lit(b"").alias("digest"), F.lit(b"").alias("sketch"), hyperminhash._row_key().alias("best"))
+    fetched = hyperminhash._texts_of(wanted, rows.select("doc_id", "text"))
+    assert fetched.count() == 2000 and fetched.select("text").distinct().count() == 2000
+    few = docs([(None, t) for t in texts[:150]] + [(7, t + " more") for t in texts[:50]])
+    assert {(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(few).collect()} == {(None, 7), (7, 7)}
+
+
 def test_a_block_of_close_classes_gives_a_forest():
     """However many pairs of a block are linked, it returns fewer links than classes, and the same components."""
     rng = np.random.default_rng(3)
@@ -278,3 +292,29 @@ def test_pipeline_stages(spark):
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
     assert set(total) == set(after)
     assert zlib.crc32(b"") == 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_odd_tables(spark, docs, tmp_path, odd_rows):
+    """run() over nulls, empty and repeated rows, ids that several rows bear, and extra columns with names used inside."""
+    bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi"
+    near = " ".join(f"near{k}" for k in range(80))
+    rows = [*odd_rows, (30, near), (31, near + " more"), (32, f"before {bench} after"), (33, "token = abcdefghijklmnop0 stays"), (33, "another text under the same id")]
+    rows += [(100 + k, f"bad vile words{k % 7} number {k}" if k % 6 == 0 else f"plain fair words{k % 7} number {k}") for k in range(60)]
+    docs(rows).write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs(rows).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for where in ("full", "none"):
+        spark.createDataFrame([(100 + k, 1, int(k % 6 == 0)) for k in range(60)] + [(None, 0, 1), (100, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{where}/labels.parquet")
+        spark.createDataFrame([(1, bench), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{where}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    ids = {r.doc_id for r in out}
+    assert {1, 2, 6, 7, 8, None, 30, 33} <= ids and 31 not in ids and 32 not in ids
+    whole = collections.Counter()
+    for r in out:
+        whole[r.doc_id] += r.length
+    rows_of_33 = {(r.doc_tokens) for r in out if r.doc_id == 33}
+    assert whole[33] == sum(rows_of_33) and whole[30] == sum({r.doc_tokens for r in out if r.doc_id == 30})
+    fill = collections.Counter()
+    for r in out:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
