@@ -1,27 +1,31 @@
 """BPE encoding and decoding through tables of distinct words and of pieces.
 
-Texts are split into words; a block of a few megabytes of texts becomes rows of word numbers, one a document, and rows of
-the block's distinct words. The distinct words of all blocks are encoded once each; a join by word gives every block the
-ids of its words, and each document's ids are put together by its words' positions. Decoding is the same the other
-way: the distinct ids of a block are joined with the table of pieces, and pieces are put together by position.
+Texts are split into words; a block of some megabytes of texts becomes one row of word numbers, by position, and rows of
+the block's distinct words, dealt by a hash of the word. Where all blocks' rows of a share of the words meet, each distinct
+word is encoded once, and the ids go back to the blocks that asked for it; there each document's ids are put together by
+its words' positions. Decoding is the same the other way: the distinct ids of a block are joined with the table of pieces,
+and pieces are put together by position.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common, encoding, pretoken
 from ledgerloom.llm.token_count import byte_symbols
 
-_BLOCK = 4 << 20  # characters of a block's texts
-_SPLIT = "block long, place int, doc_id long, codes binary, code int, word string"
+_BLOCK = 32 << 20  # characters of a block's texts
+_SHARE = 64 << 20  # bytes of text to a share of the words
+_SPLIT = "block long, share long, numbers binary, words binary"
 _IDS = "block long, place int, doc_id long, ids array<int>, code int, id int"
 
 
@@ -74,28 +78,62 @@ def words_of(text: str, special: list[str]):
             yield True, found
 
 
-def _split(batches, path: str, block: int):
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit integers in one compressed frame, byte planes apart."""
+    planes = [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(arrays), *map(len, arrays)], "<u8").tobytes(), *planes]))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    out, at = [], 8 * (n + 1)
+    for size in np.frombuffer(raw, "<u8", n, 8).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size).T).view("<u4").reshape(-1))
+        at += 4 * size
+    return out
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, bytes]:
+    return np.fromiter(map(len, words), np.int64, len(words)), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def _apart(sizes: np.ndarray, data: bytes) -> list[bytes]:
+    raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(sizes.astype(np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _split(batches, path: str, block: int, shares: int):
     from pyspark import TaskContext
 
     common.claim("word_table", _tool.cache_clear)
     task, number, special = TaskContext.get().partitionId() << 32, 0, _special(path)
     for b in batches:
         for ids, texts in common.text_slices(b, block):
-            codes, rows = _Codes(), []  # a key is a word, or with a space in front (word,)
-            spaced = _Codes()
+            tables, numbers, counts = (_Codes(), _Codes()), [np.zeros(0, np.int32)], []
             for text in texts:
-                own = [np.zeros(0, np.int32)]
+                n = 0
                 for lead, words in words_of(text, special):
-                    table, side = (spaced, 1) if lead else (codes, 0)
-                    own.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)) * 2 + side)
-                rows.append(np.concatenate(own).astype("<i4").tobytes())
-            n, at = len(rows), task | number
-            yield _batch(_SPLIT, block=[at] * n, place=range(n), doc_id=ids, codes=rows)
-            for table, side, front in ((codes, 0, ""), (spaced, 1, " ")):
-                words = list(table)
-                for k in range(0, len(words), 20_000):
-                    some = words[k : k + 20_000]
-                    yield _batch(_SPLIT, block=[at] * len(some), code=range(2 * k + side, 2 * (k + len(some)) + side, 2), word=[front + w for w in some])
+                    numbers.append(np.fromiter(map(tables[lead].__getitem__, words), np.int32, len(words)) * 2 + lead)
+                    n += len(words)
+                counts.append(n)
+            keys = np.array([k or 0 for k in ids], np.int64).view(np.uint64)
+            named = np.array([k is not None for k in ids])
+            yield _batch(_SPLIT, block=[task | number], numbers=[_packed(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), named, np.array(counts), np.concatenate(numbers))])
+            dealt: dict[int, list] = {}
+            for lead, table in enumerate(tables):
+                front = b" " if lead else b""
+                for word, code in table.items():
+                    raw = front + word.encode("utf-8", "surrogatepass")
+                    dealt.setdefault(zlib.crc32(raw) % shares, []).append((raw, 2 * code + lead))
+            rows = []
+            for share, own in dealt.items():
+                words, codes = zip(*sorted(own), strict=True)
+                sizes, data = _joined(list(words))
+                rows.append((share, _packed(np.array(codes), sizes), data))
+            for k in range(0, len(rows), 1000):
+                some = rows[k : k + 1000]
+                yield _batch(_SPLIT, block=[task | number] * len(some), share=[r[0] for r in some], numbers=[r[1] for r in some], words=[r[2] for r in some])
             number += 1
 
 
@@ -110,13 +148,25 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
 
 
 def _encode(batches, path: str):
+    """Rows come sorted by share; a share's distinct words are encoded once each and kept while its rows pass."""
     common.claim("word_table", _tool.cache_clear)
-    tool = _tool(path)
+    tool, share, known = _tool(path), None, {}
     for b in batches:
-        words, ids = b.column("word").to_pylist(), []
-        for k in range(0, len(words), 4096):
-            ids += [e.ids for e in tool.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
-        yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+        out = []
+        for block, own, numbers, words in zip(b.column("block").to_pylist(), b.column("share").to_pylist(), b.column("numbers").to_pylist(), b.column("words").to_pylist(), strict=True):
+            if own != share:
+                share, known = own, {}
+            codes, sizes = _unpacked(numbers)
+            asked = _apart(sizes, words)
+            new = [w for w in asked if w not in known]
+            for k in range(0, len(new), 4096):
+                some = new[k : k + 4096]
+                found = tool.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
+                known.update((w, np.array(e.ids, np.int32)) for w, e in zip(some, found, strict=True))
+            ids = [known[w] for w in asked]
+            out.append((block, _packed(codes, np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))))
+        for block, numbers in out:
+            yield _batch("at long, numbers binary", at=[block], numbers=[numbers])
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
@@ -130,20 +180,28 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: n
     return np.concatenate(out) if out else values[:0]
 
 
-def _by_code(code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of runs that lie one after another, by their code."""
-    starts, lens = np.zeros(code.max(initial=-1) + 1, np.int64), np.zeros(code.max(initial=-1) + 1, np.int64)
+def _by_code(code: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs that lie one after another, by their code; every code below ``most`` that occurs must be there."""
+    starts, lens = np.zeros(most, np.int64), np.full(most, -1, np.int64)
     starts[code], lens[code] = np.cumsum(sizes) - sizes, sizes
     return starts, lens
 
 
-def _together(docs: pa.Table, words: pa.Table) -> pa.Table:
+def _together(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of a block's documents: each document's word numbers replaced by their ids, in position."""
-    docs, ids = docs.combine_chunks(), words.column("ids").combine_chunks()
-    starts, sizes = _by_code(words.column("code").to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.int64))
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    found = [gathered(flat, starts, sizes, np.frombuffer(raw.as_buffer(), "<i4")) for raw in docs.column("codes")]
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": _lists(found)})
+    parts = [_unpacked(raw) for raw in words.column("numbers").to_pylist()]
+    code, sizes, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
+    keys, found = [], []
+    for raw in blocks.column("numbers").to_pylist():
+        high, low, named, counts, numbers = _unpacked(raw)
+        starts, lens = _by_code(code, sizes.astype(np.int64), int(max(numbers.max(initial=0), code.max(initial=0))) + 1)
+        if len(numbers) and lens[numbers].min() < 0:
+            raise ValueError("a block's words are not all there")
+        ids = (high.astype(np.uint64) << np.uint64(32) | low).view(np.int64)
+        keys.append(pa.array(ids, mask=named == 0))
+        for own in np.split(numbers, np.cumsum(counts.astype(np.int64))[:-1]):
+            found.append(gathered(flat.astype(np.int32, copy=False), starts, lens, own))
+    return pa.table({"doc_id": pa.chunked_array(keys, pa.int64()).combine_chunks() if keys else pa.array([], pa.int64()), "ids": _lists(found)})
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -157,16 +215,19 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     Null and empty texts have no ids; null and repeated ids each keep their row; an empty table gives an empty one;
     strings of added tokens inside a text become their ids, as the library has it by default. Other columns are not
-    read. Every distinct word is encoded once in the whole job. What is shuffled is a block's distinct words, and a
-    number for each word of a text; a block is held by one task, and is a few megabytes or one longer document. A word
-    that all blocks share is one small row a block, so the join has no key that grows with the rows.
+    read. Every distinct word is encoded once in the whole job. What is shuffled is a block's distinct words, their ids,
+    and a number for each word of a text, all packed; a block is held by one task, and is at most a batch of rows,
+    32 million characters or one longer document. The words are dealt into as many shares as the texts' size asks for, so
+    that a share's table stays small; a word that all blocks hold is one entry a block, so no share grows with one word.
     """
-    split = common.materialize(common.arrow_map(common.id_text(docs, id_col, text_col), "ledgerloom.llm.word_table:_split", _SPLIT, path=tokenizer, block=block), "words")
-    used = split.filter("word IS NOT NULL").select("block", "code", "word")
-    table = common.arrow_map(used.select("word").distinct(), "ledgerloom.llm.word_table:_encode", "word string, ids array<int>", path=tokenizer)
-    known = used.join(table, "word").select(F.col("block").alias("at"), "code", "ids")
-    rows = split.filter("codes IS NOT NULL").select("block", "place", "doc_id", "codes")
-    return common.arrow_cogroups(rows.groupBy("block"), known.groupBy("at"), "ledgerloom.llm.word_table:_together", "doc_id long, ids array<int>")
+    texts = common.id_text(docs, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    shares = max(4 * common.tasks(docs), -(-size // _SHARE))
+    split = common.materialize(common.arrow_map(texts, "ledgerloom.llm.word_table:_split", _SPLIT, path=tokenizer, block=block, shares=shares), "words")
+    words = split.filter("share IS NOT NULL").repartition(shares // 4, "share").sortWithinPartitions("share", "block")
+    known = common.arrow_map(words, "ledgerloom.llm.word_table:_encode", "at long, numbers binary", path=tokenizer)
+    blocks = split.filter("share IS NULL").select("block", "numbers")
+    return common.arrow_cogroups(blocks.groupBy("block"), known.groupBy("at"), "ledgerloom.llm.word_table:_together", "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
