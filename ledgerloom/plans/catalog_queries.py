@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import labels as L
 from ledgerloom.functions import text as T
 from ledgerloom.functions import values as V
+from ledgerloom.operators import matching
 from ledgerloom.operators import records as ops
 from ledgerloom.sources import archives
 from ledgerloom.sources.tables import load
@@ -54,8 +55,9 @@ def documents_with_latest(spark, d):
 
 def alias_matches(spark, d):
     aliases = spark.createDataFrame([("lic", "license"), ("apache", "Apache"), ("tok", "token =")], "alias string, term string")
+    keyed = aliases.select("alias", F.lower("term").alias("name"))
     docs = load(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(aliases, F.contains(F.col("t"), F.lower("term"))).select("doc_id", "alias")
+    return matching.contained(docs, keyed, "t", "name").join(keyed, "name").select("doc_id", "alias")
 
 
 def merged_candidates(spark, d):
