@@ -78,6 +78,21 @@ def readable_amount(value: Column) -> Column:
     return F.when(a >= 1e9, F.concat(F.format_number(value / 1e9, 1), F.lit(" billion"))).when(a >= 1e6, F.concat(F.format_number(value / 1e6, 1), F.lit(" million"))).otherwise(F.format_number(value, 0))
 
 
+NUMBERS = r"\([0-9,]+(?:\.[0-9]+)?\)|[0-9,]+(?:\.[0-9]+)?"
+
+
+def annotated_numbers(text: Column, unit: Column, units: Mapping[str, float] = UNITS) -> Column:
+    """The text with what each number means under a unit after it: ``(1,234)`` becomes ``(1,234)[=-1.2 million]``.
+
+    Nothing is taken away. Without a unit, null or empty, the text stays as it is; lone commas are no numbers.
+    """
+    read = lambda raw: F.coalesce(F.concat(raw, F.lit("[="), readable_amount(with_unit(parsed_number(raw), unit, units)), F.lit("]")), raw)
+    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), read)
+    between = F.split(text, NUMBERS)
+    both = F.zip_with(between, found, lambda b, n: F.concat(F.coalesce(b, F.lit("")), F.coalesce(n, F.lit(""))))
+    return F.when(F.coalesce(unit, F.lit("")) == "", text).otherwise(F.array_join(both, ""))
+
+
 def document_uid(name: Column) -> Column:
     return F.substring(F.sha2(name.cast("binary"), 256), 1, 16)
 

@@ -68,3 +68,108 @@ def title(html: Column) -> Column:
 
 def count_tags(html: Column, tag: str) -> Column:
     return F.regexp_count(html, F.lit(f"<{tag}[ >]"))
+
+
+class _TableReader(HTMLParser):
+    """Tables of a page as rows of (text, columns, rows) cells; a table inside a cell is a table of its own and leaves the cell empty there."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables, self.open = [], []  # of each open table: rows, held text or None, spans
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.open.append({"rows": [], "held": None, "span": (1, 1)})
+        elif self.open and tag == "tr":
+            self._close_cell()
+            self.open[-1]["rows"].append([])
+        elif self.open and tag in ("td", "th"):
+            self._close_cell()
+            found = dict(attrs)
+            size = lambda name: max(1, min(int(v), 1000)) if (v := found.get(name) or "").isdigit() else 1
+            self.open[-1].update(held=[], span=(size("colspan"), size("rowspan")))
+
+    def handle_endtag(self, tag):
+        if self.open and tag in ("td", "th", "tr"):
+            self._close_cell()
+        elif self.open and tag == "table":
+            self._close_table()
+
+    def handle_data(self, data):
+        if self.open and self.open[-1]["held"] is not None:
+            self.open[-1]["held"].append(data)
+
+    def _close_cell(self):
+        now = self.open[-1]
+        if now["held"] is not None:
+            if not now["rows"]:
+                now["rows"].append([])
+            now["rows"][-1].append((re.sub(r"\s+", " ", "".join(now["held"])).strip(), *now["span"]))
+            now["held"] = None
+
+    def _close_table(self):
+        self._close_cell()
+        self.tables.append(self.open.pop()["rows"])
+
+    def finish(self) -> list:
+        while self.open:
+            self._close_table()
+        return self.tables
+
+
+def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells laid out: a cell's text stands in every column and row it spans; what no cell reaches is empty."""
+    out, held = [], {}  # column -> (text, rows still to fill)
+    for cells in rows:
+        line, at = [], 0
+        waiting = list(cells)
+        while waiting or any(c >= at for c in held):
+            if at in held:
+                text, left = held.pop(at)
+                line.append(text)
+                if left > 1:
+                    held[at] = (text, left - 1)
+                at += 1
+            elif waiting:
+                text, wide, high = waiting.pop(0)
+                for _ in range(wide):
+                    if at in held:  # cells from above stay where they are
+                        break
+                    line.append(text)
+                    if high > 1:
+                        held[at] = (text, high - 1)
+                    at += 1
+            else:
+                line.append("")
+                at += 1
+        out.append(line)
+    return out
+
+
+def markdown(rows: list[list[str]]) -> str:
+    """A grid as Markdown, its first row the header; rows without text are left out, short ones filled up."""
+    wide = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join([c.replace("|", r"\|") for c in r] + [""] * (wide - len(r))) + " |" for r in rows if any(r)]
+    return "\n".join([*lines[:1], *(["| " + " | ".join(["---"] * wide) + " |"] if lines else []), *lines[1:]])
+
+
+def page_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, idx, n_rows, n_columns, markdown: the tables of each page that hold any text, in order of their ends, spans laid out.
+
+    Broken mark-up is read as far as it goes; null and empty pages have no tables; a page is read for itself, no shuffle.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, html in zip(b["id"], b["html"], strict=True):
+                reader = _TableReader()
+                reader.feed(html or "")
+                reader.close()
+                grids = [g for g in map(grid, reader.finish()) if any(map(any, g))]
+                out += [(key, k, len(g), max(map(len, g)), markdown(g)) for k, g in enumerate(grids)]
+            yield pd.DataFrame(out, columns=["id", "idx", "n_rows", "n_columns", "markdown"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    return rows.mapInPandas(run, f"id {kind}, idx int, n_rows int, n_columns int, markdown string").withColumnRenamed("id", id_col)
