@@ -150,9 +150,14 @@ def claim(name: str, clear) -> None:
     for other in others:
         _stores.pop(other)()
     if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:

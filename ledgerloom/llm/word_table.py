@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import common, encoding, pretoken
 from ledgerloom.llm.token_count import byte_symbols
 
-_BLOCK = 32 << 20  # characters of a block's texts
+_BLOCK = 16 << 20  # characters of a block's texts
 _SHARE = 64 << 20  # bytes of text to a share of the words
 _SPLIT = "block long, share long, numbers binary, words binary"
 _IDS = "block long, place int, doc_id long, ids array<int>, code int, id int"
@@ -103,7 +103,8 @@ def _apart(sizes: np.ndarray, data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _split(batches, path: str, block: int, shares: int):
+def _split(batches, path: str, block: int, shares: int, want: str):
+    """Of each block the row of its word numbers, or the rows of its distinct words: one a share."""
     from pyspark import TaskContext
 
     common.claim("word_table", _tool.cache_clear)
@@ -117,24 +118,29 @@ def _split(batches, path: str, block: int, shares: int):
                     numbers.append(np.fromiter(map(tables[lead].__getitem__, words), np.int32, len(words)) * 2 + lead)
                     n += len(words)
                 counts.append(n)
-            keys = np.array([k or 0 for k in ids], np.int64).view(np.uint64)
-            named = np.array([k is not None for k in ids])
-            yield _batch(_SPLIT, block=[task | number], numbers=[_packed(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), named, np.array(counts), np.concatenate(numbers))])
-            dealt: dict[int, list] = {}
+            at, number = task | number, number + 1
+            if want == "numbers":
+                keys = np.array([k or 0 for k in ids], np.int64).view(np.uint64)
+                named = np.array([k is not None for k in ids])
+                yield _batch(_SPLIT, block=[at], numbers=[_packed(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), named, np.array(counts), np.concatenate(numbers))])
+                continue
+            codes, raws = [], []
             for lead, table in enumerate(tables):
                 front = b" " if lead else b""
-                for word, code in table.items():
-                    raw = front + word.encode("utf-8", "surrogatepass")
-                    dealt.setdefault(zlib.crc32(raw) % shares, []).append((raw, 2 * code + lead))
-            rows = []
-            for share, own in dealt.items():
-                words, codes = zip(*sorted(own), strict=True)
+                raws += [front + w.encode("utf-8", "surrogatepass") for w in table]
+                codes.append(np.arange(len(table)) * 2 + lead)
+                table.clear()
+            codes, share, rows = np.concatenate(codes), np.fromiter((zlib.crc32(r) % shares for r in raws), np.int64, len(raws)), []
+            order = np.argsort(share, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(share[order])) + 1) if len(order) else ():
+                words, which = zip(*sorted((raws[k], k) for k in own.tolist()), strict=True)
                 sizes, data = _joined(list(words))
-                rows.append((share, _packed(np.array(codes), sizes), data))
+                rows.append((int(share[own[0]]), _packed(codes[list(which)], sizes), data))
+            del raws
             for k in range(0, len(rows), 1000):
                 some = rows[k : k + 1000]
-                yield _batch(_SPLIT, block=[task | number] * len(some), share=[r[0] for r in some], numbers=[r[1] for r in some], words=[r[2] for r in some])
-            number += 1
+                yield _batch(_SPLIT, block=[at] * len(some), share=[r[0] for r in some], numbers=[r[1] for r in some], words=[r[2] for r in some])
+    common.give_back()  # the tables of words were large, and the worker lives on
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -189,6 +195,7 @@ def _by_code(code: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray
 
 def _together(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of a block's documents: each document's word numbers replaced by their ids, in position."""
+    common.give_back()
     parts = [_unpacked(raw) for raw in words.column("numbers").to_pylist()]
     code, sizes, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
     keys, found = [], []
@@ -219,14 +226,16 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     and a number for each word of a text, all packed; a block is held by one task, and is at most a batch of rows,
     32 million characters or one longer document. The words are dealt into as many shares as the texts' size asks for, so
     that a share's table stays small; a word that all blocks hold is one entry a block, so no share grows with one word.
+    The texts are split twice in one plan, for words and for numbers, which costs less than writing both down; both
+    splits read the same partitions, and a block whose words and numbers did not agree would stop the job.
     """
     texts = common.id_text(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
-    shares = max(4 * common.tasks(docs), -(-size // _SHARE))
-    split = common.materialize(common.arrow_map(texts, "ledgerloom.llm.word_table:_split", _SPLIT, path=tokenizer, block=block, shares=shares), "words")
-    words = split.filter("share IS NOT NULL").repartition(shares // 4, "share").sortWithinPartitions("share", "block")
+    shares = max(2 * common.tasks(docs), -(-size // _SHARE))
+    split = lambda want: common.arrow_map(texts, "ledgerloom.llm.word_table:_split", _SPLIT, path=tokenizer, block=block, shares=shares, want=want)
+    words = split("words").repartition(shares // 2, "share").sortWithinPartitions("share", "block")
     known = common.arrow_map(words, "ledgerloom.llm.word_table:_encode", "at long, numbers binary", path=tokenizer)
-    blocks = split.filter("share IS NULL").select("block", "numbers")
+    blocks = split("numbers").select("block", "numbers")
     return common.arrow_cogroups(blocks.groupBy("block"), known.groupBy("at"), "ledgerloom.llm.word_table:_together", "doc_id long, ids array<int>")
 
 
