@@ -93,7 +93,7 @@ def op12_kd_clusters(spark, sf_dir):
 
 
 def op13_word_table(spark, sf_dir):
-    return word_table.digest(word_table.decode(word_table.encode(_table(spark, sf_dir, "documents"), _byte_bpe()), _byte_bpe()))
+    return word_table.digest(word_table.round_trip(_table(spark, sf_dir, "documents"), _byte_bpe()))
 
 
 def queries() -> dict:

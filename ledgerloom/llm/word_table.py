@@ -175,7 +175,7 @@ def _encode(batches, path: str):
             yield _batch("at long, numbers binary", at=[block], numbers=[numbers])
 
 
-def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, most: int = 1 << 17) -> np.ndarray:
     """Runs of ``values``, one a code, one after another; positions are made for ``most`` codes at a time."""
     out = []
     for k in range(0, len(codes), most):
@@ -229,6 +229,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     The texts are split twice in one plan, for words and for numbers, which costs less than writing both down; both
     splits read the same partitions, and a block whose words and numbers did not agree would stop the job.
     """
+    return common.arrow_cogroups(*_sides(docs, tokenizer, id_col, text_col, block), "ledgerloom.llm.word_table:_together", "doc_id long, ids array<int>")
+
+
+def _sides(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block: int):
+    """Blocks of word numbers, and the ids of their words, both grouped by block."""
     texts = common.id_text(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     shares = max(2 * common.tasks(docs), -(-size // _SHARE))
@@ -236,7 +241,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     words = split("words").repartition(shares // 2, "share").sortWithinPartitions("share", "block")
     known = common.arrow_map(words, "ledgerloom.llm.word_table:_encode", "at long, numbers binary", path=tokenizer)
     blocks = split("numbers").select("block", "numbers")
-    return common.arrow_cogroups(blocks.groupBy("block"), known.groupBy("at"), "ledgerloom.llm.word_table:_together", "doc_id long, ids array<int>")
+    return blocks.groupBy("block"), known.groupBy("at")
 
 
 def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -248,8 +253,14 @@ def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
     return spark.createDataFrame([(i, raw(t)) for i, t in tokens.items()], "id int, piece binary")
 
 
-def _number(batches, block: int):
+def _numbered(at: int, doc_ids: pa.Array, ids: pa.ListArray):
     """Documents of ids as rows of a block, and the block's distinct ids."""
+    yield _batch(_IDS, block=[at] * len(ids), place=range(len(ids)), doc_id=doc_ids, ids=pc.if_else(ids.is_valid(), ids, pa.scalar([], ids.type)))
+    distinct = np.unique(ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False))  # a null id is in no vocabulary
+    yield _batch(_IDS, block=[at] * len(distinct), code=range(len(distinct)), id=distinct.astype(np.int32))
+
+
+def _number(batches, block: int):
     from pyspark import TaskContext
 
     task, number = TaskContext.get().partitionId() << 32, 0
@@ -257,20 +268,22 @@ def _number(batches, block: int):
         sizes = pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // block, prepend=0)) + 1
         for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-            if a == z:
-                continue
-            some, at = b.slice(a, z - a), task | number
-            ids = some.column("ids")
-            yield _batch(_IDS, block=[at] * len(some), place=range(len(some)), doc_id=some.column("doc_id"), ids=pc.if_else(ids.is_valid(), ids, pa.scalar([], ids.type)))
-            distinct = np.unique(ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False))  # a null id is in no vocabulary
-            yield _batch(_IDS, block=[at] * len(distinct), code=range(len(distinct)), id=distinct.astype(np.int32))
-            number += 1
+            if a < z:
+                some = b.slice(a, z - a)
+                yield from _numbered(task | number, some.column("doc_id"), some.column("ids"))
+                number += 1
+
+
+def _together_numbered(blocks: pa.Table, words: pa.Table) -> pa.Table:
+    """As _together(), in the rows that decoding takes: a block of texts is a block of ids."""
+    out = _together(blocks, words)
+    return pa.Table.from_batches(list(_numbered(blocks.column("block")[0].as_py(), out.column("doc_id").combine_chunks(), out.column("ids").combine_chunks())))
 
 
 def _read_back(batches):
     """Rows come sorted by block, a block's pieces first; pieces of one block are held at a time."""
-    block, known, raws = None, [], []
-    for b in batches:
+    block, known, raws, table = None, [], [], None
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         texts, rows = [], []
         for k, (at, doc) in enumerate(zip(b.column("block").to_pylist(), b.column("ids"), strict=True)):
             if at != block:
@@ -299,12 +312,20 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
     columns are not read. The piece table, as large as the vocabulary file, is broadcast to the join; nothing is shuffled.
     """
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    numbered = common.arrow_map(rows, "ledgerloom.llm.word_table:_number", _IDS, block=block)
-    joined = numbered.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left")
+    return _pieced(common.arrow_map(rows, "ledgerloom.llm.word_table:_number", _IDS, block=block), tokenizer)
+
+
+def _pieced(numbered: DataFrame, tokenizer: str) -> DataFrame:
+    joined = numbered.join(F.broadcast(pieces(numbered.sparkSession, tokenizer)), "id", "left")
     laid = joined.select("block", "place", "doc_id", "ids", "code", "id", "piece").sortWithinPartitions("block", F.col("place").asc_nulls_first(), "code")
     return common.arrow_map(laid, "ledgerloom.llm.word_table:_read_back", "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block: int = _BLOCK) -> DataFrame:
+    """decode(encode(docs)), with a block's ids handed on as a block: one Python worker less in a task."""
+    return _pieced(common.arrow_cogroups(*_sides(docs, tokenizer, id_col, text_col, block), "ledgerloom.llm.word_table:_together_numbered", _IDS), tokenizer)
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (UTF-8)."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")

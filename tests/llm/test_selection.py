@@ -160,6 +160,7 @@ def test_word_table_equals_library(spark, docs, odd_rows, byte_bpe, library, blo
     texts = [(i, t or "") for i, t in (r[:2] for r in rows)]
     want = [(i, e.ids, library.decode(e.ids, skip_special_tokens=False)) for (i, _), e in zip(texts, library.encode_batch([t for _, t in texts], add_special_tokens=False), strict=True)]
     assert got == _null_first(want)
+    assert rows_of(word_table.round_trip(docs(rows), byte_bpe, block=block), "doc_id", "ids", "text") == got
     assert rows_of(word_table.digest(back), "doc_id", "n_tokens") == _null_first([(i, len(ids)) for i, ids, _ in want])
 
 
