@@ -141,15 +141,19 @@ def budgeted_chunks(docs: DataFrame, name_col: str, least: int = LEAST, letters:
 
 
 def long_splits(docs: DataFrame, size: int = 12_000, joiner: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, part, piece: paragraphs packed up to ``size`` characters, separators counted; a longer paragraph stands alone. A native fold."""
+    """id, part, piece: paragraphs packed up to ``size`` characters, separators counted; a longer paragraph stands alone.
+
+    A native fold over the paragraphs that keeps where pieces begin; the pieces are put together once, at the end.
+    """
     paragraphs = F.filter(F.split(text_col, r"\n[ \t]*\n"), lambda p: F.trim(p) != "")
-    none = F.array().cast("array<string>")
-    width = len(joiner)
+    cut = docs.select(F.col(id_col), paragraphs.alias("_p"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"), F.lit(1).alias("k"))
 
-    def packed(acc, p):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + width + F.length(p) <= size)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(joiner, last, p)))).otherwise(F.array_append(acc, p))
+    def step(a, p):
+        together = a["used"] + len(joiner) + F.length(p)
+        fits = (F.size(a["starts"]) > 0) & (together <= size)
+        return F.struct(F.when(fits, together).otherwise(F.length(p)).alias("used"), F.when(fits, a["starts"]).otherwise(F.array_append(a["starts"], a["k"])).alias("starts"), (a["k"] + 1).alias("k"))
 
-    folded = F.aggregate(paragraphs, none, lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(packed(acc, p)))
-    return docs.select(id_col, F.posexplode(folded).alias("part", "piece"))
+    begun = cut.select("*", F.aggregate("_p", start, step)["starts"].alias("_s"))
+    piece = lambda s, k: F.array_join(F.slice("_p", s, F.coalesce(F.get("_s", k + 1), F.size("_p") + 1) - s), joiner)
+    return begun.select(id_col, F.posexplode_outer(F.transform("_s", piece)).alias("part", "piece")).filter("part IS NOT NULL")

@@ -68,21 +68,27 @@ def cell_facts(docs: DataFrame, rules: CellRules = LATIN, ahead: int = 9, back:
     metrics of a text share are none. Every row is a text of its own, whatever its id: null and repeated ids give their
     own facts. Null texts give none. All happens within a row, so nothing is shuffled.
     """
+    found = cell_fact_arrays(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), rules, "_id", ahead=ahead, back=back, text_col="_text")
+    # explode() would have its emptiness tested by a filter below everything, which would work all this out again
+    return found.select("_id", F.explode_outer("facts").alias("f")).filter("f IS NOT NULL").select(F.col("_id").alias(id_col), "f.metric", "f.value")
+
+
+def cell_fact_arrays(docs: DataFrame, rules: CellRules, *keep: str, ahead: int = 9, back: int = 300, text_col: str = "text") -> DataFrame:
+    """keep, facts: cell_facts() of each row as an array of metric and value, empty where there are none."""
     struct = F.struct
-    cells = F.transform(F.split(text_col, "\n"), lambda cell, at: struct(at.alias("at"), F.btrim(cell, F.lit(" \t\r\f\v")).alias("cell")))
-    filled = docs.select(F.col(id_col).alias("id"), F.filter(cells, lambda c: c["cell"] != "").alias("filled"))
+    cells = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda cell, at: struct(at.alias("at"), F.btrim(cell, F.lit(" \t\r\f\v")).alias("cell")))
+    filled = docs.select(*keep, F.filter(cells, lambda c: c["cell"] != "").alias("_filled"))
     read = lambda c: struct(c["at"].alias("at"), label_metric(c["cell"], rules.labels).alias("metric"), cell_number(c["cell"]).alias("number"), unit_factor(c["cell"], rules).alias("factor"))
-    known = filled.select("id", F.transform("filled", read).alias("known"))
-    units = F.filter("known", lambda c: c["factor"].isNotNull())
-    pairs = F.zip_with("known", F.slice("known", 2, F.size("known")), lambda c, n: struct(c["at"].alias("at"), c["metric"].alias("metric"), F.when(n["at"] - c["at"] <= ahead, n["number"]).alias("number")))
-    asked = known.select("id", units.alias("units"), F.filter(pairs, lambda p: p["metric"].isNotNull() & p["number"].isNotNull()).alias("pairs")).filter(F.size("pairs") > 0)
-    declared = lambda p: F.try_element_at(F.filter("units", lambda u: (u["at"] < p["at"]) & (p["at"] - u["at"] <= back)), F.lit(-1))["factor"]
-    valued = asked.select("id", F.transform("pairs", lambda p: struct(p["metric"].alias("metric"), (p["number"] * F.coalesce(declared(p), F.lit(1.0))).alias("value"))).alias("facts"))
-    first = lambda metric, low, high: F.try_element_at(F.filter("facts", lambda f: (f["metric"] == metric) & F.abs(f["value"]).between(float(low), float(high))), F.lit(1))
-    one_each = valued.select("id", F.array_compact(F.array(*(first(m, *r) for m, r in rules.ranges.items()))).alias("facts"))
+    known = filled.select(*keep, F.transform("_filled", read).alias("_known"))
+    units = F.filter("_known", lambda c: c["factor"].isNotNull())
+    pairs = F.zip_with("_known", F.slice("_known", 2, F.size("_known")), lambda c, n: struct(c["at"].alias("at"), c["metric"].alias("metric"), F.when(n["at"] - c["at"] <= ahead, n["number"]).alias("number")))
+    asked = known.select(*keep, units.alias("_units"), F.filter(pairs, lambda p: p["metric"].isNotNull() & p["number"].isNotNull()).alias("_pairs"))
+    declared = lambda p: F.try_element_at(F.filter("_units", lambda u: (u["at"] < p["at"]) & (p["at"] - u["at"] <= back)), F.lit(-1))["factor"]
+    valued = asked.select(*keep, F.transform("_pairs", lambda p: struct(p["metric"].alias("metric"), (p["number"] * F.coalesce(declared(p), F.lit(1.0))).alias("value"))).alias("_facts"))
+    first = lambda metric, low, high: F.try_element_at(F.filter("_facts", lambda f: (f["metric"] == metric) & F.abs(f["value"]).between(float(low), float(high))), F.lit(1))
+    one_each = valued.select(*keep, F.array_compact(F.array(*(first(m, *r) for m, r in rules.ranges.items()))).alias("_facts"))
     amount = lambda f: F.round(F.abs(f["value"]))
-    alone = F.filter("facts", lambda f: F.size(F.filter("facts", lambda g: amount(g) == amount(f))) == 1)
-    return one_each.select("id", F.explode(alone).alias("f")).select(F.col("id").alias(id_col), "f.metric", "f.value")
+    return one_each.select(*keep, F.filter("_facts", lambda f: F.size(F.filter("_facts", lambda g: amount(g) == amount(f))) == 1).alias("facts"))
 
 
 def suspicious(metric: Column, value: Column, won: Column, text: Column) -> Column:

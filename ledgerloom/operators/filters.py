@@ -49,8 +49,9 @@ def first_of(payload: Column, paths: Sequence[str]) -> Column:
 
 
 def enriched(rows: DataFrame, cache: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows whose blank columns are filled from a cache of one row a key."""
-    own = cache.dropDuplicates([key]).select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+    """Rows whose blank columns are filled from a cache; of a key's rows there the least by all of its columns, in their order."""
+    least = cache.groupBy(key).agg(F.min(F.struct(*columns)).alias("_least"))
+    own = least.select(key, *(F.col(f"_least.{c}").alias(f"_{c}") for c in columns))
     joined = rows.join(own, key, "left")
     return joined.select(*(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns))
 

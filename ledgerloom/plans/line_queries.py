@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import cells, lines
+from ledgerloom.operators import cells, lines, window_facts
 from ledgerloom.sources.tables import load
 
 
@@ -51,13 +51,33 @@ def line_chunks(spark, d):
     return lines.line_chunks(filings(spark, d)).select("doc_id", "idx", "section", "kind", F.md5(F.col("chunk").cast("binary")).alias("h"))
 
 
-QUERIES = {f.__name__: f for f in (filing_cell_facts, tagged_lines, line_chunks)}
+def every_fact(spark, d):
+    return window_facts.every_fact(filings(spark, d))
+
+
+def _sentences(spark, d):
+    """An order's amounts as sentences, behind its clerk's words."""
+    o = load(spark, d, "orders")
+    price = F.floor("o_totalprice").cast("string")
+    said = F.concat(F.lit("In short, revenue of "), price, F.lit(" thousand and net loss was -"), F.floor(F.col("o_totalprice") / 9).cast("string"), F.lit(" million; equity: "), F.col("o_custkey").cast("string"), F.lit(", sales 1 billion."))
+    return o.select("o_orderkey", said.alias("text"))
+
+
+def inline_facts(spark, d):
+    return window_facts.inline_facts(_sentences(spark, d), id_col="o_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (every_fact, inline_facts, filing_cell_facts, tagged_lines, line_chunks)}
 
 _LABELS = ", ".join(f"('{k}', '{v}')" for k, v in cells.LATIN_LABELS.items())
 _UNITS = ", ".join(f"('{k}', {v!r})" for k, v in cells.LATIN_UNITS.items())
 _RANGES = ", ".join(f"('{k}', {a!r}, {b!r})" for k, (a, b) in cells.RANGES.items())
 
 ORACLES = {
+    "inline_facts": """SELECT o_orderkey, 'revenue' AS metric, (floor(o_totalprice)::BIGINT * 1e3)::DOUBLE AS value FROM orders WHERE floor(o_totalprice)::BIGINT * 1e3 >= 10000
+        UNION ALL SELECT o_orderkey, 'revenue', 1e9 FROM orders WHERE floor(o_totalprice)::BIGINT * 1e3 < 10000
+        UNION ALL SELECT o_orderkey, 'net_income', -(floor(o_totalprice / 9)::BIGINT * 1e6)::DOUBLE FROM orders WHERE floor(o_totalprice / 9) > 0
+        UNION ALL SELECT o_orderkey, 'equity', o_custkey::DOUBLE FROM orders WHERE o_custkey >= 10000""",
     "filing_cell_facts": rf"""
 WITH {FILINGS_SQL}, labels(cell, metric) AS (VALUES {_LABELS}), units(word, factor) AS (VALUES {_UNITS}), ranges(metric, low, high) AS (VALUES {_RANGES})
 , declared AS (

@@ -214,8 +214,8 @@ def manifest(files: DataFrame, tiers: dict[str, int]) -> DataFrame:
 
 
 def refilled(documents: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:
-    """Documents whose missing or blank text is taken from the file of the same receipt number, whole or its first ``most`` characters."""
-    own = texts.dropDuplicates(["receipt"]).select("receipt", F.col("text").alias("_new"))
+    """Documents whose missing or blank text is taken from the file of the same receipt number, whole or its first ``most`` characters; of several files the longest text, then the least."""
+    own = texts.groupBy("receipt").agg(F.min_by("text", F.struct(-F.length("text"), F.col("text"))).alias("_new"))
     new = F.col("_new") if most is None else F.substring("_new", 1, most)
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
     return documents.join(own, "receipt", "left").withColumn("text", F.when(blank, F.coalesce(new, F.col("text"))).otherwise(F.col("text"))).drop("_new")
