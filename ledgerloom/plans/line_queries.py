@@ -56,7 +56,7 @@ def every_fact(spark, d):
 
 
 def _sentences(spark, d):
-    """An order's amounts as sentences, behind its clerk's words."""
+    """An order's amounts as sentences in one line, in which the first unit word counts for an amount without its own."""
     o = load(spark, d, "orders")
     price = F.floor("o_totalprice").cast("string")
     said = F.concat(F.lit("In short, revenue of "), price, F.lit(" thousand and net loss was -"), F.floor(F.col("o_totalprice") / 9).cast("string"), F.lit(" million; equity: "), F.col("o_custkey").cast("string"), F.lit(", sales 1 billion."))
@@ -77,7 +77,7 @@ ORACLES = {
     "inline_facts": """SELECT o_orderkey, 'revenue' AS metric, (floor(o_totalprice)::BIGINT * 1e3)::DOUBLE AS value FROM orders WHERE floor(o_totalprice)::BIGINT * 1e3 >= 10000
         UNION ALL SELECT o_orderkey, 'revenue', 1e9 FROM orders WHERE floor(o_totalprice)::BIGINT * 1e3 < 10000
         UNION ALL SELECT o_orderkey, 'net_income', -(floor(o_totalprice / 9)::BIGINT * 1e6)::DOUBLE FROM orders WHERE floor(o_totalprice / 9) > 0
-        UNION ALL SELECT o_orderkey, 'equity', o_custkey::DOUBLE FROM orders WHERE o_custkey >= 10000""",
+        UNION ALL SELECT o_orderkey, 'equity', o_custkey * 1e3 FROM orders WHERE o_custkey * 1e3 >= 10000""",
     "filing_cell_facts": rf"""
 WITH {FILINGS_SQL}, labels(cell, metric) AS (VALUES {_LABELS}), units(word, factor) AS (VALUES {_UNITS}), ranges(metric, low, high) AS (VALUES {_RANGES})
 , declared AS (
