@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import common, encoding, pretoken
 from ledgerloom.llm.token_count import byte_symbols
 
-_BLOCK = 16 << 20  # characters of a block's texts
+_BLOCK = 12 << 20  # characters of a block's texts
 _SHARE = 64 << 20  # bytes of text to a share of the words
 _SPLIT = "block long, share long, numbers binary, words binary"
 _IDS = "block long, place int, doc_id long, ids array<int>, code int, id int"
@@ -103,12 +103,12 @@ def _apart(sizes: np.ndarray, data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _split(batches, path: str, block: int, shares: int, want: str):
+def _split(batches, special: list, block: int, shares: int, want: str):
     """Of each block the row of its word numbers, or the rows of its distinct words: one a share."""
     from pyspark import TaskContext
 
-    common.claim("word_table", _tool.cache_clear)
-    task, number, special = TaskContext.get().partitionId() << 32, 0, _special(path)
+    common.claim("word_split", common.give_back)
+    task, number = TaskContext.get().partitionId() << 32, 0
     for b in batches:
         for ids, texts in common.text_slices(b, block):
             tables, numbers, counts = (_Codes(), _Codes()), [np.zeros(0, np.int32)], []
@@ -195,7 +195,7 @@ def _by_code(code: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray
 
 def _together(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of a block's documents: each document's word numbers replaced by their ids, in position."""
-    common.give_back()
+    common.claim("word_places", common.give_back)  # lets go the tokenizer, which is not needed here
     parts = [_unpacked(raw) for raw in words.column("numbers").to_pylist()]
     code, sizes, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
     keys, found = [], []
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     strings of added tokens inside a text become their ids, as the library has it by default. Other columns are not
     read. Every distinct word is encoded once in the whole job. What is shuffled is a block's distinct words, their ids,
     and a number for each word of a text, all packed; a block is held by one task, and is at most a batch of rows,
-    32 million characters or one longer document. The words are dealt into as many shares as the texts' size asks for, so
+    12 million characters or one longer document. The words are dealt into as many shares as the texts' size asks for, so
     that a share's table stays small; a word that all blocks hold is one entry a block, so no share grows with one word.
     The texts are split twice in one plan, for words and for numbers, which costs less than writing both down; both
     splits read the same partitions, and a block whose words and numbers did not agree would stop the job.
@@ -237,7 +237,7 @@ def _sides(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block: i
     texts = common.id_text(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     shares = max(2 * common.tasks(docs), -(-size // _SHARE))
-    split = lambda want: common.arrow_map(texts, "ledgerloom.llm.word_table:_split", _SPLIT, path=tokenizer, block=block, shares=shares, want=want)
+    split = lambda want: common.arrow_map(texts, "ledgerloom.llm.word_table:_split", _SPLIT, special=_special(tokenizer), block=block, shares=shares, want=want)
     words = split("words").repartition(shares // 2, "share").sortWithinPartitions("share", "block")
     known = common.arrow_map(words, "ledgerloom.llm.word_table:_encode", "at long, numbers binary", path=tokenizer)
     blocks = split("numbers").select("block", "numbers")
@@ -282,6 +282,7 @@ def _together_numbered(blocks: pa.Table, words: pa.Table) -> pa.Table:
 
 def _read_back(batches):
     """Rows come sorted by block, a block's pieces first; pieces of one block are held at a time."""
+    common.claim("word_places", common.give_back)
     block, known, raws, table = None, [], [], None
     for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         texts, rows = [], []
