@@ -54,7 +54,7 @@ def token_counts_simple(spark, d):
 
 def query_terms(spark, d):
     turns = load(spark, d, "conversations").filter("role = 'user'")
-    return turns.select("conv_id", "turn", F.element_at(T.query_terms(F.col("text")), 1).alias("longest"))
+    return turns.select("conv_id", "turn", F.try_element_at(T.query_terms(F.col("text")), F.lit(1)).alias("longest"))
 
 
 def sentence_cut(spark, d):
