@@ -22,3 +22,10 @@ def test_query_terms_of_questions_without_terms(spark, tmp_path):
     text = ["which", "", "?!", "the and of", "a b c", None, "die längste Frage"]
     turns = {"conv_id": list(range(7)), "turn": [0] * 7, "role": ["user"] * 7, "text": text}
     assert len(agrees(spark, tmp_path, "query_terms", conversations=turns)) == 7
+
+
+def test_first_of_a_prefix_whatever_follows(spark, tmp_path):
+    same = "ä word " * 40
+    text = [same + "one", same + "two", same.upper(), " " + same, "short", "Short", "short ", None, None, "x" * 199 + "a", "x" * 199 + "b"]
+    docs = {"doc_id": list(range(11)), "source": ["s"] * 11, "text": text}
+    assert len(agrees(spark, tmp_path, "keep_first_by_prefix", documents=docs)) == 9
