@@ -72,10 +72,42 @@ def digit_ratio(text: Column) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(text, F.lit("[0-9]")), F.length(text)), F.lit(0.0))
 
 
+_LIMB = 10**9
+
+
+def whole_digits(value: Column) -> Column:
+    """All digits of a double that is a whole number of 2**53 or more, in groups of three; ``format_number`` fills up with zeros after 17.
+
+    The mantissa in limbs of nine digits, lowest first, is multiplied by powers of two of at most 29 until the exponent is used up.
+    """
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    e = F.greatest(F.floor(F.log2(value)) - 54, F.lit(0)).cast("int")
+    m = (value / F.pow(F.lit(2.0), e)).cast("long")
+    start = F.array(m % _LIMB, div(m, _LIMB))
+    none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("done"))
+
+    def times(limbs: Column, power: Column) -> Column:
+        product = lambda s, x: x * F.pow(F.lit(2.0), power).cast("long") + s["carry"]
+        step = lambda s, x: F.struct(div(product(s, x), _LIMB).alias("carry"), F.concat(s["done"], F.array(product(s, x) % _LIMB)).alias("done"))
+        return F.aggregate(limbs, none, step, lambda s: F.concat(s["done"], F.array(s["carry"])))
+
+    powers = F.transform(F.sequence(F.lit(0), F.lit(33)), lambda i: F.least(F.greatest(e - 29 * i, F.lit(0)), F.lit(29)))
+    limbs = F.aggregate(F.filter(powers, lambda p: p > 0), start, times)
+    digits = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.regexp_replace(F.regexp_replace(digits, "^0+", ""), r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+
+
+def _billions(value: Column) -> Column:
+    """A number to one place, in groups of three, whatever its size."""
+    a = F.abs(value)
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(a == float("inf"), F.concat(sign, F.lit("inf"))).when(a >= 2.0**53, F.concat(sign, whole_digits(a), F.lit(".0"))).otherwise(F.format_number(value, 1))
+
+
 def readable_amount(value: Column) -> Column:
     """1.5 billion, 20.0 million, or grouped digits; null stays null."""
     a = F.abs(value)
-    return F.when(a >= 1e9, F.concat(F.format_number(value / 1e9, 1), F.lit(" billion"))).when(a >= 1e6, F.concat(F.format_number(value / 1e6, 1), F.lit(" million"))).otherwise(F.format_number(value, 0))
+    return F.when(a >= 1e9, F.concat(_billions(value / 1e9), F.lit(" billion"))).when(a >= 1e6, F.concat(F.format_number(value / 1e6, 1), F.lit(" million"))).otherwise(F.format_number(value, 0))
 
 
 NUMBERS = r"\([0-9,]+(?:\.[0-9]+)?\)|[0-9,]+(?:\.[0-9]+)?"
@@ -84,9 +116,11 @@ NUMBERS = r"\([0-9,]+(?:\.[0-9]+)?\)|[0-9,]+(?:\.[0-9]+)?"
 def annotated_numbers(text: Column, unit: Column, units: Mapping[str, float] = UNITS) -> Column:
     """The text with what each number means under a unit after it: ``(1,234)`` becomes ``(1,234)[=-1.2 million]``.
 
-    Nothing is taken away. Without a unit, null or empty, the text stays as it is; lone commas are no numbers.
+    Nothing is taken away. Without a unit, null or empty, the text stays as it is; lone commas are no numbers, ``,.5`` is a half.
     """
-    read = lambda raw: F.coalesce(F.concat(raw, F.lit("[="), readable_amount(with_unit(parsed_number(raw), unit, units)), F.lit("]")), raw)
+    plain = lambda raw: F.regexp_replace(raw, "[,()]", "").try_cast("double")
+    number = lambda raw: F.when(raw.startswith("("), -plain(raw)).otherwise(plain(raw))
+    read = lambda raw: F.coalesce(F.concat(raw, F.lit("[="), readable_amount(with_unit(number(raw), unit, units)), F.lit("]")), raw)
     found = F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), read)
     between = F.split(text, NUMBERS)
     both = F.zip_with(between, found, lambda b, n: F.concat(F.coalesce(b, F.lit("")), F.coalesce(n, F.lit(""))))

@@ -29,3 +29,11 @@ def test_first_of_a_prefix_whatever_follows(spark, tmp_path):
     text = [same + "one", same + "two", same.upper(), " " + same, "short", "Short", "short ", None, None, "x" * 199 + "a", "x" * 199 + "b"]
     docs = {"doc_id": list(range(11)), "source": ["s"] * 11, "text": text}
     assert len(agrees(spark, tmp_path, "keep_first_by_prefix", documents=docs)) == 9
+
+
+def test_numbers_of_any_length_annotated(spark, tmp_path):
+    text = ["12345678901234567890123456789 1", "1,.5 ,.5 (,.5)", "(98765432109876543210987) 00.05", "9" * 400, "(" + "9" * 400 + ")", "(0) 0 ,", "8" * 60]
+    docs = {"doc_id": [3 * k for k in range(7)] + [3 * k + 1 for k in range(7)], "text": text * 2}
+    orders = {"o_orderkey": [3], "o_totalprice": [1234.5]}
+    items = {"l_orderkey": [3], "l_linenumber": [1], "l_quantity": [2.0], "l_extendedprice": [10.5], "l_returnflag": ["N"]}
+    assert len(agrees(spark, tmp_path, "annotated_numbers", documents=docs, orders=orders, lineitem=items)) == 14
