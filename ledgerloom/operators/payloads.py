@@ -48,25 +48,23 @@ def metric_value(df: DataFrame, payload: str, keys: Sequence[str] = AMOUNT_KEYS,
     """``df`` with amount and unit of its payload: a number as it stands, a phrase read as one, an object by its
     first of ``keys``, an array by its first item with an amount, an object or array inside these alike down to ``depth``.
 
-    Null where there is none. Row by row, by nested expressions.
+    Null where there is none. Row by row: what a value may hold is laid out a level at a time, in order, so the first scalar
+    with an amount is the one asked for, and the expression grows with ``depth`` as a chain, not as a tree.
     """
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    inner = lambda v: F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant") for k in keys))
+    held = lambda v: F.when(kind(v) == "OBJECT", F.array(inner(v))).when(kind(v) == "ARRAY", F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))).otherwise(F.array(v))
+    scalars = F.array("_v")
+    for _ in range(depth):
+        scalars = F.flatten(F.transform(scalars, held))
+
+    def read(v: Column) -> Column:
+        number = F.struct(F.try_variant_get(v, "$", "double").alias("value"), F.lit("number").alias("unit"))
+        return F.when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), number).when(kind(v) == "STRING", V.amount_phrase(F.try_variant_get(v, "$", "string")))
 
-    def read(v: Column, level: int) -> Column:
-        kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-        found = lambda value, unit: F.struct(value.cast("double").alias("amount"), unit.alias("unit"))
-        nothing = F.lit(None).cast("struct<amount:double,unit:string>")
-        number = found(F.try_variant_get(v, "$", "double"), F.lit("number"))
-        phrase = V.amount_phrase(F.try_variant_get(v, "$", "string"))
-        text = F.when(phrase["value"].isNotNull(), found(phrase["value"], phrase["unit"])).otherwise(nothing)
-        out = F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), number).when(kind == "STRING", text)
-        if level:
-            inner = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant") for k in keys))
-            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: read(x, level - 1))
-            out = out.when(kind == "OBJECT", read(inner, level - 1)).when(kind == "ARRAY", F.try_element_at(F.filter(items, lambda x: x["amount"].isNotNull()), F.lit(1)))
-        return out.otherwise(nothing)
-
-    rows = df.withColumn("_v", parsed(F.col(payload))).withColumn("_m", read(F.col("_v"), depth))
-    return rows.select(*df.columns, F.col("_m.amount").alias("amount"), F.col("_m.unit").alias("unit"))
+    first = F.try_element_at(F.filter(F.transform(scalars, read), lambda m: m["value"].isNotNull()), F.lit(1))
+    rows = df.withColumn("_v", parsed(F.col(payload))).withColumn("_m", first)
+    return rows.select(*df.columns, F.col("_m.value").alias("amount"), F.col("_m.unit").alias("unit"))
 
 
 def foreign_fields(df: DataFrame, payload: str, *keep: str, pattern: str = HAN, around: int = 15, most: int = 3, depth: int = 6) -> DataFrame:

@@ -86,3 +86,10 @@ def test_quality_run_edges(spark):
         (5, "COMPANY_EMPTY|EMPTY_SUMMARY|WEAK_CATEGORY|NO_REPORT", "HIGH"), (6, "WEAK_CATEGORY", "LOW"),
     ]
     assert {r.issue: r.n for r in payloads.quality_counts(found).collect()}["(clean)"] == 2
+
+
+def test_an_amount_s_expression_grows_as_a_chain(spark):
+    df = spark.createDataFrame([('[[[[{"value":[{"text":"2 bn"}]}]]]]',)], "p string")
+    size = lambda depth: len(payloads.metric_value(df, "p", depth=depth)._jdf.queryExecution().analyzed().toString())
+    assert size(4) - size(3) < 1.2 * (size(2) - size(1))
+    assert [payloads.metric_value(df, "p", depth=k).head()["amount"] for k in (6, 7)] == [None, 2e9]
