@@ -3,6 +3,8 @@
 import random
 import re
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,22 @@ def test_page_tables_on_odd_pages(spark):
     assert sorted(got, key=lambda t: (t[0] is not None, t)) == [
         (None, 0, 2, 3, "| a | a | b |\n| --- | --- | --- |\n| c d e |  |  |"), (4, 0, 1, 1, "| only \\| one |\n| --- |"), (5, 0, 1, 1, "| in |\n| --- |"), (5, 1, 1, 2, "| out | z |\n| --- | --- |"),
     ]
+
+
+def test_tables_read_tag_by_tag_are_those_of_the_parser():
+    bits = ["<table>", "</table>", "<TR>", "</tr>", "<td>", "<td colspan=2>", "<td rowspan='3'>", "</td>", "a &amp; b", "&lt", "x|y", " \n ", "<p>", "<br/>", "<td", "<!-- c -->", "<script>", "</script>", "<td a=b=c>", "&", "<", "<td x='&amp;'>", "&#65", "<td colspan>"]
+    draw, fed = random.Random(7), 0
+    for k in range(4000):
+        page = "<table><tr><td>" + "".join(draw.choice(bits[:13] if k % 2 else bits) for _ in range(draw.randint(0, 14)))
+        plain = html._TableReader()
+        plain.feed(page)
+        plain.close()
+        reader = html._TableReader()
+        reader.feed = lambda page, reader=reader: (reader.__dict__.setdefault("fed", True), html.HTMLParser.feed(reader, page))
+        assert reader.read(page) == plain.finish()
+        fed += hasattr(reader, "fed")
+    assert 500 < fed < 2500  # the others went without the parser
+
+
+def test_a_span_in_raised_digits_is_none():
+    assert html._TableReader().read("<table><td colspan=²>a</table>") == [[[("a", 1, 1)]]]
