@@ -1,5 +1,8 @@
 """Amounts in sentences and columns: values known beforehand, edges, and the union of the three readers."""
 
+import dataclasses
+import random
+
 import pytest
 
 from ledgerloom.operators import cells, window_facts as W
@@ -69,3 +72,20 @@ def test_nothing_is_shuffled_and_plain_readers_agree(spark):
         both = {m: (v, "cells") for m, v in own.items()} | {m: (v, "columns") for m, v in W.table_facts_of(t, W.LATIN).items() if m not in own}
         want |= {(k, m, *v) for m, v in (both or {m: (v, "sentences") for m, v in W.inline_facts_of(t, W.LATIN).items()}).items()}
     assert {(r.doc_id, r.metric, r.value, r.reader) for r in found.collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("rules", [W.LATIN, W.HANGUL])
+def test_labels_found_by_their_words_are_those_of_the_patterns(rules):
+    words = ["Revenue", "SALES", "ſales", "total equity", " ", "\n", "net ıncome", "NET İNCOME", "operating loss", "total assets", "│", "| ", "1,000,000,000", "500", "(unit: million)", "수익(매출액)", "매출액", "영업이익(손실)", "순이익", "자본총계", "단위: 백만원", "x", "7 billion", "5억원", ":"]
+    draw = random.Random(5)
+    patterns = dataclasses.replace(rules, begins={})
+    for _ in range(1500):
+        text = "".join(draw.choice(words) + draw.choice(["", " "]) for _ in range(draw.randint(1, 14)))
+        assert W.table_facts_of(text, rules) == W.table_facts_of(text, patterns)
+        assert W.inline_facts_of(text, rules) == W.inline_facts_of(text, patterns)
+
+
+def test_a_label_s_unit_is_looked_for_once(monkeypatch):
+    seen, plain = [], W.unit_at
+    monkeypatch.setattr(W, "unit_at", lambda *a: seen.append(a) or plain(*a))
+    assert W.table_facts_of("(unit: million)\nRevenue | 500 | 400 | 300 | 200", W.LATIN) == {"revenue": 5e8} and len(seen) == 1
