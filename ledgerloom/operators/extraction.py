@@ -9,6 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,15 +161,19 @@ def text_rank(text: str | None, n: int = 3, damping: float = 0.85, rounds: int =
     return [parts[i] for i in chosen]
 
 
-def _per_document(docs: DataFrame, id_col: str, text_col: str, work, name: str) -> DataFrame:
+def _per_document(docs: DataFrame, id_col: str, text_col: str, work, name: str, at_once: int = 64) -> DataFrame:
+    """id, place and each piece of ``work`` of a text; a worker holds the texts of ``at_once`` rows as Python strings, not those of a batch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(key, i, piece) for key, text in zip(b["id"], b["text"], strict=True) for i, piece in enumerate(work(text))]
-            yield pd.DataFrame(rows, columns=["id", "place", name])
+            for start in range(0, b.num_rows, at_once):
+                keys, texts = (c.to_pylist() for c in b.slice(start, at_once).columns)
+                rows = [(key, i, piece) for key, text in zip(keys, texts, strict=True) for i, piece in enumerate(work(text))]
+                ids, places, pieces = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(places, pa.int32()), pa.array(pieces, pa.string())], ["id", "place", name])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, place int, {name} string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, place int, {name} string").withColumnRenamed("id", id_col)
 
 
 def summaries(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
