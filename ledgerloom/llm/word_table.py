@@ -122,9 +122,13 @@ def _split(batches, special: list, block: int, shares: int, want: str):
             if want == "numbers":
                 keys = np.array([k or 0 for k in ids], np.int64).view(np.uint64)
                 named = np.array([k is not None for k in ids])
-                yield _batch(_SPLIT, block=[at], numbers=[_packed(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), named, np.array(counts), np.concatenate(numbers))])
+                packed = _packed(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), named, np.array(counts), np.concatenate(numbers))
+                del tables, numbers
+                common.give_back()  # the tables of words were large, and the worker lives on
+                yield _batch(_SPLIT, block=[at], numbers=[packed])
                 continue
             codes, raws = [], []
+            del numbers
             for lead, table in enumerate(tables):
                 front = b" " if lead else b""
                 raws += [front + w.encode("utf-8", "surrogatepass") for w in table]
@@ -136,11 +140,12 @@ def _split(batches, special: list, block: int, shares: int, want: str):
                 words, which = zip(*sorted((raws[k], k) for k in own.tolist()), strict=True)
                 sizes, data = _joined(list(words))
                 rows.append((int(share[own[0]]), _packed(codes[list(which)], sizes), data))
-            del raws
+            del raws, codes, share, order
             for k in range(0, len(rows), 1000):
                 some = rows[k : k + 1000]
                 yield _batch(_SPLIT, block=[at] * len(some), share=[r[0] for r in some], numbers=[r[1] for r in some], words=[r[2] for r in some])
-    common.give_back()  # the tables of words were large, and the worker lives on
+            del rows
+            common.give_back()
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -177,13 +182,15 @@ def _encode(batches, path: str):
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, most: int = 1 << 17) -> np.ndarray:
     """Runs of ``values``, one a code, one after another; positions are made for ``most`` codes at a time."""
-    out = []
-    for k in range(0, len(codes), most):
+    parts = range(0, len(codes), most)
+    out, at = np.empty(sum(int(sizes[codes[k : k + most]].sum()) for k in parts), values.dtype), 0
+    for k in parts:
         some = codes[k : k + most]
         n = sizes[some]
         ends = np.cumsum(n)
-        out.append(values[np.arange(ends[-1]) + np.repeat(starts[some] - (ends - n), n)])
-    return np.concatenate(out) if out else values[:0]
+        np.take(values, np.arange(ends[-1]) + np.repeat(starts[some] - (ends - n), n), out=out[at : at + int(ends[-1])])
+        at += int(ends[-1])
+    return out
 
 
 def _by_code(code: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,25 +203,25 @@ def _by_code(code: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray
 def _together(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of a block's documents: each document's word numbers replaced by their ids, in position."""
     common.claim("word_places", common.give_back)  # lets go the tokenizer, which is not needed here
+    common.give_back()  # a worker puts many blocks together, and what it freed of one would stay
     parts = [_unpacked(raw) for raw in words.column("numbers").to_pylist()]
     code, sizes, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
-    keys, found = [], []
+    del parts
+    flat, keys, found, lengths = flat.view(np.int32), [], [], []
     for raw in blocks.column("numbers").to_pylist():
         high, low, named, counts, numbers = _unpacked(raw)
         starts, lens = _by_code(code, sizes.astype(np.int64), int(max(numbers.max(initial=0), code.max(initial=0))) + 1)
-        if len(numbers) and lens[numbers].min() < 0:
+        used = np.zeros(len(lens), bool)
+        used[numbers] = True
+        if (lens[used] < 0).any():
             raise ValueError("a block's words are not all there")
         ids = (high.astype(np.uint64) << np.uint64(32) | low).view(np.int64)
         keys.append(pa.array(ids, mask=named == 0))
-        for own in np.split(numbers, np.cumsum(counts.astype(np.int64))[:-1]):
-            found.append(gathered(flat.astype(np.int32, copy=False), starts, lens, own))
-    return pa.table({"doc_id": pa.chunked_array(keys, pa.int64()).combine_chunks() if keys else pa.array([], pa.int64()), "ids": _lists(found)})
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
+        lengths += [int(lens[own].sum()) for own in np.split(numbers, np.cumsum(counts.astype(np.int64))[:-1])]
+        found.append(gathered(flat, starts, lens, numbers))
+    offsets = np.cumsum([0, *lengths], dtype=np.int64).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.int32), *found])))
+    return pa.table({"doc_id": pa.chunked_array(keys, pa.int64()).combine_chunks() if keys else pa.array([], pa.int64()), "ids": ids})
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block: int = _BLOCK) -> DataFrame:
@@ -255,7 +262,9 @@ def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
 
 def _numbered(at: int, doc_ids: pa.Array, ids: pa.ListArray):
     """Documents of ids as rows of a block, and the block's distinct ids."""
-    yield _batch(_IDS, block=[at] * len(ids), place=range(len(ids)), doc_id=doc_ids, ids=pc.if_else(ids.is_valid(), ids, pa.scalar([], ids.type)))
+    whole = pc.if_else(ids.is_valid(), ids, pa.scalar([], ids.type)) if ids.null_count else ids
+    yield _batch(_IDS, block=[at] * len(ids), place=range(len(ids)), doc_id=doc_ids, ids=whole)
+    del whole
     distinct = np.unique(ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False))  # a null id is in no vocabulary
     yield _batch(_IDS, block=[at] * len(distinct), code=range(len(distinct)), id=distinct.astype(np.int32))
 
@@ -289,6 +298,7 @@ def _read_back(batches):
         for k, (at, doc) in enumerate(zip(b.column("block").to_pylist(), b.column("ids"), strict=True)):
             if at != block:
                 block, known, raws, table = at, [], [], None
+                common.give_back()
             if not doc.is_valid:
                 known.append(b.column("id")[k].as_py())
                 raws.append(b.column("piece")[k].as_py() or b"")

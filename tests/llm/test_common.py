@@ -28,3 +28,24 @@ def test_entry_works_without_this_package(tmp_path):
     hide = "import sys; sys.modules['ledgerloom.llm'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; print(len([q for q in e.queries() if q.startswith('op')]), len(e.queries()) > 100)"
     out = subprocess.run([sys.executable, "-c", hide, ROOT], capture_output=True, text=True, cwd=tmp_path, check=True)
     assert out.stdout.split() == ["0", "True"]
+
+
+def test_freed_arrow_memory_goes_back():
+    """What Arrow's pool keeps of freed batches is given back too, in a process of its own as a worker is."""
+    code = """
+import pyarrow as pa, pyarrow.compute as pc
+from ledgerloom.llm import common
+
+def held():
+    return next(int(x.split()[1]) // 1024 for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:"))
+
+base = pa.array(range(20_000))
+pc.add(base, 1)
+before = held()
+kept = [pc.add(base, k) for k in range(1000)]
+assert held() - before > 100
+del kept
+common.give_back()
+assert held() - before < 30, held() - before
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
