@@ -159,19 +159,26 @@ def judged(chunks: DataFrame, key: str, text: str, score: str, least: int = 40)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def passage_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, limit: float) -> DataFrame:
+def passage_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, limit: float, least: int = 6) -> DataFrame:
     """Pairs where the left row holds at least ``limit`` of the right row's distinct tokens.
 
-    An inverted-list join over the right side's rare end: by order of the tokens' frequency, a right row's
-    first n - ceil(limit * n) + 1 tokens must meet the left row at least once; the share is then taken from the
-    whole sets.
+    An inverted-list join over the right side's rare end: of a right row's tokens, ordered by their frequency among right
+    rows, the first n - ceil(limit * n) + k must hold k of the left row's; k is ``least``, or all that are asked for if
+    these are fewer. Left texts are cut into tokens once for that, and once more where a pair is left; its share is then
+    taken from the whole sets. Rows that share an id are looked for together and compared each for itself, null ids too.
     """
-    lt = left.select(F.col(left_id).alias("l"), F.array_distinct(T.tokens(F.col(text))).alias("lt"))
-    rt = right.select(F.col(right_id).alias("r"), F.array_distinct(T.tokens(F.col(text))).alias("rt")).filter(F.size("rt") > 0)
-    seen = lt.select(F.explode("lt").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    placed = rt.select("r", F.size("rt").alias("n"), F.explode("rt").alias("t")).join(seen, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("r").orderBy("df", "t"))
-    rare = placed.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(limit)) + 1).select("r", "t")
-    found = lt.select("l", F.explode("lt").alias("t")).join(rare, "t").select("l", "r").distinct()
+    cut = lambda: F.array_distinct(T.tokens(F.col(text)))
+    lt = left.select(F.col(left_id).alias("l"), text)
+    rt = right.select(F.col(right_id).alias("r"), cut().alias("rt")).filter(F.size("rt") > 0).withColumn("j", F.md5(F.array_join("rt", " ")))
+    placed = rt.dropDuplicates(["j"]).select("j", F.size("rt").alias("n"), F.explode("rt").alias("t"))
+    seen = placed.groupBy("t").agg(F.count("*").alias("df"))
+    # A share is rounded before it is compared, so a hair less than the limit passes too.
+    asked = F.greatest(F.ceil(F.col("n") * F.lit(limit - 1e-6)), F.lit(1))
+    ranked = placed.join(seen, "t").withColumn("k", F.row_number().over(Window.partitionBy("j").orderBy("df", "t")))
+    most = ranked.withColumn("hits", F.least(asked, F.lit(least))).filter(F.col("k") <= F.col("n") - asked + F.col("hits"))
+    found = lt.select("l", F.explode_outer(cut()).alias("t")).join(most.select("t", "j", "hits"), "t")
+    near = found.groupBy("l", "j").agg(F.count("*").alias("hit"), F.first("hits").alias("hits")).filter("hit >= hits")
+    wanted = near.groupBy("l").agg(F.collect_list("j").alias("js")).withColumnRenamed("l", "id")
+    held = lt.join(wanted, F.col("l").eqNullSafe(F.col("id"))).select("l", cut().alias("lt"), F.explode("js").alias("j"))
     share = F.size(F.array_intersect("lt", "rt")) / F.size("rt")
-    return found.join(lt, "l").join(rt, "r").withColumn("share", F.round(share, 6)).filter(F.col("share") >= limit).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "share")
+    return held.join(rt, "j").withColumn("share", F.round(share, 6)).filter(F.col("share") >= limit).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "share")

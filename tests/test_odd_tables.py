@@ -42,3 +42,14 @@ def test_numbers_of_any_length_annotated(spark, tmp_path):
 def test_numeric_cells_by_line_ends_of_any_kind(spark, tmp_path):
     text = ["12\r\n34\r\nab", "| 1 | 2 |\n| 3 | 4 |", "a |\n| 5", "5\u0085 | 6", "1  | 2", "12\t | 3", " |  | ", "\n\n", "", None, "(1,000) | 5% | x"]
     assert len(agrees(spark, tmp_path, "numeric_tables", documents={"doc_id": list(range(11)), "text": text})) == 11
+
+
+def test_passages_of_rows_without_an_id_of_their_own(spark, tmp_path):
+    words = [a + b for a in "abcdefgh" for b in ("xa", "yb", "zc", "wd")]
+    items = [words[:10], words[5:12], words[:1], words[3:8], words[20:32], words[:10], [], words[8:28], ["the", "x"]]
+    benchmark = {"item_id": ["p", "p", "q", None, "r", "p", "s", "t", "u"], "text": [" ".join(w) for w in items[:7]] + [" ".join(items[7]).upper(), " ".join(items[8])]}
+    docs = [words[:10], words[:8], words[1:9] + words[:2], words[:7], words[4:12] * 2, words[19:], None, [], words, words[8:24], words[8:23], words[:10], ["the"]]
+    ids = [1, 2, 2, 3, None, 5, 6, 7, 8, 9, 10, None, 11]
+    documents = {"doc_id": ids, "text": [None if w is None else ", ".join(w) for w in docs]}
+    found = agrees(spark, tmp_path, "benchmark_overlap", documents=documents, benchmark=benchmark)
+    assert len(found) > 20
