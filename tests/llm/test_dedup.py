@@ -218,6 +218,24 @@ def test_large_buckets_are_split(docs, most):
     assert rows_of(suffix_dedup.remove_repeats(docs(rows), bucket_most=most), *_COLUMNS) == _sorted(_without_repeats(rows))
 
 
+def test_what_is_left_of_texts(docs):
+    """The operator gives the bytes that are left and the runs that went; the digests follow from these."""
+    half = "é" * 199 + "z"
+    rows = [*_repeat_rows(), (20, "é" + half + "abc"), (21, "ĩ" + half + "def"), (22, "ab" + "k" * 400 + "cd"), (23, "k" * 400)]
+    want = {(k, sha): (n, gone, runs) for k, n, gone, runs, sha in _without_repeats(rows)}
+    raws = collections.defaultdict(list)
+    for k, t in rows:
+        raws[k].append((t or "").encode())
+    found = suffix_dedup.without_repeats(docs(rows)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        spans, kept = [(s["start"], s["stop"]) for s in r["spans"]], bytes(r["kept"])
+        assert want[r["doc_id"], hashlib.sha256(kept).hexdigest()] == (r["n_bytes"], sum(b - a for a, b in spans), len(spans))
+        assert spans == sorted(spans) and kept in [b"".join(x[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(x)])) for x in raws[r["doc_id"]]]
+    left = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(rows)).filter("doc_id >= 20").collect()}
+    assert {k: (r["spans"], r["text"]) for k, r in left.items()} == {20: ("1:401", "\ufffdabc"), 21: ("1:401", "\ufffddef"), 22: ("2:402", "abcd"), 23: ("0:400", "")}
+
+
 def test_sample_ranks_sort_rows():
     rng = np.random.default_rng(6)
     rows = rng.integers(0, 2, (60, 130), dtype=np.uint8)
